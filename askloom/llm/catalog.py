@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, license_scan, mixing, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op2_mix_sources": mixing.query,
+    "op4_license_scan": license_scan.query,
+    "op5_quality_classifier": quality.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
     "op10_min_cost_resharding": sharding.query,
     "pipeline": corpus_pipeline.run,
