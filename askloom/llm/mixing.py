@@ -96,7 +96,9 @@ def slots(sources: DataFrame, seed: int = 1) -> DataFrame:
     """Every slot of the mix: shard, slot, skey, i (the source's slot number), n."""
     live = sources.where("quota > 0").withColumn("q_before", F.sum("quota").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota"))
     plan = live.agg(F.sum("quota").alias("total"), F.array_sort(F.collect_list(F.struct("q_before", "skey"))).alias("cuts")).where("total > 0")
-    shards = plan.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / SLOTS))).alias("shard"), "total").repartition("shard")
+    # A fixed number of partitions: adaptive coalescing judges by the few bytes of the shard numbers, not by the slots they become.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = plan.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / SLOTS))).alias("shard"), "total").repartition(tasks, "shard")
     each = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(SLOTS).cast("long"), F.col("total") - F.col("shard") * SLOTS) - 1)).alias("slot"), "total")
     at = F.floor(uniform(F.lit(seed), F.col("shard"), F.col("slot")) * F.col("total"))
     drawn = each.withColumn("at", at).join(F.broadcast(plan.select("cuts", "total")), "total").select("shard", "slot", last_upto("cuts", "q_before", F.col("at"))["skey"].alias("skey"))
@@ -104,14 +106,15 @@ def slots(sources: DataFrame, seed: int = 1) -> DataFrame:
     # Prefix sums of the shards' counts number each source's slots.
     counts = drawn.groupBy("skey", "shard").agg(F.count("*").alias("c"))
     starts = counts.withColumn("first", F.sum("c").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
-    drawn = drawn.join(starts.drop("c"), ["skey", "shard"]).select("shard", "slot", "skey", (F.col("first") + F.col("nth")).alias("i"))
+    drawn = drawn.join(starts.drop("c").hint("merge"), ["skey", "shard"]).select("shard", "slot", "skey", (F.col("first") + F.col("nth")).alias("i"))
     # Draws above a quota go to the sources below theirs, in order.
     got = live.join(counts.groupBy("skey").agg(F.sum("c").alias("got")), "skey", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     got = got.withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
     got = got.withColumn("over_before", F.sum("over").over(upto) - F.col("over")).withColumn("under_before", F.sum("under").over(upto) - F.col("under"))
-    short = got.where("under > 0").agg(F.array_sort(F.collect_list(F.struct("under_before", "skey", "got"))).alias("short"))
-    own = drawn.join(F.broadcast(got.select("skey", "quota", "over_before")), "skey").withColumn("one", F.lit(1)).join(F.broadcast(short.withColumn("one", F.lit(1))), "one")
+    short = got.agg(F.sum("quota").alias("total"), F.array_sort(F.collect_list(F.when(F.col("under") > 0, F.struct("under_before", "skey", "got")))).alias("short"))
+    total = F.sum("quota").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = drawn.join(F.broadcast(got.select("skey", "quota", "over_before", total.alias("total"))), "skey").join(F.broadcast(short), "total")
     spare = F.col("i") >= F.col("quota")
     x = F.col("over_before") + F.col("i") - F.col("quota")
     own = own.withColumn("to", F.when(spare, last_upto("short", "under_before", x)))
@@ -134,7 +137,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     cut = positions(sizes).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(lo, hi))))
     first = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
     cut = cut.withColumn("first", first).withColumn("words", F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")) - F.col("first"))
-    out = cut.join(blocks_taken(sources, seed), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Planned by size, the slots would look as small as the table of sources that they come from, and be broadcast.
+    out = cut.join(blocks_taken(sources, seed).hint("merge"), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return out.join(F.broadcast(sources.select("skey", "source_size", "target")), "skey")
 
 
