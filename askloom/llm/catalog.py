@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, license_scan, mixing, packing, quality, sharding, token_counts, toxicity
+from . import exact_dedup, exact_topk, license_scan, mixing, near_dup, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_mix_sources": mixing.query,
+    "op3_exact_topk": exact_topk.query,
     "op4_license_scan": license_scan.query,
     "op5_quality_classifier": quality.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
+    "op9_near_dedup": near_dup.query,
     "op10_min_cost_resharding": sharding.query,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_exact_topk": exact_topk.SQL, "op6_exact_dedup": exact_dedup.SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
