@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from askloom.llm import exact_dedup, mixing, packing
-from askloom.llm.common import stage
+from askloom.llm import exact_dedup, mixing, near_dup, packing, toxicity
+from askloom.llm.common import read, stage
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Toxicity: documents scored 0.5 or more go. Labels come from the labels table, counts from all of ``docs``."""
+    return toxicity.ordinary(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark, docs, sf_dir):
@@ -11,6 +16,11 @@ def drop_copies(spark, docs, sf_dir):
     return exact_dedup.dedup(docs)
 
 
+def drop_near_copies(spark, docs, sf_dir):
+    """MinHash near-dedup: of each group of near copies the document with the smallest id stays."""
+    return near_dup.dedup(docs)
+
+
 def mix_sources(spark, docs, sf_dir):
     """Mixing sources to target weights: each document as often, and as much of it, as the mix takes."""
     return mixing.mixed(docs)
@@ -21,7 +31,7 @@ def pack_sequences(spark, docs, sf_dir):
     return packing.pack(docs, packing.tokenizer_file()).withColumnRenamed("id", "doc_id").drop("row_id")
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Toxicity and near-dedup stages run models and sketches that SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
