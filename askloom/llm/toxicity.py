@@ -15,7 +15,7 @@ from; repeated labels of one id count as their maximum; without both labels to l
 (0 without any); an empty table gives an empty result; other columns are ignored; whole texts are read.
 
 Scale: the model keeps words that more than DISCOUNT**2 labelled documents of a class use, so it is bounded by the sample. Distinct
-pairs are gathered as sorted codes, combined in each task, dealt into BUCKETS by the hash of the previous word (so the most
+pairs are gathered as sorted codes, combined in each task, dealt into buckets by the hash of the previous word (so the most
 frequent word is spread over all of them) and merged bucket by bucket; only the model's words get a count of their own.
 """
 
@@ -35,7 +35,7 @@ from .common import read, ship, small_batches
 from .quality import held_out
 
 SAMPLE = 10_000  # labelled rows of each class learned from, at most
-DISCOUNT, WINDOW, BUCKETS, HELD = 2.0, 3, 256, 4_000_000
+DISCOUNT, WINDOW, HELD = 2.0, 3, 4_000_000
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -76,16 +76,20 @@ def class_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarr
 
 
 def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np.ndarray:
-    """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them)."""
+    """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them).
+
+    Four buckets for each shuffle partition, 256 at least: a bucket is merged by one task in pieces of about HELD codes.
+    """
+    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def out(codes: np.ndarray) -> pd.DataFrame:
-            bucket = codes % BUCKETS
+            bucket = codes % buckets
             order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            parts = [(k, codes[order[at[k] : at[k + 1]]].tobytes()) for k in range(BUCKETS) if at[k] < at[k + 1]]
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [(k, codes[order[at[k] : at[k + 1]]].tobytes()) for k in range(buckets) if at[k] < at[k + 1]]
             return pd.DataFrame(parts, columns=["bucket", "codes"])
 
         for b in batches:
@@ -150,11 +154,12 @@ def ratios(n: np.ndarray, total: np.ndarray, shared: np.ndarray) -> np.ndarray:
 def features(words: list[bytes], vocabulary: dict[bytes, int], llr: np.ndarray) -> tuple[float, float]:
     """Length-normalised log-likelihood ratios: of the whole text, and of its most toxic WINDOW words."""
     if not words:
-        return float(llr[0]), float(llr[0])
-    v = llr[np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))]
+        return 0.0, 0.0
+    # Less the ratio of a word that neither class knows: it depends on how much was learned from, not on the text.
+    v = llr[np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))] - llr[0]
     c = np.concatenate([[0.0], np.cumsum(v)])
     k = min(WINDOW, len(v))
-    return float(v.mean()), float(((c[k:] - c[:-k]).max() + (WINDOW - k) * llr[0]) / WINDOW)
+    return float(v.mean()), float((c[k:] - c[:-k]).max() / WINDOW)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
