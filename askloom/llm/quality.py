@@ -76,7 +76,7 @@ class Trees:
 def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     """Boosted trees for labels y in {0, 1}."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Trees([0], [0.0], [0], [0], [0.0], [], float(np.log(p / (1 - p))))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
