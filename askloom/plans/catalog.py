@@ -9,6 +9,7 @@ from ..functions import extract as X
 from ..functions import text as T
 from ..operators import bench as B
 from ..operators import corpus as C
+from ..operators import messages as M
 from ..operators import rounds as R
 from ..operators import rubric as H
 from ..operators import runs as N
@@ -519,6 +520,78 @@ def attempt_seed(spark, d):
     return a.select("candidate", "role", "attempt", T.attempt_seed(F.lit(17), F.sha1(F.col("candidate").cast("string")), F.col("role"), F.col("attempt")).alias("seed"))
 
 
+@query("judge_prompt", f"WITH {V.RUBRIC}, o AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY pos, weight) AS i FROM rubric) SELECT candidate, string_agg(i || '. [' || CASE WHEN weight > 0 THEN '+' ELSE '' END || weight || CASE WHEN weight > 0 THEN ' positive' ELSE ' negative' END || '] criterion ' || pos, chr(10) ORDER BY i) AS prompt FROM o GROUP BY candidate")
+def judge_prompt(spark, d):
+    c = F.struct("pos", "weight", F.concat(F.lit("criterion "), "pos").alias("criterion"), F.when(F.col("weight") > 0, "positive").otherwise("negative").alias("category"))
+    g = V.rubric(spark, d).groupBy("candidate").agg(F.array_sort(F.collect_list(c)).alias("r"))
+    return g.select("candidate", M.criteria_lines(F.col("r")).alias("prompt"))
+
+
+@query("completion_parse", "SELECT event_id, event_type AS content, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens, event_type = 'click' AS has_call FROM events")
+def completion_parse(spark, d):
+    """Chat completions written and flattened again."""
+    call = F.when(F.col("event_type") == "click", F.array(F.struct(F.lit("c1").alias("id"), F.struct(F.lit("read").alias("name"), F.lit("{bad").alias("arguments")).alias("function"))))
+    message = F.struct(F.col("event_type").alias("content"), call.alias("tool_calls"))
+    said = F.to_json(F.struct(F.array(F.struct(message.alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"), F.struct(F.get_json_object("props", "$.k").cast("long").alias("completion_tokens")).alias("usage")))
+    e = V.table(spark, d, "events").select("event_id", M.flattened(said).alias("f"))
+    return e.select("event_id", "f.content", F.col("f.usage")["completion_tokens"].alias("tokens"), (F.size("f.tool_calls") > 0).alias("has_call"))
+
+
+@query("paper_summary", f"WITH {V.ROUNDS} SELECT paper, count(*) AS n_rounds, min(CASE WHEN failure_mode = 'ACCEPTED' THEN round END) AS accepted_round, string_agg(failure_mode, ',' ORDER BY round) AS modes, bool_or(failure_mode = 'ACCEPTED') AS accepted FROM rounds GROUP BY paper")
+def paper_summary(spark, d):
+    s = M.paper_summaries(V.rounds(spark, d))
+    return s.select("paper", "n_rounds", "accepted_round", F.array_join("rounds.failure_mode", ",").alias("modes"), "accepted")
+
+
+@query("lookup_batches", f"WITH {OUTCOMES} SELECT doc_id, CAST(floor((greatest(sum(CASE WHEN looked_up THEN 1 ELSE 0 END) OVER (PARTITION BY shard ORDER BY line), 1) - 1) / 10) AS BIGINT) AS batch FROM outcomes")
+def lookup_batches(spark, d):
+    return M.micro_batches(outcomes(spark, d), "shard", ["line"], F.col("looked_up"), 10).select("doc_id", "batch")
+
+
+@query("resume_violations", "WITH v AS (SELECT doc_id, unnest((CASE WHEN lang <> 'en' THEN ['not_in_field'] ELSE [] END) || (CASE WHEN length(coalesce(text, '')) < 400 THEN ['body_too_short'] WHEN length(coalesce(text, '')) > 8000 THEN ['body_too_long'] ELSE [] END) || (CASE WHEN CAST(substr(source, 4, 10) AS INT) >= 10 THEN ['shard'] ELSE [] END)) AS reason FROM documents) SELECT reason, count(*) AS n, list_min(list(doc_id)) AS first_id FROM v GROUP BY reason")
+def resume_violations(spark, d):
+    stored = docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body_text"), F.lit(2020).alias("year"), F.array("lang").alias("s2_fields"), F.lit("abstract").alias("abstract"), F.lit("r1").alias("release_id"), F.substring("source", 4, 10).cast("int").alias("shard"))
+    bad = C.resume_violations(stored, FILTERS, "r1", list(range(10)))
+    return bad.select("reason", "n", F.get("examples", 0).alias("first_id"))
+
+
+@query("changed_texts", "SELECT doc_id AS paper, sha1(coalesce(text, '')) AS text_sha1 FROM documents WHERE doc_id % 3 = 0 OR lang = 'fr'")
+def changed_texts(spark, d):
+    """Against a stored state in which French texts differ and every third paper is missing."""
+    now = docs(spark, d).select(F.col("doc_id").alias("paper"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    stored = now.where("paper % 3 <> 0").select("paper", F.when(F.col("lang") == "fr", "old").otherwise(F.sha1("text")).alias("text_sha1"))
+    return N.changed_texts(now, stored)
+
+
+@query("provenance_problems", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus <> 'F' THEN 'o_orderstatus' END, CASE WHEN o_custkey % 5 <> 0 THEN 'm' END) AS problems FROM orders")
+def provenance_problems(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 5).cast("long").alias("m"))
+    expected = o.select("o_orderkey", F.lit("F").alias("o_orderstatus"), F.lit(0).cast("long").alias("m"))
+    return N.report_problems(o, expected, "o_orderkey", ["o_orderstatus", "m"]).select("o_orderkey", F.array_join("problems", ",").alias("problems"))
+
+
+@query("next_run", "SELECT o_custkey AS paper, count(*) + 1 AS next_run FROM orders GROUP BY o_custkey")
+def next_run(spark, d):
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    runs_so_far = V.table(spark, d, "orders").select(F.col("o_custkey").alias("paper"), nth.cast("long").alias("run_no"))
+    return N.next_run(runs_so_far, "paper").select("paper", "next_run")
+
+
+@query("evaluation_pairs", f"WITH {V.ROUNDS}, e AS (SELECT paper, max(round) AS last, max(round) FILTER (qv_passed) AS last_passed FROM rounds GROUP BY paper) SELECT paper, last AS strong_seq, last AS weak_seq FROM e")
+def evaluation_pairs(spark, d):
+    """Every round's combined evaluation within one list per paper: the last is both the strong and the weak one."""
+    e = V.rounds(spark, d).select("paper", F.lit(1).alias("round"), F.col("round").alias("seq"), F.lit("both").alias("mode"), F.col("candidate").alias("question_hash"), F.lit(True).alias("has_report"))
+    return R.paired_evaluations(e).select("paper", F.col("strong.seq").alias("strong_seq"), F.col("weak.seq").alias("weak_seq"))
+
+
+@query("resume_done", f"WITH {RUNS} SELECT paper, (accepted AND n_rounds % 2 = 0) OR (completed AND n_rounds % 3 <> 0) AS done FROM runs")
+def resume_done(spark, d):
+    r = runs(spark, d)
+    errors = F.array().cast("array<string>")
+    stop = F.when(F.col("n_rounds") % 3 == 0, "crashed").otherwise("final")
+    return r.select("paper", N.agentic_done(F.col("accepted"), F.col("n_rounds") % 2 == 0, F.col("completed"), errors, stop).alias("done"))
+
+
 @query("loop_state_machine")
 def loop_state_machine(spark, d):
     """Rounds as an event log (challenge, verify, evaluate) through the loop's state machine."""
