@@ -90,6 +90,7 @@ def reasoning_blocks(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(THINK), F.lit(1))
 
 
+# Fixed value: a block of reasoning.
 THINK = r"(?is)<think\b[^>]*>(.*?)(?:</think\s*>|\z)"
 
 
