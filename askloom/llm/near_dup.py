@@ -7,9 +7,10 @@ each symbol left out, and all pairs under that distance meet in a bucket. At a s
 0.53, so a pair misses all 12 with a probability of about 1e-4, and less above.
 
 No bucket is expanded into all its pairs. First each bucket's nodes are compared with its smallest node; confirmed links are
-contracted to components. Then only buckets that still hold several components are searched, in blocks of at most BLOCK nodes
-against each other, for pairs of different components whose signatures are near enough; those are confirmed as well. A pair
-that is skipped lies in one component already, so no link between components is lost.
+contracted to components. Then only buckets that still hold several components are searched within tasks, in blocks of about
+BLOCK nodes against each other: pairs of different components whose signatures are near enough are compared on their sets where
+they stand, each in the first bucket that both share, and only links that join components leave the task, to be confirmed as
+well. A pair that is skipped lies in one component already, so no link between components is lost.
 
 Defined cases: null text or no words: an empty set, linked with nothing, its own component; fewer words than a shingle: the whole
 sequence is the one shingle; a null id is no component's smallest unless all are null; repeated rows share a component; an empty
@@ -36,7 +37,8 @@ SHINGLE, PERCENT = 5, 75
 CHUNKS, CHUNK = 12, 6
 SYMBOLS = CHUNKS * CHUNK
 FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not confirmed: five deviations from what 75 % gives
-BLOCK = 1024
+BLOCK = 512
+ERRORS = 1
 CACHE = 400_000
 
 _RANDOM = np.random.default_rng(9)
@@ -136,7 +138,8 @@ def index(nodes: DataFrame) -> DataFrame:
             part = (part ^ (part >> np.uint64(31))) * MIX
             total = part.reshape(len(b), CHUNKS, CHUNK).sum(axis=2, dtype=np.uint64)
             keys = np.repeat(total, CHUNK, axis=1) - part + np.arange(1, SYMBOLS + 1, dtype=np.uint64) * POWERS[1]
-            yield pd.DataFrame({"key": mixed(keys).view(np.int64).ravel(), "node": np.repeat(b["node"].to_numpy(), SYMBOLS)})
+            keys = (mixed(keys) & ~np.uint64(127)) | np.arange(SYMBOLS, dtype=np.uint64)  # the low bits tell the slot
+            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "node": np.repeat(b["node"].to_numpy(), SYMBOLS)})
 
     return nodes.select("node", "signature").mapInPandas(run, "key long, node long")
 
@@ -196,27 +199,65 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(roots.select("root", "root").distinct())
 
 
-def cross_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near nodes of different components within a bucket; entries: key, node, comp."""
+def home(different: np.ndarray) -> np.ndarray:
+    """For pairs (rows of SYMBOLS booleans: symbols that differ) the first index slot in which both stand, or -1."""
+    d = different.reshape(len(different), CHUNKS, CHUNK)
+    few = d.sum(axis=2)
+    meets = few <= ERRORS
+    chunk = meets.argmax(axis=1)
+    rows = np.arange(len(d))
+    return np.where(meets[rows, chunk], chunk * CHUNK + d[rows, chunk].argmax(axis=1), -1)
+
+
+def bridges(g: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between different components of a bucket, or of two of its blocks: enough of them to join what is linked.
+
+    Every pair is looked at in one bucket, the first that both nodes share. Near pairs are compared on their sets, nearest
+    first; once a link joins two components their other pairs need no look.
+    """
+    cross = bool((g["i"] != g["j"]).iloc[0])
+    slot = int(g["key"].iloc[0]) & 127
+    s = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g), SYMBOLS)
+    node, comp = g["node"].to_numpy(), g["comp"].to_numpy().copy()
+    sets = [np.frombuffer(x, np.uint32) for x in g["members"]]
+    n = np.array(list(map(len, sets)))
+    first = (g["own"] == g["i"]).to_numpy()
+    out = []
+    for r in np.flatnonzero(first) if cross else range(len(g)):
+        c = np.flatnonzero(~first) if cross else np.arange(r + 1, len(g))
+        c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * (PERCENT - 1))]
+        if not len(c):
+            continue
+        different = s[c] != s[r]
+        far = different.sum(axis=1)
+        keep = (far <= FAR) & (home(different) == slot)
+        for x in c[keep][np.argsort(far[keep], kind="stable")]:
+            if comp[x] == comp[r]:
+                continue
+            both, total = len(np.intersect1d(sets[r], sets[x], assume_unique=True)), n[r] + n[x]
+            # 32-bit hashes may collide: full sets decide, and only a link beyond that doubt joins components here.
+            if 100 * (both + 2) >= PERCENT * (total - both - 2):
+                out.append((min(node[r], node[x]), max(node[r], node[x])))
+                if 100 * (both - 2) >= PERCENT * (total - both + 2):
+                    comp[comp == comp[x]] = comp[r]
+    return out
+
+
+def cross_links(entries: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Likely links (a, b) between different components that share a bucket; entries: key, node, comp."""
     several = entries.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = entries.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    open_entries = stage(entries.join(several, "key"), "near-open")
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for b in batches:
+            yield pd.DataFrame({"node": b["row_id"], "members": [np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b["text"].tolist()]})
+
+    asked = open_entries.select(F.col("node").alias("row_id")).distinct()
+    sets = stage(base(docs, id_col, text_col).join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary").join(nodes.select("node", "signature"), "node"), "near-sets")
+    rows = open_entries.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    rows = rows.join(nodes.select("node", "n", "signature"), "node")
-
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        cross = bool((g["i"] != g["j"]).iloc[0])
-        s = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g), SYMBOLS)
-        node, comp, n = g["node"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy()
-        first = (g["own"] == g["i"]).to_numpy()
-        out = []
-        for r in np.flatnonzero(first) if cross else range(len(g)):
-            c = np.flatnonzero(~first) if cross else np.arange(r + 1, len(g))
-            c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * PERCENT)]
-            if len(c):
-                c = c[(s[c] != s[r]).sum(axis=1) <= FAR]
-                out += [(min(x, node[r]), max(x, node[r])) for x in node[c]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(sets, "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -226,11 +267,11 @@ def cross_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
                 continue
             turn = b[["key", "i", "j"]].ne(b[["key", "i", "j"]].shift()).any(axis=1).to_numpy()
             at = [*np.flatnonzero(turn), len(b)]
-            for lo, hi in zip(at[:-2], at[1:-1]):
-                yield search(b.iloc[lo:hi])
+            found = [x for lo, hi in zip(at[:-2], at[1:-1]) if hi - lo > 1 for x in bridges(b.iloc[lo:hi])]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
             kept = b.iloc[at[-2] :]
-        if kept is not None and len(kept):
-            yield search(kept)
+        if kept is not None and len(kept) > 1:
+            yield pd.DataFrame(bridges(kept), columns=["a", "b"], dtype="int64")
 
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(run, "a long, b long").distinct()
@@ -252,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(confirmed(tried, docs, id_col, text_col), "near-links")
     comp = stage(components(links), "near-components")
     entries = buckets.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    more = stage(cross_pairs(entries, nodes).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more = stage(cross_links(entries, nodes, docs, id_col, text_col).join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more_links = stage(confirmed(more, docs, id_col, text_col), "near-links")
     comp = stage(components(links.union(more_links)), "near-components")
     labelled = nodes.join(comp, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
