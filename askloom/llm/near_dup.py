@@ -38,6 +38,7 @@ CHUNKS, CHUNK = 12, 6
 SYMBOLS = CHUNKS * CHUNK
 FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not confirmed: five deviations from what 75 % gives
 BLOCK = 512
+PART_BYTES = 16 << 20
 ERRORS = 1
 CACHE = 400_000
 
@@ -209,22 +210,15 @@ def home(different: np.ndarray) -> np.ndarray:
     return np.where(meets[rows, chunk], chunk * CHUNK + d[rows, chunk].argmax(axis=1), -1)
 
 
-def bridges(g: pd.DataFrame) -> list[tuple[int, int]]:
+def bridges(slot: int, node: np.ndarray, comp: np.ndarray, first: np.ndarray, cross: bool, s: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between different components of a bucket, or of two of its blocks: enough of them to join what is linked.
 
-    Every pair is looked at in one bucket, the first that both nodes share. Near pairs are compared on their sets, nearest
-    first; once a link joins two components their other pairs need no look.
+    Every pair is looked at in one bucket, the first that both nodes share (its slot). Near pairs are compared on their sets,
+    nearest first; once a link joins two components their other pairs need no look. ``first`` marks the first block's rows.
     """
-    cross = bool((g["i"] != g["j"]).iloc[0])
-    slot = int(g["key"].iloc[0]) & 127
-    s = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g), SYMBOLS)
-    node, comp = g["node"].to_numpy(), g["comp"].to_numpy().copy()
-    sets = [np.frombuffer(x, np.uint32) for x in g["members"]]
-    n = np.array(list(map(len, sets)))
-    first = (g["own"] == g["i"]).to_numpy()
-    out = []
-    for r in np.flatnonzero(first) if cross else range(len(g)):
-        c = np.flatnonzero(~first) if cross else np.arange(r + 1, len(g))
+    comp, n, out = comp.copy(), np.array(list(map(len, sets))), []
+    for r in np.flatnonzero(first) if cross else range(len(node)):
+        c = np.flatnonzero(~first) if cross else np.arange(r + 1, len(node))
         c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * (PERCENT - 1))]
         if not len(c):
             continue
@@ -237,44 +231,49 @@ def bridges(g: pd.DataFrame) -> list[tuple[int, int]]:
             both, total = len(np.intersect1d(sets[r], sets[x], assume_unique=True)), n[r] + n[x]
             # 32-bit hashes may collide: full sets decide, and only a link beyond that doubt joins components here.
             if 100 * (both + 2) >= PERCENT * (total - both - 2):
-                out.append((min(node[r], node[x]), max(node[r], node[x])))
+                out.append((int(min(node[r], node[x])), int(max(node[r], node[x]))))
                 if 100 * (both - 2) >= PERCENT * (total - both + 2):
                     comp[comp == comp[x]] = comp[r]
     return out
 
 
 def cross_links(entries: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Likely links (a, b) between different components that share a bucket; entries: key, node, comp."""
-    several = entries.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    open_entries = stage(entries.join(several, "key"), "near-open")
+    """Likely links (a, b) between different components that share a bucket; entries: key, node, comp.
+
+    A task gets block pairs of buckets that have their smallest component in common, and each of their nodes once, about
+    PART_BYTES of sets: the buckets of one group of near copies hold much the same nodes.
+    """
+    several = entries.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("key", F.col("c1").alias("cluster"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    # The blocks of a bucket meet in pairs.
+    rows = entries.join(several, "key").join(nodes.select("node", "n"), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = stage(rows.select("cluster", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n"), "near-open")
+    parts = rows.groupBy("cluster").agg(F.ceil((F.sum("n") * 4 + F.count("*") * 200) / PART_BYTES).alias("parts"))
+    rows = rows.join(parts, "cluster").select("cluster", F.pmod(F.xxhash64("key", "i", "j"), F.col("parts")).alias("part"), "key", "i", "j", "own", "node", "comp")
+    rows = stage(rows, "near-parts")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for b in batches:
             yield pd.DataFrame({"node": b["row_id"], "members": [np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b["text"].tolist()]})
 
-    asked = open_entries.select(F.col("node").alias("row_id")).distinct()
-    sets = stage(base(docs, id_col, text_col).join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary").join(nodes.select("node", "signature"), "node"), "near-sets")
-    rows = open_entries.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(sets, "node")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for b in batches:
-            b = b if kept is None else pd.concat([kept, b], ignore_index=True)
-            if not len(b):
-                continue
-            turn = b[["key", "i", "j"]].ne(b[["key", "i", "j"]].shift()).any(axis=1).to_numpy()
-            at = [*np.flatnonzero(turn), len(b)]
-            found = [x for lo, hi in zip(at[:-2], at[1:-1]) if hi - lo > 1 for x in bridges(b.iloc[lo:hi])]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-            kept = b.iloc[at[-2] :]
-        if kept is not None and len(kept) > 1:
-            yield pd.DataFrame(bridges(kept), columns=["a", "b"], dtype="int64")
-
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(run, "a long, b long").distinct()
+    asked = rows.select(F.col("node").alias("row_id")).distinct()
+    sets = base(docs, id_col, text_col).join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary")
+    held = rows.select(F.col("cluster").alias("in_cluster"), F.col("part").alias("in_part"), F.col("node").alias("held")).distinct()
+    carried = held.join(sets, F.col("held") == F.col("node")).drop("node").join(nodes.select("node", "signature"), F.col("held") == F.col("node")).select("in_cluster", "in_part", "held", "signature", "members")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        place = pd.Series(np.arange(len(right)), index=right["held"].to_numpy())
+        s = np.frombuffer(b"".join(right["signature"]), np.uint16).reshape(len(right), SYMBOLS)
+        members = [np.frombuffer(x, np.uint32) for x in right["members"]]
+        found: list[tuple[int, int]] = []
+        for (key, i, j), g in left.sort_values(["key", "i", "j", "node"]).groupby(["key", "i", "j"], sort=False):
+            if len(g) > 1:
+                at = place[g["node"]].to_numpy()
+                found += bridges(int(key) & 127, g["node"].to_numpy(), g["comp"].to_numpy(), (g["own"] == i).to_numpy(), i != j, s[at], [members[x] for x in at])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("cluster", "part").cogroup(carried.groupBy("in_cluster", "in_part")).applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
