@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,9 +33,9 @@ from .common import read, ship, small_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 200_000  # distinct words whose ids a task remembers
+CACHE = 600_000  # distinct parts whose ids a worker remembers
 
-#: Tokenisers whose ids for a text are those of its white-space-separated parts in a row.
+#: Tokenisers that drop white space and lower case; see Parts.
 SPLITTABLE = ("word_bpe_49k.json",)
 
 
@@ -96,30 +97,54 @@ def lookup(lines: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarr
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-class Ids(dict):
-    """Token ids, as bytes, of a white-space-free part; filled on demand, emptied when it has grown to CACHE."""
+class Parts(dict):
+    """Token ids, as little-endian 32-bit bytes, of the parts of texts between white space; filled on demand, at most CACHE of them.
+
+    For tokenisers that drop white space and lower case and never join what it parts, nor letters with the marks after them.
+    """
+
+    MARKS = ".,;:!?|*#$%&"
 
     def __init__(self, tokenizer):
-        self.t = tokenizer
+        self.t, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, part: str) -> bytes:
+        core = part.rstrip(self.MARKS)
+        if core is not part and core != part and core.isalpha() and core.isascii():
+            ids = self[core] + self[part[len(core) :]]
+        elif part.isalpha() and part.isascii() and part.islower():  # one word of plain letters: nothing to normalise or part
+            ids = array("I", [x.id for x in self.model.tokenize(part)]).tobytes()
+        else:
+            ids = array("I", self.t.encode(part, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.t.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(part) < 64:
             self[part] = ids
         return ids
 
 
-def encoder(tokenizer_path: str):
+def encoder(path: str):
     """A function from a text to its token ids as little-endian 32-bit bytes."""
-    from tokenizers import Tokenizer
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(path)
+    if path.rsplit("/", 1)[-1] not in SPLITTABLE:
+        return lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+    # On a module that outlives this task, so that a reused worker remembers.
+    parts = tokenizers.__dict__.setdefault("_parts", {}).setdefault(path, None) or Parts(t)
+    tokenizers.__dict__["_parts"][path] = parts
+    split = re.compile(r"[ \t\n\r]+").split
+
+    def encode(text: str) -> bytes:
+        if "<|" not in text:  # lowering must not make a special token
+            try:
+                text.encode("latin-1")  # composed already, and lower case maps each character to one: no change of ids
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return b"".join(map(parts.__getitem__, split(text)))
 
-    t = Tokenizer.from_file(tokenizer_path)
-    if tokenizer_path.rsplit("/", 1)[-1] not in SPLITTABLE:
-        return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    ids, split = Ids(t), re.compile(r"[ \t\n\r]+").split
-    return lambda text: b"".join(map(ids.__getitem__, split(text)))
+    return encode
 
 
 def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, with_ids: bool) -> DataFrame:
@@ -132,8 +157,8 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capaci
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out = []
-            for row, key, text in zip(b["row_id"].tolist(), b["id"].astype("Int64"), b["text"].tolist()):
-                raw = encode(text or "") + end
+            for row, key, ids in zip(b["row_id"].tolist(), b["id"].astype("Int64"), map(encode, [t or "" for t in b["text"].tolist()])):
+                raw = ids + end
                 for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
                     ids = raw[lo : lo + 4 * capacity]
                     n = len(ids) // 4
