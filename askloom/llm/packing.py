@@ -35,6 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 CACHE = 600_000  # distinct parts whose ids a worker remembers
 
+FEW = 200_000  # rows of the table of first ranks (24 bytes each) that may be broadcast
+
 #: Tokenisers that drop white space and lower case; see Parts.
 SPLITTABLE = ("word_bpe_49k.json",)
 
@@ -192,6 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             seq[own], off[own] = at[:, 2] + d // at[:, 1], at[:, 3] + d % at[:, 1] * x
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
+    # A row per task and length: broadcast while it is small by count, so that pieces stay where they are; else both are shuffled.
+    firsts = F.broadcast(firsts) if counts.count() <= FEW else firsts.hint("merge")
     ranked = pieces.join(firsts, ["task", "length"]).withColumn("at", place("length", F.col("first") + F.col("nth")))
     return ranked.select("row_id", "id", "piece", "start", "length", "ids_crc32", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"), *["ids"] * with_ids)
 
