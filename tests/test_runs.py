@@ -125,3 +125,13 @@ def test_ingest_twice(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], one.schema).write.mode("append").parquet(src)
     L.ingest(spark, src, one.schema, out, cp, "id")
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_progress_stream_agrees_with_batch(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id % 5, id, 0) as ts, concat('t', id % 3) as event_type, id as user_id from range(60)")
+    rows.write.parquet(str(tmp_path / "events"))
+    src = str(tmp_path / "events")
+    stream = L.progress(spark.readStream.schema(rows.schema).parquet(src))
+    stream.writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start().awaitTermination()
+    want = {tuple(r) for r in L.progress(spark.read.parquet(src)).collect()}
+    assert {tuple(r) for r in spark.table("progress").collect()} == want and len(want) > 10
