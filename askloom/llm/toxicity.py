@@ -7,7 +7,7 @@ a text is no further evidence, and the discount D(n) = DISCOUNT * sqrt(n) leaves
 shared order. A document is compared by its length-normalised log-likelihood ratio, over the whole text and over its most toxic
 run of WINDOW words; a logistic curve over both, fitted on cross-fitted scores of the labelled rows, turns them into a score.
 
-Learning: labels of at most SAMPLE rows of each class (smallest hashes of their ids), never of held-out rows (crc32 of the id as
+Learning: labels of at most SAMPLE rows of each class (those with the smallest hashes of their ids), never of held-out rows (crc32 of the id as
 text, mod 5, is 0); the shared counts are gathered from all documents. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null text is empty and gets the score of a text without evidence; a null id is not held out and never learned
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read, ship, small_batches
 from .quality import held_out
 
-SAMPLE = 10_000  # labelled rows of each class learned from, at most
+SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
 DISCOUNT, WINDOW, HELD = 2.0, 3, 4_000_000
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -44,13 +44,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(TABLE).split()
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """text, y, fold of distinct labelled texts to learn from, and how many rows have each label."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    first = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first[0].union(first[1])), "id")
-    return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).dropDuplicates(["text", "y"]), sizes
+    first = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most[k]) for k in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # One id for each text, found by hashes: the texts themselves are not shuffled. All tables here are bounded by ``most``.
+    hashed = texts.join(F.broadcast(first[0].union(first[1])), "id").select("id", "y", F.xxhash64("text").alias("h"))
+    kept = hashed.groupBy("h", "y").agg(F.min("id").alias("id")).select("id", "y")
+    rows = texts.join(F.broadcast(kept), "id")
+    return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), sizes
 
 
 def class_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -185,7 +189,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ [whole, peak, 1.0], -30, 30))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model:
     small_batches(docs.sparkSession)
     rows, sizes = sample_of(docs, labels, label, id_col, text_col, sample)
     if len(sizes) < 2:
