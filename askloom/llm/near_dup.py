@@ -38,7 +38,7 @@ CHUNKS, CHUNK = 12, 6
 SYMBOLS = CHUNKS * CHUNK
 FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not confirmed: five deviations from what 75 % gives
 BLOCK = 512
-PART_BYTES = 16 << 20
+PART_BYTES = 2 << 20
 ERRORS = 1
 CACHE = 400_000
 
