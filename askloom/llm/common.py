@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: The column of :func:`numbered`.
+ROW_ID = "__row_id"
 
 
 def ship(module: str) -> None:
@@ -44,6 +46,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of each row, ``__row_id``, written once.
+
+    A scan that is run again may number its rows differently: its splits follow the number of cores that are there at the time.
+    So what joins by row number, in another job than the one that gave the numbers, must take texts and rows from this table.
+    """
+    return stage(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), name)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the Arrow batches of the coming Python stages: whole texts travel in them."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))

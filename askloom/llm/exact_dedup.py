@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, text_of
+from .common import ROW_ID, SPACE, numbered, stage, text_of
 
 PREFIX = 256  # characters under the prefix hash
 
@@ -26,12 +26,15 @@ def normalised(text: str = "text") -> Column:
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per input row: row_id, id, keep_id, group_size, kept, digest (binary; null for texts that never needed one unless ``digests``).
+    """One row per input row: row_id, id, keep_id, group_size, kept, digest (binary; null for texts that never needed one unless ``digests``)."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # With digests one scan does; without, texts are read again by their row numbers.
+    return grouped(docs.withColumn(ROW_ID, F.monotonically_increasing_id()) if digests else numbered(docs, "exact-rows"), "id", "text", digests)
 
-    row_id is the row's place in the scan of ``docs``.
-    """
-    norm = normalised(text_col)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), norm.alias("norm"))
+
+def grouped(rows: DataFrame, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
+    """The same for numbered rows; unless ``digests`` they must be written ones."""
+    keyed = rows.select(F.col(ROW_ID).alias("row_id"), F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
     full = F.unhex(F.sha2("norm", 256))
     slim = stage(
         keyed.select("row_id", "id", F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head"), *[full.alias("digest")] * digests),
@@ -60,9 +63,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged. ``docs`` must be a scan that reruns alike (a table, files)."""
-    kept = duplicates(docs, id_col, text_col).where("kept").select(F.col("row_id").alias("__row_id"))
-    return docs.withColumn("__row_id", F.monotonically_increasing_id()).join(kept, "__row_id", "left_semi").drop("__row_id")
+    """The rows of ``docs`` that stay, all columns unchanged."""
+    rows = numbered(docs, "exact-rows")
+    kept = grouped(rows, id_col, text_col).where("kept").select(F.col("row_id").alias(ROW_ID))
+    return rows.join(kept, ROW_ID, "left_semi").drop(ROW_ID)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read, stage, text_of
+from .common import ROW_ID, WORD, numbered, read, stage, text_of
 
 BLOCK = 128  # words
 SLOTS = 1024  # blocks in an output shard
@@ -53,10 +53,10 @@ def last_upto(entries: str, field: str, x: Column) -> Column:
     return F.element_at(F.filter(entries, lambda c: c.getField(field) <= x), -1)
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """row_id, id, source, skey (never null), size in words, bucket."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_id: str | None = None) -> DataFrame:
+    """row_id (the place in this scan unless a column is named), id, source, skey (never null), size in words, bucket."""
     base = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("skey"),
@@ -129,9 +129,9 @@ def blocks_taken(sources: DataFrame, seed: int = 1) -> DataFrame:
     return s.select("skey", block.alias("block")).groupBy("skey", "block").agg(F.count("*").alias("times"))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_id: str | None = None) -> DataFrame:
     """Every row cut at block bounds: row_id, id, skey, size, first word, words, times (null and 0 for a row without words)."""
-    sizes = sized(docs, id_col, text_col, source_col)
+    sizes = sized(docs, id_col, text_col, source_col, row_id)
     sources = stage(targets(sizes).coalesce(1), "mix-targets")
     lo, hi = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     cut = positions(sizes).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(lo, hi))))
@@ -155,10 +155,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A pass that takes every word keeps the text as it was; else the taken words are joined by single spaces. Rows of which
     nothing is taken go. If there is an ``n_chars`` column it follows the new text.
     """
-    p = pieces(docs, id_col, text_col, source_col, seed).where("times > 0")
+    rows = numbered(docs, "mix-rows")
+    p = pieces(rows, id_col, text_col, source_col, seed, ROW_ID).where("times > 0")
     p = p.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     spans = p.groupBy("row_id", "pass").agg(F.sum("words").alias("__n"), F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"))
-    base = docs.withColumn("__row_id", F.monotonically_increasing_id()).join(spans.withColumnRenamed("row_id", "__row_id"), "__row_id")
+    base = rows.join(spans.withColumnRenamed("row_id", ROW_ID), ROW_ID)
     words = F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
     base = base.withColumn("__words", F.when(F.col("__n") < F.col("__size"), words))

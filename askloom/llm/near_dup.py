@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, ship, small_batches, stage
+from .common import ROW_ID, numbered, read, ship, small_batches, stage
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, CHUNK = 12, 6
@@ -99,8 +99,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_id, id, n (set size), set_hash, signature; the last two are null for an empty set."""
+def sketch(texts: DataFrame) -> DataFrame:
+    """row_id, id, n (set size), set_hash, signature; the last two are null for an empty set. ``texts``: row_id, id, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -120,11 +120,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 }
             )
 
-    return base(docs, id_col, text_col).mapInPandas(run, "row_id long, id long, n long, set_hash binary, signature binary")
+    return texts.mapInPandas(run, "row_id long, id long, n long, set_hash binary, signature binary")
 
 
-def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row_id, id, text of numbered rows."""
+    return rows.select(F.col(ROW_ID).alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def index(nodes: DataFrame) -> DataFrame:
@@ -159,8 +160,8 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) of nodes (row ids) those whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of nodes (row ids of ``texts``) those whose full sets are similar enough."""
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -177,7 +178,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
             yield p.loc[np.array(linked, bool), ["a", "b"]]
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    sets = stage(base(docs, id_col, text_col).join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary"), "near-sets")
+    sets = stage(texts.join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary"), "near-sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"x{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInPandas(run, "a long, b long")
 
@@ -237,7 +238,7 @@ def bridges(slot: int, node: np.ndarray, comp: np.ndarray, first: np.ndarray, cr
     return out
 
 
-def cross_links(entries: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def cross_links(entries: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Likely links (a, b) between different components that share a bucket; entries: key, node, comp.
 
     A task gets block pairs of buckets that have their smallest component in common, and each of their nodes once, about
@@ -258,7 +259,7 @@ def cross_links(entries: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
             yield pd.DataFrame({"node": b["row_id"], "members": [np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b["text"].tolist()]})
 
     asked = rows.select(F.col("node").alias("row_id")).distinct()
-    sets = base(docs, id_col, text_col).join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary")
+    sets = texts.join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary")
     held = rows.select(F.col("cluster").alias("in_cluster"), F.col("part").alias("in_part"), F.col("node").alias("held")).distinct()
     carried = held.join(sets, F.col("held") == F.col("node")).drop("node").join(nodes.select("node", "signature"), F.col("held") == F.col("node")).select("in_cluster", "in_part", "held", "signature", "members")
 
@@ -277,23 +278,25 @@ def cross_links(entries: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: row_id, id, n_shingles, component_id (smallest id of the component), kept.
+    """One row per input row: row_id, id, n_shingles, component_id (smallest id of the component), kept."""
+    return grouped(base(numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "near-rows"), "id", "text"))
 
-    ``docs`` must be a scan that reruns alike (a table, files): row_id is the row's place in it.
-    """
-    small_batches(docs.sparkSession)
-    rows = stage(sketch(docs, id_col, text_col), "near-sketch")
+
+def grouped(texts: DataFrame) -> DataFrame:
+    """The same for written ``texts``: row_id, id, text."""
+    small_batches(texts.sparkSession)
+    rows = stage(sketch(texts), "near-sketch")
     nodes = stage(rows.where("n > 0").groupBy("set_hash").agg(F.min("row_id").alias("node"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "near-nodes")
     keys = index(nodes)
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     buckets = stage(keys.join(shared, "key"), "near-buckets")
     pairs = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = stage(near(pairs, nodes), "near-pairs")
-    links = stage(confirmed(tried, docs, id_col, text_col), "near-links")
+    links = stage(confirmed(tried, texts), "near-links")
     comp = stage(components(links), "near-components")
     entries = buckets.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    more = stage(cross_links(entries, nodes, docs, id_col, text_col).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    more_links = stage(confirmed(more, docs, id_col, text_col), "near-links")
+    more = stage(cross_links(entries, nodes, texts).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more_links = stage(confirmed(more, texts), "near-links")
     comp = stage(components(links.union(more_links)), "near-components")
     labelled = nodes.join(comp, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
@@ -305,8 +308,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, all columns unchanged."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("row_id").alias("__row_id"))
-    return docs.withColumn("__row_id", F.monotonically_increasing_id()).join(kept, "__row_id", "left_semi").drop("__row_id")
+    rows = numbered(docs, "near-rows")
+    kept = grouped(base(rows, id_col, text_col)).where("kept").select(F.col("row_id").alias(ROW_ID))
+    return rows.join(kept, ROW_ID, "left_semi").drop(ROW_ID)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
