@@ -279,11 +279,12 @@ def cross_links(entries: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: row_id, id, n_shingles, component_id (smallest id of the component), kept."""
-    return grouped(base(numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "near-rows"), "id", "text"))
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "near-rows")
+    return grouped(base(rows, "id", "text")).drop("root").withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def grouped(texts: DataFrame) -> DataFrame:
-    """The same for written ``texts``: row_id, id, text."""
+    """row_id, id, n_shingles, root (a row number, one for each component), component_id of written ``texts``: row_id, id, text."""
     small_batches(texts.sparkSession)
     rows = stage(sketch(texts), "near-sketch")
     nodes = stage(rows.where("n > 0").groupBy("set_hash").agg(F.min("row_id").alias("node"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "near-nodes")
@@ -300,16 +301,16 @@ def grouped(texts: DataFrame) -> DataFrame:
     comp = stage(components(links.union(more_links)), "near-components")
     labelled = nodes.join(comp, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = labelled.join(least, "root").select("set_hash", "component")
+    named = labelled.join(least, "root").select("set_hash", "root", "component")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
-    out = rows.select("row_id", "id", "n", "set_hash").join(named, "set_hash", "left").select("row_id", "id", F.col("n").alias("n_shingles"), component)
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return rows.select("row_id", "id", "n", "set_hash").join(named, "set_hash", "left").select("row_id", "id", F.col("n").alias("n_shingles"), F.coalesce("root", "row_id").alias("root"), component)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, all columns unchanged."""
+    """One document of each group, all columns unchanged: that of the smallest id (null last), of repeated ids the first row."""
     rows = numbered(docs, "near-rows")
-    kept = grouped(base(rows, id_col, text_col)).where("kept").select(F.col("row_id").alias(ROW_ID))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_id")).alias("first")
+    kept = grouped(base(rows, id_col, text_col)).groupBy("root").agg(first).select(F.col("first.row_id").alias(ROW_ID))
     return rows.join(kept, ROW_ID, "left_semi").drop(ROW_ID)
 
 
