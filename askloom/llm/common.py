@@ -12,6 +12,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,20 +32,50 @@ def ship(module: str) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir; a temporary one where that is unset in local mode (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.askloom.workdir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="askloom-")
         spark.conf.set("spark.askloom.workdir", shared)
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold within the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back: lineage ends there, later readers prune its columns."""
+    """Write ``df`` under the shared folder and read it back: lineage ends there, later readers prune its columns.
+
+    Shuffle files of the write go once it is done; a lost executor costs a rerun of the tasks whose files it held.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._staged)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -55,11 +87,31 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return stage(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), name)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches of the coming Python stages: whole texts travel in them."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: 4 KB bitmaps of row numbers (32,768 numbers each) that may be broadcast: 64 MB.
+BITMAPS = 16_384
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, row_id: str = ROW_ID, keep: bool = True) -> DataFrame:
+    """The rows whose number is (or, unless ``keep``, is not) among ``ids`` (one column of the same name, of :func:`numbered`).
+
+    The rows stay where they are: the numbers of a scan are dense, so one bit a row, as a broadcast table of bitmaps, tells which
+    are meant. Its size is counted first; beyond BITMAPS of them (5e8 rows) rows and numbers are shuffled to each other.
+    """
+    maps = stage(ids.groupBy(F.bitmap_bucket_number(row_id).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row_id)).alias("__bits")), "bitmaps")
+    if maps.count() > BITMAPS:
+        return rows.join(ids.select(row_id).distinct(), row_id, "left_semi" if keep else "left_anti").select(*rows.columns)
+    at = F.bitmap_bit_position(row_id)
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) > 0, F.lit(False))
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(row_id)).join(F.broadcast(maps), "__bucket", "inner" if keep else "left")
+    return met.where(bit if keep else ~bit).select(*rows.columns)
+
+
+def small_batches(spark: SparkSession, n_bytes: int = 2 << 20) -> None:
+    """Bound the bytes of an Arrow batch: whole texts travel in them. Batches of slim rows stay as long as they were."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > n_bytes:
+        spark.conf.set(name, f"{n_bytes}b")
 
 
 def text_of(text: str | Column = "text") -> Column:

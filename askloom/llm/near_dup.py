@@ -7,18 +7,19 @@ each symbol left out, and all pairs under that distance meet in a bucket. At a s
 0.53, so a pair misses all 12 with a probability of about 1e-4, and less above.
 
 No bucket is expanded into all its pairs. First each bucket's nodes are compared with its smallest node; confirmed links are
-contracted to components. Then only buckets that still hold several components are searched within tasks, in blocks of about
-BLOCK nodes against each other: pairs of different components whose signatures are near enough are compared on their sets where
-they stand, each in the first bucket that both share, and only links that join components leave the task, to be confirmed as
-well. A pair that is skipped lies in one component already, so no link between components is lost.
+contracted to components. Then only buckets that still hold several components are searched within tasks: blocks of the nodes
+outside the bucket's main component meet slices of all its nodes; pairs of different components whose signatures are near enough
+are compared on their sets where they stand, each in the first bucket that both share, and only links that join components leave
+the task, to be confirmed as well. A pair that is skipped lies in one component already, so no link between components is lost.
 
 Defined cases: null text or no words: an empty set, linked with nothing, its own component; fewer words than a shingle: the whole
 sequence is the one shingle; a null id is no component's smallest unless all are null; repeated rows share a component; an empty
 table gives an empty result; other columns are ignored; whole texts are read.
 
-Scale: sketches, index entries, links and components stay distributed; joins on index keys and on hub nodes are plain equi-joins
-that adaptive execution can split; components come from alternating large-star and small-star rounds with the table written
-between rounds.
+Scale: texts never travel: what is asked of them is picked in the scan by bitmaps of row numbers (``common.with_ids``), and only
+the sets of candidate documents are shuffled. Index entries travel once, combined in each task before. Joins on nodes and hubs are
+plain equi-joins that adaptive execution can split; components come from alternating large-star and small-star rounds with the
+table written between rounds; tables that a later step replaces are deleted.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, numbered, read, ship, small_batches, stage
+from .common import ROW_ID, discard, numbered, read, ship, small_batches, stage, with_ids
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, CHUNK = 12, 6
 SYMBOLS = CHUNKS * CHUNK
 FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not confirmed: five deviations from what 75 % gives
-BLOCK = 512
+BLOCK, SLICE = 512, 4096
+GATHER = 16_384  # nodes whose index entries a task groups at once
 PART_BYTES = 2 << 20
 ERRORS = 1
 CACHE = 400_000
@@ -128,22 +130,60 @@ def base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(ROW_ID).alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def index(nodes: DataFrame) -> DataFrame:
-    """key, node: every chunk of every signature with each of its symbols left out."""
+def index_keys(signature: np.ndarray) -> np.ndarray:
+    """Every chunk of every signature with each of its symbols left out: a row of SYMBOLS keys for each."""
+    s = signature.astype(np.uint64)
+    part = (s + np.uint64(1)) * KEY_MULTIPLIER  # of each symbol at its place
+    part = (part ^ (part >> np.uint64(31))) * MIX
+    total = part.reshape(len(s), CHUNKS, CHUNK).sum(axis=2, dtype=np.uint64)
+    keys = np.repeat(total, CHUNK, axis=1) - part + np.arange(1, SYMBOLS + 1, dtype=np.uint64) * POWERS[1]
+    return ((mixed(keys) & ~np.uint64(127)) | np.arange(SYMBOLS, dtype=np.uint64)).view(np.int64)  # the low bits tell the slot
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            s = np.frombuffer(b"".join(b["signature"]), np.uint16).reshape(len(b), SYMBOLS).astype(np.uint64)
-            part = (s + np.uint64(1)) * KEY_MULTIPLIER  # of each symbol at its place
-            part = (part ^ (part >> np.uint64(31))) * MIX
-            total = part.reshape(len(b), CHUNKS, CHUNK).sum(axis=2, dtype=np.uint64)
-            keys = np.repeat(total, CHUNK, axis=1) - part + np.arange(1, SYMBOLS + 1, dtype=np.uint64) * POWERS[1]
-            keys = (mixed(keys) & ~np.uint64(127)) | np.arange(SYMBOLS, dtype=np.uint64)  # the low bits tell the slot
-            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "node": np.repeat(b["node"].to_numpy(), SYMBOLS)})
 
-    return nodes.select("node", "signature").mapInPandas(run, "key long, node long")
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, hub, node for every index entry that shares its key with another one; every node of a key is led to its smallest node.
+
+    A task first groups its own entries, GATHER nodes at a time: of each key only the smallest node travels by the key, so a key
+    that a third of all nodes have costs one row for each GATHER of them; the others know their local hub already and travel by
+    a hash of their own. So a window holds at most one row for each GATHER nodes.
+    """
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def grouped_here() -> Iterator[pd.DataFrame]:
+            node = np.concatenate([b["node"].to_numpy() for b in held])
+            s = np.frombuffer(b"".join(x for b in held for x in b["signature"]), np.uint16).reshape(len(node), SYMBOLS)
+            order = np.argsort(node, kind="stable")
+            node, keys = np.repeat(node[order], SYMBOLS), index_keys(s[order]).ravel()
+            order = np.argsort(keys, kind="stable")  # by key, then node
+            node, keys = node[order], keys[order]
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.concatenate([start, [len(keys)]]))
+            hub = np.repeat(node[start], n)
+            led = np.ones(len(keys), bool)
+            led[start] = False
+            own = mixed((keys ^ (node * MIX.view(np.int64))).view(np.uint64)).view(np.int64)
+            # told: 0 for the only node of a key here, 1 for the smallest of several, else the hub and 2. Runs of zeros compress.
+            out = pd.DataFrame({"place": np.where(led, own, keys), "node": node, "key": np.where(led, keys, 0), "told": np.where(led, hub + 2, np.repeat(n > 1, n))})
+            for at in range(0, len(out), 1 << 16):
+                yield out[at : at + (1 << 16)]
+
+        for b in batches:
+            if len(b):
+                held.append(b)
+                size += len(b)
+            if size >= GATHER:
+                yield from grouped_here()
+                held, size = [], 0
+        if held:
+            yield from grouped_here()
+
+    rows = nodes.select("node", "signature").mapInPandas(gather, "place long, node long, key long, told long")
+    travels, met = F.col("told") < 2, Window.partitionBy("place")
+    rows = rows.withColumns({"least": F.min(F.when(travels, F.col("node"))).over(met), "n": F.count(F.when(travels, F.lit(1))).over(met)})
+    key, hub = F.when(travels, F.col("place")).otherwise(F.col("key")), F.when(travels, F.col("least")).otherwise(F.col("told") - 2)
+    return rows.where((F.col("told") > 0) | (F.col("n") > 1)).select(key.alias("key"), hub.alias("hub"), "node")
 
 
 def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,10 +217,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield p.loc[np.array(linked, bool), ["a", "b"]]
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    sets = stage(texts.join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary"), "near-sets")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row_id"))
+    sets = stage(with_ids(texts, asked, "row_id").select("row_id", "text").mapInPandas(sets_of, "node long, members binary"), "near-sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"x{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInPandas(run, "a long, b long")
+    links = stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInPandas(run, "a long, b long"), "near-links")
+    discard(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,7 +238,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = stage(small.where("u <> v").distinct(), "stars")
+        old, edges = edges, stage(small.where("u <> v").distinct(), "stars")
+        discard(old)
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(roots.select("root", "root").distinct())
 
@@ -211,70 +254,91 @@ def home(different: np.ndarray) -> np.ndarray:
     return np.where(meets[rows, chunk], chunk * CHUNK + d[rows, chunk].argmax(axis=1), -1)
 
 
-def bridges(slot: int, node: np.ndarray, comp: np.ndarray, first: np.ndarray, cross: bool, s: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between different components of a bucket, or of two of its blocks: enough of them to join what is linked.
+def bridges(slot: int, node: np.ndarray, comp: np.ndarray, other: np.ndarray, whole: np.ndarray, main: int, s: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different components within a part of a bucket: enough of them to join what is linked.
 
-    Every pair is looked at in one bucket, the first that both nodes share (its slot). Near pairs are compared on their sets,
-    nearest first; once a link joins two components their other pairs need no look. ``first`` marks the first block's rows.
+    Rows marked ``other`` (none of component ``main``) are compared with the rows marked ``whole``. Every pair is looked at in one
+    bucket, the first that both nodes share (its slot). Near pairs are compared on their sets, nearest first; once a link joins two
+    components their other pairs need no look.
     """
-    comp, n, out = comp.copy(), np.array(list(map(len, sets))), []
-    for r in np.flatnonzero(first) if cross else range(len(node)):
-        c = np.flatnonzero(~first) if cross else np.arange(r + 1, len(node))
-        c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * (PERCENT - 1))]
+    at, n, out = comp.copy(), np.array(list(map(len, sets))), []
+    for r in np.flatnonzero(other):
+        # Two of the others meet twice; the smaller node's turn counts.
+        c = np.flatnonzero(whole & (at != at[r]) & ((comp == main) | (node > node[r])))
+        c = c[np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * (PERCENT - 1)]
         if not len(c):
             continue
         different = s[c] != s[r]
         far = different.sum(axis=1)
         keep = (far <= FAR) & (home(different) == slot)
         for x in c[keep][np.argsort(far[keep], kind="stable")]:
-            if comp[x] == comp[r]:
+            if at[x] == at[r]:
                 continue
             both, total = len(np.intersect1d(sets[r], sets[x], assume_unique=True)), n[r] + n[x]
             # 32-bit hashes may collide: full sets decide, and only a link beyond that doubt joins components here.
             if 100 * (both + 2) >= PERCENT * (total - both - 2):
                 out.append((int(min(node[r], node[x])), int(max(node[r], node[x]))))
                 if 100 * (both - 2) >= PERCENT * (total - both + 2):
-                    comp[comp == comp[x]] = comp[r]
+                    at[at == at[x]] = at[r]
     return out
 
 
+def open_rows(entries: DataFrame) -> DataFrame:
+    """main, key, i, j, node, comp, other, whole: what the parts (i, j) of buckets with several components hold; entries: key, node, comp.
+
+    ``main`` is the component that most nodes of the bucket have. Only the others are compared with all: block i of the others meets
+    slice j of all. So a bucket of m nodes, o of them in other components, makes about 2 * m * o / BLOCK rows, not m * m.
+    """
+    counts = entries.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    several = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("top"), F.sum("c").alias("size")).where("comps > 1")
+    several = several.select("key", "main", F.ceil((F.col("size") - F.col("top")) / BLOCK).alias("blocks"), F.ceil(F.col("size") / SLICE).alias("slices"))
+    rows = entries.join(several, "key").withColumn("own", F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("node", "key"), F.col("blocks")))).withColumn("slice", F.pmod(F.xxhash64("key", "node"), F.col("slices")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j, other, whole: F.struct(i.alias("i"), j.alias("j"), other.alias("other"), whole.alias("whole"))
+    across = F.transform(upto("blocks"), lambda i: cell(i, F.col("slice"), F.coalesce(i == F.col("own"), F.lit(False)), F.lit(True)))
+    along = F.transform(F.filter(upto("slices"), lambda j: j != F.col("slice")), lambda j: cell(F.col("own"), j, F.lit(True), F.lit(False)))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("own").isNull(), across).otherwise(F.concat(across, along))))
+    return rows.select("main", "key", "cell.i", "cell.j", "node", "comp", "cell.other", "cell.whole")
+
+
 def cross_links(entries: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Likely links (a, b) between different components that share a bucket; entries: key, node, comp.
 
-    A task gets block pairs of buckets that have their smallest component in common, and each of their nodes once, about
-    PART_BYTES of sets: the buckets of one group of near copies hold much the same nodes.
+    A task gets parts of buckets that have their main component in common, and each of their nodes once, about PART_BYTES of sets:
+    the buckets of one group of near copies hold much the same nodes.
     """
-    several = entries.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("key", F.col("c1").alias("cluster"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    # The blocks of a bucket meet in pairs.
-    rows = entries.join(several, "key").join(nodes.select("node", "n"), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = stage(rows.select("cluster", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n"), "near-open")
-    parts = rows.groupBy("cluster").agg(F.ceil((F.sum("n") * 4 + F.count("*") * 200) / PART_BYTES).alias("parts"))
-    rows = rows.join(parts, "cluster").select("cluster", F.pmod(F.xxhash64("key", "i", "j"), F.col("parts")).alias("part"), "key", "i", "j", "own", "node", "comp")
-    rows = stage(rows, "near-parts")
+    rows = stage(open_rows(entries).join(nodes.select("node", "n"), "node"), "near-open")
+    parts = rows.groupBy("main").agg(F.ceil((F.sum("n") * 4 + F.count("*") * 200) / PART_BYTES).alias("parts"))
+    # Merged, so that the rows of one main component are split where they are many.
+    dealt = rows.join(parts.hint("merge"), "main").select("main", F.pmod(F.xxhash64("key", "i", "j"), F.col("parts")).alias("part"), "key", "i", "j", "node", "comp", "other", "whole")
+    dealt, opened = stage(dealt, "near-parts"), rows
+    discard(opened)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for b in batches:
             yield pd.DataFrame({"node": b["row_id"], "members": [np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b["text"].tolist()]})
 
-    asked = rows.select(F.col("node").alias("row_id")).distinct()
-    sets = texts.join(asked, "row_id", "left_semi").select("row_id", "text").mapInPandas(sets_of, "node long, members binary")
-    held = rows.select(F.col("cluster").alias("in_cluster"), F.col("part").alias("in_part"), F.col("node").alias("held")).distinct()
-    carried = held.join(sets, F.col("held") == F.col("node")).drop("node").join(nodes.select("node", "signature"), F.col("held") == F.col("node")).select("in_cluster", "in_part", "held", "signature", "members")
+    asked = dealt.select(F.col("node").alias("row_id"))
+    sets = with_ids(texts, asked, "row_id").select("row_id", "text").mapInPandas(sets_of, "node long, members binary")
+    held = dealt.select(F.col("main").alias("in_main"), F.col("part").alias("in_part"), F.col("node").alias("held")).distinct()
+    carried = held.join(sets, F.col("held") == F.col("node")).drop("node").join(nodes.select("node", "signature"), F.col("held") == F.col("node")).select("in_main", "in_part", "held", "signature", "members")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         place = pd.Series(np.arange(len(right)), index=right["held"].to_numpy())
         s = np.frombuffer(b"".join(right["signature"]), np.uint16).reshape(len(right), SYMBOLS)
         members = [np.frombuffer(x, np.uint32) for x in right["members"]]
+        left = left.sort_values(["key", "i", "j", "node"], kind="stable", ignore_index=True)
+        at = place[left["node"]].to_numpy()
+        node, comp, other, whole, main = (left[c].to_numpy() for c in ("node", "comp", "other", "whole", "main"))
         found: list[tuple[int, int]] = []
-        for (key, i, j), g in left.sort_values(["key", "i", "j", "node"]).groupby(["key", "i", "j"], sort=False):
-            if len(g) > 1:
-                at = place[g["node"]].to_numpy()
-                found += bridges(int(key) & 127, g["node"].to_numpy(), g["comp"].to_numpy(), (g["own"] == i).to_numpy(), i != j, s[at], [members[x] for x in at])
+        for (key, _, _), g in left.groupby(["key", "i", "j"], sort=False).indices.items():
+            found += bridges(int(key) & 127, node[g], comp[g], other[g], whole[g], int(main[0]), s[at[g]], [members[x] for x in at[g]])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("cluster", "part").cogroup(carried.groupBy("in_cluster", "in_part")).applyInPandas(run, "a long, b long").distinct()
+    links = stage(dealt.groupBy("main", "part").cogroup(carried.groupBy("in_main", "in_part")).applyInPandas(run, "a long, b long").distinct(), "near-bridges")
+    discard(dealt)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,17 +352,17 @@ def grouped(texts: DataFrame) -> DataFrame:
     small_batches(texts.sparkSession)
     rows = stage(sketch(texts), "near-sketch")
     nodes = stage(rows.where("n > 0").groupBy("set_hash").agg(F.min("row_id").alias("node"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "near-nodes")
-    keys = index(nodes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    buckets = stage(keys.join(shared, "key"), "near-buckets")
-    pairs = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    entries = stage(buckets(nodes), "near-buckets")
+    pairs = entries.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = stage(near(pairs, nodes), "near-pairs")
-    links = stage(confirmed(tried, texts), "near-links")
+    links = confirmed(tried, texts)
     comp = stage(components(links), "near-components")
-    entries = buckets.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    more = stage(cross_links(entries, nodes, texts).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    more_links = stage(confirmed(more, texts), "near-links")
+    known = entries.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    more = stage(cross_links(known, nodes, texts).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more_links = confirmed(more, texts)
+    discard(entries, tried, more, comp)
     comp = stage(components(links.union(more_links)), "near-components")
+    discard(links, more_links)
     labelled = nodes.join(comp, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
     named = labelled.join(least, "root").select("set_hash", "root", "component")
@@ -311,7 +375,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = numbered(docs, "near-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_id")).alias("first")
     kept = grouped(base(rows, id_col, text_col)).groupBy("root").agg(first).select(F.col("first.row_id").alias(ROW_ID))
-    return rows.join(kept, ROW_ID, "left_semi").drop(ROW_ID)
+    return with_ids(rows, kept).drop(ROW_ID)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

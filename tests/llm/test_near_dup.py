@@ -3,6 +3,8 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from askloom.llm import near_dup as N
 
@@ -56,6 +58,8 @@ def test_components_match_brute_force(docs):
 
 def test_large_group_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 20)
+    monkeypatch.setattr(N, "SLICE", 50)
+    monkeypatch.setattr(N, "GATHER", 30)
     rows = corpus(2, 2, 120, 80, 4)
     assert {r.id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs(rows)).collect()} == brute(rows)
 
@@ -68,7 +72,8 @@ def test_signatures_estimate_similarity():
     assert 0.6 < same < 0.95 and (s[1] == s[2]).mean() < 0.1
 
 
-def test_index_finds_all_pairs_under_the_distance(spark):
+@pytest.mark.parametrize(("gather", "parts"), [(16_384, 1), (7, 1), (7, 4)])
+def test_index_finds_all_pairs_under_the_distance(spark, monkeypatch, gather, parts):
     """Pigeonhole: any two signatures at most CHUNKS * 2 - 1 apart share a key."""
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**16, (1, N.SYMBOLS)).astype(np.uint16)
@@ -77,9 +82,13 @@ def test_index_finds_all_pairs_under_the_distance(spark):
         b = a.copy()
         b[0, rng.choice(N.SYMBOLS, N.CHUNKS * 2 - 1, replace=False)] += 1
         rows.append((k, b.tobytes()))
-    keys = N.index(spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "node long, signature binary"))
-    mine = keys.where("node = 0").select("key")
-    assert keys.join(mine, "key", "left_semi").select("node").distinct().count() == 60
+    monkeypatch.setattr(N, "GATHER", gather)
+    met = N.buckets(spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "node long, signature binary").repartition(parts))
+    mine = met.where("node = 0").select("key")
+    assert met.join(mine, "key", "left_semi").select("node").distinct().count() == 60
+    assert met.where("hub > node").count() == 0 and met.groupBy("key", "node").count().where("count > 1").count() == 0
+    # Every key's nodes are led to its smallest one, at once or by way of a task's own smallest one.
+    assert met.groupBy("key").agg(F.min("hub").alias("h"), F.min("node").alias("n")).where("h <> n").count() == 0
     different = np.stack([np.frombuffer(x, np.uint16) for _, x in rows[1:]]) != a
     assert (N.home(different) >= 0).all()
 
