@@ -32,14 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, discard, numbered, read, ship, small_batches, stage, with_ids
+from .common import ROW_ID, discard, field, numbered, read, ship, small_batches, stage, unnumbered, with_ids
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, CHUNK = 12, 6
 SYMBOLS = CHUNKS * CHUNK
 FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not confirmed: five deviations from what 75 % gives
 BLOCK, SLICE = 512, 4096
-GATHER = 16_384  # nodes whose index entries a task groups at once
+GATHER = 4096  # nodes whose index entries a task groups at once
+FEW = 200_000  # rows of a table of two numbers that may be broadcast
 PART_BYTES = 2 << 20
 ERRORS = 1
 CACHE = 400_000
@@ -127,7 +128,7 @@ def sketch(texts: DataFrame) -> DataFrame:
 
 def base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_id, id, text of numbered rows."""
-    return rows.select(F.col(ROW_ID).alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.select(F.col(ROW_ID).alias("row_id"), field(id_col).cast("long").alias("id"), field(text_col).alias("text"))
 
 
 def index_keys(signature: np.ndarray) -> np.ndarray:
@@ -308,9 +309,10 @@ def cross_links(entries: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     the buckets of one group of near copies hold much the same nodes.
     """
     rows = stage(open_rows(entries).join(nodes.select("node", "n"), "node"), "near-open")
-    parts = rows.groupBy("main").agg(F.ceil((F.sum("n") * 4 + F.count("*") * 200) / PART_BYTES).alias("parts"))
-    # Merged, so that the rows of one main component are split where they are many.
-    dealt = rows.join(parts.hint("merge"), "main").select("main", F.pmod(F.xxhash64("key", "i", "j"), F.col("parts")).alias("part"), "key", "i", "j", "node", "comp", "other", "whole")
+    parts = stage(rows.groupBy("main").agg(F.ceil((F.sum("n") * 4 + F.count("*") * 200) / PART_BYTES).alias("parts")), "near-shares")
+    # Staged and, beyond FEW, merged, so that the rows of one main component can be split.
+    parts = F.broadcast(parts) if parts.count() <= FEW else parts.hint("merge")
+    dealt = rows.join(parts, "main").select("main", F.pmod(F.xxhash64("key", "i", "j"), F.col("parts")).alias("part"), "key", "i", "j", "node", "comp", "other", "whole")
     dealt, opened = stage(dealt, "near-parts"), rows
     discard(opened)
 
@@ -375,7 +377,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = numbered(docs, "near-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_id")).alias("first")
     kept = grouped(base(rows, id_col, text_col)).groupBy("root").agg(first).select(F.col("first.row_id").alias(ROW_ID))
-    return with_ids(rows, kept).drop(ROW_ID)
+    return unnumbered(with_ids(rows, kept))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
