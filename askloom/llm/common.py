@@ -16,14 +16,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: The column of :func:`numbered`.
-ROW_ID = "__row_id"
+#: The columns of :func:`numbered`.
+ROW_ID, ROW = "__row_id", "__row"
 
 
 def ship(module: str) -> None:
@@ -79,12 +79,39 @@ def discard(*tables: DataFrame) -> None:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number of each row, ``__row_id``, written once.
+    """``__row_id``, a number of each row of ``docs``, and ``__row``, the row itself as one struct; written once.
 
     A scan that is run again may number its rows differently: its splits follow the number of cores that are there at the time.
     So what joins by row number, in another job than the one that gave the numbers, must take texts and rows from this table.
+    As the row is one column, no name of its fields can clash with one of an operator's own; readers still prune its fields.
     """
-    return stage(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), name)
+    return stage(docs.select(F.monotonically_increasing_id().alias(ROW_ID), F.struct("*").alias(ROW)), name)
+
+
+def field(name: str) -> Column:
+    """A column of the table that was numbered."""
+    return F.col(f"{ROW}.`{name}`")
+
+
+def unnumbered(rows: DataFrame) -> DataFrame:
+    """The columns of the table that was numbered."""
+    return rows.select(*[field(c).alias(c) for c in rows.schema[ROW].dataType.names])
+
+
+def laid_out(rows: DataFrame, lane: list[str], key: list[str], payload: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Places of rows in streams: (units, offsets); ``rows`` has row_id, size, bucket, the lane (its stream), the key and the payload.
+
+    A lane's rows stand in the order of (bucket, key), which comes from the rows alone: neither splits nor cores change it. Rows
+    of one key are interchangeable and have one size. A unit is the rows of one key that one task of the numbering scan saw: a key
+    that a third of all rows share is a few rows a task here, and its list of rows is bounded by that task's. units: lane, bucket,
+    key, n, size, rows (array of row_id and payload), start and rank of its first row within (lane, bucket); offsets: lane, bucket,
+    words (the bucket's sum of sizes), n.
+    """
+    units = rows.groupBy(*lane, "bucket", *key, F.shiftright("row_id", 33).alias("part")).agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("row_id", *payload))).alias("rows"))
+    before = Window.partitionBy(*lane, "bucket").orderBy(*key, "part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    units = stage(units.withColumns({"start": so_far(F.col("n") * F.col("size")), "rank": so_far("n")}), name)
+    return units, units.groupBy(*lane, "bucket").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("words"), F.sum("n").cast("long").alias("n"))
 
 
 #: 4 KB bitmaps of row numbers (32,768 numbers each) that may be broadcast: 64 MB.
