@@ -11,10 +11,13 @@ twice its source's size and the excess is shared again by weight until none is a
 most twice, no document is taken more than twice over.
 
 Defined cases: null text or no words: size 0 and nothing taken; a null source is a source of its own; repeated rows are
-documents of their own; an empty table gives an empty result; the same input gives the same mix (all chance is hashed).
+documents of their own; an empty table gives an empty result; the same rows give the same mix, however they are split (all
+chance is hashed from ids and texts; of rows with one id and text it is open which of them gets which share); columns of any
+name pass through.
 
 Scale: positions within a source are two-level prefix sums over hashed buckets, so a source with a third of all rows is spread
-over BUCKETS windows. The table of sources itself (one row each) is handled in one task and in one array.
+over BUCKETS windows, and rows alike in id and text are combined before (``common.laid_out``). What has a row per source is
+broadcast while there are at most FEW sources, and merged beyond; a slot finds its source by an equi-join on BINS of the number line.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, WORD, numbered, read, stage, text_of
+from .common import ROW_ID, WORD, field, laid_out, numbered, read, stage, text_of
 
 BLOCK = 128  # words
 SLOTS = 1024  # blocks in an output shard
@@ -31,6 +34,8 @@ ROUNDS = 24  # of the swap-or-not shuffle
 SHARE = 1.5
 LIMIT = 2  # times its size that a source is taken
 WEIGHTS = (5, 2, 1)
+FEW = 100_000  # sources whose table (some 100 bytes a row) may be broadcast
+BINS = 4096  # of the line of all slots
 
 
 def shuffled(i: Column, n: Column, *key: Column) -> Column:
@@ -48,28 +53,39 @@ def uniform(*key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(2**53))
 
 
-def last_upto(entries: str, field: str, x: Column) -> Column:
-    """The last of the sorted entries whose field is at most x."""
-    return F.element_at(F.filter(entries, lambda c: c.getField(field) <= x), -1)
+def per_source(table: DataFrame, n: int) -> DataFrame:
+    """A table of about ``n`` rows, one for each source, as it is to be joined."""
+    return F.broadcast(table) if n <= FEW else table.hint("merge")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_id: str | None = None) -> DataFrame:
-    """row_id (the place in this scan unless a column is named), id, source, skey (never null), size in words, bucket."""
+def located(points: DataFrame, x: str, intervals: DataFrame, n: int, total: Column) -> DataFrame:
+    """``points`` with the columns of the interval (lo, hi) that holds x; disjoint intervals, their row count n; ``total`` is a column of both."""
+    bin_of = lambda c: F.floor(c * BINS / total).cast("long")
+    spread = intervals.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi") - 1)))).drop("total")
+    met = points.withColumn("bin", bin_of(F.col(x))).join(per_source(spread, n + BINS), "bin")
+    return met.where((F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))).drop("bin", "lo", "hi")
+
+
+def sized(docs: DataFrame, id_col: Column, text_col: Column, source_col: Column, row_id: Column) -> tuple[DataFrame, DataFrame]:
+    """The sources' streams as (units, offsets) of :func:`common.laid_out`: lane skey (never null) and source, payload id."""
+    source = source_col.cast("string")
     base = docs.select(
-        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("skey"),
+        row_id.alias("row_id"),
+        id_col.alias("id"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("skey"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(id_col, id_col.isNull(), text_col, text_col.isNull()).alias("h1"),
+        F.xxhash64(F.lit(1), text_col, text_col.isNull(), id_col, id_col.isNull()).alias("h2"),
     )
-    return stage(base.withColumn("bucket", F.pmod(F.xxhash64("id", "row_id"), F.lit(BUCKETS))), "mix-sizes")
+    return laid_out(base.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS))), ["skey", "source"], ["h1", "h2"], ["id"], "mix-units")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def targets(offsets: DataFrame) -> DataFrame:
     """One row per source: skey, source, source_size, target (words), blocks n, quota (block slots)."""
     w = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
     by_name, rows = Window.orderBy(F.col("source").asc_nulls_last()), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = sizes.groupBy("skey", "source").agg(F.sum("size").alias("source_size")).withColumn("place", F.row_number().over(by_name)).withColumn("w", w.cast("double"))
+    t = offsets.groupBy("skey", "source").agg(F.sum("words").alias("source_size")).withColumn("place", F.row_number().over(by_name)).withColumn("w", w.cast("double"))
     t = t.withColumn("want", F.lit(SHARE) * F.sum("source_size").over(rows)).withColumn("full", F.col("source_size") * float(LIMIT))
     # Water filling: in order of full / w, sources fill up until the level that spends the rest among the others is no higher.
     by_level = Window.orderBy(F.col("full") / F.col("w"), "place")
@@ -83,25 +99,29 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("skey", "source", "place", "source_size", "target", n.cast("long").alias("n"), passes.cast("long").alias("passes")).withColumn("quota", quota)
 
 
-def positions(sizes: DataFrame) -> DataFrame:
-    """Each row's start word in its source's stream; two-level prefix sums."""
-    inner = Window.partitionBy("skey", "bucket").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+def positions(units: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Each row's start word in its source's stream: row_id, id, skey, size, start."""
     outer = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("words")).select("skey", "bucket", F.coalesce(F.sum("words").over(outer), F.lit(0)).alias("offset"))
-    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return placed.join(offsets, ["skey", "bucket"]).withColumn("start", F.col("offset") + F.col("before")).drop("offset", "before")
+    begins = offsets.select("skey", "bucket", F.coalesce(F.sum("words").over(outer), F.lit(0)).alias("begin"))
+    placed = units.select("skey", "bucket", "size", "start", "rows").join(begins, ["skey", "bucket"])
+    each = placed.select("skey", "size", (F.col("begin") + F.col("start")).alias("start"), F.posexplode("rows").alias("nth", "row"))
+    return each.select("row.row_id", "row.id", "skey", "size", (F.col("start") + F.col("nth") * F.col("size")).alias("start"))
 
 
 def slots(sources: DataFrame, seed: int = 1) -> DataFrame:
     """Every slot of the mix: shard, slot, skey, i (the source's slot number), n."""
-    live = sources.where("quota > 0").withColumn("q_before", F.sum("quota").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota"))
-    plan = live.agg(F.sum("quota").alias("total"), F.array_sort(F.collect_list(F.struct("q_before", "skey"))).alias("cuts")).where("total > 0")
+    n_sources = sources.count()
+    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    live = sources.where("quota > 0").withColumn("lo", F.sum("quota").over(upto) - F.col("quota")).withColumn("total", F.sum("quota").over(whole))
+    plan = live.agg(F.sum("quota").alias("total")).where("total > 0")
     # A fixed number of partitions: adaptive coalescing judges by the few bytes of the shard numbers, not by the slots they become.
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = plan.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / SLOTS))).alias("shard"), "total").repartition(tasks, "shard")
     each = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(SLOTS).cast("long"), F.col("total") - F.col("shard") * SLOTS) - 1)).alias("slot"), "total")
-    at = F.floor(uniform(F.lit(seed), F.col("shard"), F.col("slot")) * F.col("total"))
-    drawn = each.withColumn("at", at).join(F.broadcast(plan.select("cuts", "total")), "total").select("shard", "slot", last_upto("cuts", "q_before", F.col("at"))["skey"].alias("skey"))
+    points = each.withColumn("at", F.floor(uniform(F.lit(seed), F.col("shard"), F.col("slot")) * F.col("total")))
+    cuts = live.select("skey", "lo", (F.col("lo") + F.col("quota")).alias("hi"), "total")
+    drawn = located(points, "at", cuts, n_sources, F.col("total")).select("shard", "slot", "skey")
     drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "skey").orderBy("slot")) - 1)
     # Prefix sums of the shards' counts number each source's slots.
     counts = drawn.groupBy("skey", "shard").agg(F.count("*").alias("c"))
@@ -109,17 +129,15 @@ def slots(sources: DataFrame, seed: int = 1) -> DataFrame:
     drawn = drawn.join(starts.drop("c").hint("merge"), ["skey", "shard"]).select("shard", "slot", "skey", (F.col("first") + F.col("nth")).alias("i"))
     # Draws above a quota go to the sources below theirs, in order.
     got = live.join(counts.groupBy("skey").agg(F.sum("c").alias("got")), "skey", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     got = got.withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
-    got = got.withColumn("over_before", F.sum("over").over(upto) - F.col("over")).withColumn("under_before", F.sum("under").over(upto) - F.col("under"))
-    short = got.agg(F.sum("quota").alias("total"), F.array_sort(F.collect_list(F.when(F.col("under") > 0, F.struct("under_before", "skey", "got")))).alias("short"))
-    total = F.sum("quota").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = drawn.join(F.broadcast(got.select("skey", "quota", "over_before", total.alias("total"))), "skey").join(F.broadcast(short), "total")
+    got = stage(got.withColumn("over_before", F.sum("over").over(upto) - F.col("over")).withColumn("under_before", F.sum("under").over(upto) - F.col("under")).coalesce(1), "mix-drawn")
+    own = drawn.join(per_source(got.select("skey", "quota", "over_before", "total"), n_sources), "skey")
     spare = F.col("i") >= F.col("quota")
-    x = F.col("over_before") + F.col("i") - F.col("quota")
-    own = own.withColumn("to", F.when(spare, last_upto("short", "under_before", x)))
-    own = own.select("shard", "slot", F.coalesce("to.skey", "skey").alias("skey"), F.when(spare, F.col("to.got") + x - F.col("to.under_before")).otherwise(F.col("i")).alias("i"))
-    return own.join(F.broadcast(live.select("skey", "n")), "skey")
+    kept = own.where(~spare).select("shard", "slot", "skey", "i")
+    x = own.where(spare).select("shard", "slot", (F.col("over_before") + F.col("i") - F.col("quota")).alias("x"), "total")
+    room = got.where("under > 0").select("skey", "got", F.col("under_before").alias("first"), F.col("under_before").alias("lo"), (F.col("under_before") + F.col("under")).alias("hi"), "total")
+    handed = located(x, "x", room, n_sources, F.col("total")).select("shard", "slot", "skey", (F.col("got") + F.col("x") - F.col("first")).alias("i"))
+    return kept.unionByName(handed).join(per_source(live.select("skey", "n"), n_sources), "skey")
 
 
 def blocks_taken(sources: DataFrame, seed: int = 1) -> DataFrame:
@@ -129,22 +147,21 @@ def blocks_taken(sources: DataFrame, seed: int = 1) -> DataFrame:
     return s.select("skey", block.alias("block")).groupBy("skey", "block").agg(F.count("*").alias("times"))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_id: str | None = None) -> DataFrame:
-    """Every row cut at block bounds: row_id, id, skey, size, first word, words, times (null and 0 for a row without words)."""
-    sizes = sized(docs, id_col, text_col, source_col, row_id)
-    sources = stage(targets(sizes).coalesce(1), "mix-targets")
+def pieces(units: DataFrame, offsets: DataFrame, seed: int = 1) -> DataFrame:
+    """Every row cut at block bounds: row_id, id, skey, size, first word, words, times (0 for a block or a row that is not taken), source_size, target."""
+    sources = stage(targets(offsets).coalesce(1), "mix-targets")
     lo, hi = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    cut = positions(sizes).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(lo, hi))))
+    cut = positions(units, offsets).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(lo, hi))))
     first = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
     cut = cut.withColumn("first", first).withColumn("words", F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")) - F.col("first"))
     # Planned by size, the slots would look as small as the table of sources that they come from, and be broadcast.
     out = cut.join(blocks_taken(sources, seed).hint("merge"), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    return out.join(F.broadcast(sources.select("skey", "source_size", "target")), "skey")
+    return out.join(per_source(sources.select("skey", "source_size", "target"), sources.count()), "skey")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """One row per input row: row_id, id, size, source_size, target, taken."""
-    p = pieces(docs, id_col, text_col, source_col, seed)
+    p = pieces(*sized(docs, F.col(id_col), F.col(text_col), F.col(source_col), F.monotonically_increasing_id()), seed)
     taken = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long")
     return p.groupBy("row_id").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), taken.alias("taken"))
 
@@ -156,17 +173,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     nothing is taken go. If there is an ``n_chars`` column it follows the new text.
     """
     rows = numbered(docs, "mix-rows")
-    p = pieces(rows, id_col, text_col, source_col, seed, ROW_ID).where("times > 0")
+    p = pieces(*sized(rows, field(id_col), field(text_col), field(source_col), F.col(ROW_ID)), seed).where("times > 0")
     p = p.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    spans = p.groupBy("row_id", "pass").agg(F.sum("words").alias("__n"), F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"))
-    base = rows.join(spans.withColumnRenamed("row_id", ROW_ID), ROW_ID)
-    words = F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    base = base.withColumn("__words", F.when(F.col("__n") < F.col("__size"), words))
-    base = base.withColumn(text_col, F.when(F.col("__n") < F.col("__size"), cut).otherwise(F.col(text_col)))
+    spans = p.groupBy(F.col("row_id").alias(ROW_ID), "pass").agg(F.sum("words").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"))
+    words = F.regexp_extract_all(text_of(field(text_col)), F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("split"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    base = rows.join(spans, ROW_ID).withColumn("split", F.when(F.col("n") < F.col("size"), words))
+    base = base.withColumn("now", F.when(F.col("n") < F.col("size"), cut).otherwise(field(text_col)))
+    new = {text_col: F.col("now")}
     if "n_chars" in docs.columns:
-        base = base.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return base.select(*docs.columns)
+        new["n_chars"] = F.char_length("now").cast(docs.schema["n_chars"].dataType)
+    return base.select(*[new.get(c, field(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
