@@ -42,6 +42,38 @@ def test_shards(docs):
     assert moved <= sum(max(0, o - sum(sizes) // 8) for o in old) + 12 * largest
 
 
+def test_equal_texts_stay_together(docs):
+    """Large groups and small ones go whole; one that is larger than a shard is split; sizes stay near equal."""
+    rng = random.Random(5)
+    rows = [(i, f"text {i % 40} " + "y" * (i % 40), "s") for i in range(800)]
+    rows += [(1000 + i, f"large {i % 3} " + "z" * 60, "s") for i in range(150)] + [(2000 + i, "giant " + "g" * 90, "s") for i in range(400)]
+    rows += [(3000 + i, "".join(rng.choice("abc") for _ in range(50)), "s") for i in range(600)]
+    got, text = S.reshard(docs(rows)).collect(), {i: t for i, t, _ in rows}
+    where = {}
+    for r in got:
+        where.setdefault(text[r.id], set()).add(r.shard)
+    assert all(len(shards) == 1 for t, shards in where.items() if not t.startswith("giant")) and len(where["giant " + "g" * 90]) > 1
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 0.15 * sum(sizes) / 8
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
+
+
+def test_homes():
+    room = [10, 10, 10]
+    assert S.homes({(1, 1): {0: 6, 2: 3}, (2, 2): {0: 8}, (3, 3): {5: 4}}, room) == {(1, 1): 0, (2, 2): 1, (3, 3): 2}
+    assert sum(room) == 30 - 21 and min(room) >= 0
+    room = [4, 4]
+    S.homes({(1, 1): {0: 4}, (2, 2): {0: 3}, (3, 3): {0: 1}}, room)
+    assert room == [0, 0]
+
+
+def test_places_do_not_follow_splits(docs, spark):
+    """The same rows in one split and in many."""
+    rows = [(i % 500, f"t {i % 90} " + "w" * (i % 7), "s") for i in range(1000)]
+    one, many = (sorted((r.id, r.size, r.shard, r.slot) for r in S.reshard(docs(rows, parts=p)).collect()) for p in (1, 9))
+    assert one == many
+
+
 def test_rewrite_touches_changed_shards(spark, tmp_path):
     rows = [(i, "x" * 99, i % 2) for i in range(40)] + [(100 + i, "x" * 99, 2) for i in range(20)]
     spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(f"{tmp_path}/old")
@@ -49,6 +81,7 @@ def test_rewrite_touches_changed_shards(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/new")
     assert {r.shard for r in out.select("shard").distinct().collect()} == touched and 3 in touched
     kept = {0, 1, 2} - touched
+    assert out.columns == ["doc_id", "text", "shard"]
     assert out.count() + spark.read.parquet(f"{tmp_path}/old").where(f"shard in ({','.join(map(str, kept)) or -1})").count() == 60
 
 
