@@ -1,28 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has a model of words, P_c(w) = max(n_c(w) - D(n), 0) / N_c + lambda_c * P(w): discounted class counts
-over a lower order that both classes share. The shared order is Kneser-Ney's: P(w) is the share of distinct (previous word, word)
-pairs of the whole corpus, labelled or not, that end in w. n_c(w) counts the class's documents with w, so a line repeated within
-a text is no further evidence, and the discount D(n) = DISCOUNT * sqrt(n) leaves an expression seen a handful of times to the
-shared order. A document is compared by its length-normalised log-likelihood ratio, over the whole text and over its most toxic
-run of WINDOW words; a logistic curve over both, fitted on cross-fitted scores of the labelled rows, turns them into a score.
+Each class (toxic, ordinary) has a model of word pairs that backs off to its words, and these to counts that both classes share:
 
-Learning: labels of at most SAMPLE rows of each class (those with the smallest hashes of their ids), never of held-out rows (crc32 of the id as
-text, mod 5, is 0); the shared counts are gathered from all documents. Labels, language, source and id are no inputs of a score.
+    P_c(w | v) = max(n_c(v, w) - D2, 0) / n_c(v .) + l_c(v) * P_c(w)
+    P_c(w)     = max(n_c(w) - D1, 0) / N_c + l_c * P(w)
+    P(w)       = N1+(. w) / N1+(. .)
+
+n_c counts the class's documents with an expression (a line repeated within a text is no further evidence); D1 and D2 are constant
+discounts; l_c(v) and l_c are the mass that they free, so each level sums to 1. P is Kneser-Ney's lower order, gathered from the whole
+corpus, labelled or not: the share of distinct (previous word, word) pairs that end in w. Words of at most D1 documents of each
+class have no more than the shared order, so they are one word, 0, of the model; pairs of at most D2 documents have no more than
+their words. A document is compared by its length-normalised log-likelihood ratio, each place less the ratio that a word unknown
+to both classes has there (it tells how much was learned, not what the text says): over the whole text, and over its most toxic
+run of WINDOW words. A logistic curve over both, fitted on cross-fitted scores of the labelled rows, turns them into a score.
+
+Learning: labels of at most SAMPLE rows of each class (those with the smallest hashes of their ids), equal texts once, never of
+held-out rows (crc32 of the id as text, mod 5, is 0). Labels, language, source and id are no inputs of a score.
 
 Defined cases: null text is empty and gets the score of a text without evidence; a null id is not held out and never learned
 from; repeated labels of one id count as their maximum; without both labels to learn from every score is the share of label 1
 (0 without any); an empty table gives an empty result; other columns are ignored; whole texts are read.
 
-Scale: the model keeps words that more than DISCOUNT**2 labelled documents of a class use, so it is bounded by the sample. Distinct
-pairs are gathered as sorted codes, combined in each task, dealt into buckets by the hash of the previous word (so the most
-frequent word is spread over all of them) and merged bucket by bucket; only the model's words get a count of their own.
+Scale: documents are read three times: for the sample (which is staged), for the shared counts, for the scores. Expressions travel
+as sorted codes, combined in each task and dealt evenly over buckets, four a partition of the documents; a task merges one bucket
+at a time. The model keeps what more than D1 or D2 labelled documents use, so it is bounded by the sample; the shared counts cover
+the corpus, and what is gathered for them grows with it.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,13 +37,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, ship, small_batches
+from .common import read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
-DISCOUNT, WINDOW, HELD = 2.0, 3, 4_000_000
+D1, D2, WINDOW, HELD = 4, 8, 3, 4_000_000
+BITS = 24  # of a word's number
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,125 +53,247 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """text, y, fold of distinct labelled texts to learn from, and how many rows have each label."""
+    """text, y, fold of distinct labelled texts to learn from, staged, and how many rows have each label."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    first = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most[k]) for k in (0, 1)]
+    first = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most[k]) for k in (0, 1)]  # bounded by ``most``
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # One id for each text, found by hashes: the texts themselves are not shuffled. All tables here are bounded by ``most``.
-    hashed = texts.join(F.broadcast(first[0].union(first[1])), "id").select("id", "y", F.xxhash64("text").alias("h"))
-    kept = hashed.groupBy("h", "y").agg(F.min("id").alias("id")).select("id", "y")
-    rows = texts.join(F.broadcast(kept), "id")
-    return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), sizes
+    rows = texts.join(F.broadcast(first[0].union(first[1])), "id").withColumns({"h": F.xxhash64("text"), "row_id": F.monotonically_increasing_id()})
+    rows = stage(rows, "toxicity-labelled")
+    once = rows.groupBy("h", "y").agg(F.min("row_id").alias("row_id")).select("row_id")
+    return stage(rows.join(once, "row_id", "left_semi").select("text", "y", F.pmod("h", F.lit(2)).cast("int").alias("fold")), "toxicity-sample"), sizes
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as their low halves and the steps of their high halves, in as few bytes as the largest step needs."""
+    step = np.diff(codes >> 32, prepend=0)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if step.max(initial=0) <= np.iinfo(t).max)
+    return step.astype(kind).tobytes() + (codes & 0xFFFFFFFF).astype(np.uint32).tobytes() + bytes([np.dtype(kind).itemsize])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[-1]]
+    n = (len(raw) - 1) // (4 + raw[-1])
+    high, low = np.frombuffer(raw, kind, n).astype(np.int64), np.frombuffer(raw[n * raw[-1] : -1], np.uint32).astype(np.int64)
+    return np.cumsum(high) << 32 | low
+
 
+def dealt(codes: np.ndarray, counts: np.ndarray | None, buckets: int, low: int = 0) -> pd.DataFrame:
+    """Sorted codes (and how often each was seen) dealt over buckets by a hash of all but their ``low`` bits: a row a bucket."""
+    bucket = (((codes >> low).view(np.uint64) * MIX) >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    parts = [(k, order[at[k] : at[k + 1]]) for k in range(buckets) if at[k] < at[k + 1]]
+    return pd.DataFrame([(k, packed(codes[x]), None if counts is None else counts[x].astype(np.int32).tobytes()) for k, x in parts], columns=["bucket", "codes", "counts"])
 
-def class_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+
+def merged(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distinct codes in order and the sums of their counts."""
+    if counts is None:
+        return np.unique(codes), None
+    unique, place = np.unique(codes, return_inverse=True)
+    return unique, np.bincount(place, counts, len(unique)).astype(np.int64)
+
+
+DEALT = "bucket int, codes binary, counts binary"
+
+
+def bucket_wise(dealt_rows: DataFrame, of_bucket, schema: str) -> DataFrame:
+    """``of_bucket(codes, counts)``, a data frame, of the merged codes of each bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, codes, counts, size, limit = None, [], [], 0, HELD
+
+        def whole():
+            return merged(np.concatenate(codes), np.concatenate(counts) if counts else None)
+
+        for b in batches:
+            for bucket, c, n in zip(b["bucket"].tolist(), b["codes"].tolist(), b["counts"].tolist()):
+                if bucket != now and codes:
+                    yield of_bucket(*whole())
+                    codes, counts, size, limit = [], [], 0, HELD
+                now = bucket
+                codes.append(unpacked(c))
+                if n is not None:
+                    counts.append(np.frombuffer(n, np.int32).astype(np.int64))
+                size += len(codes[-1])
+                if size > limit:
+                    c, n = whole()
+                    codes, counts, size = [c], [] if n is None else [n], len(c)
+                    limit = max(HELD, 2 * size)
+        if codes:
+            yield of_bucket(*whole())
+
+    return dealt_rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+
+
+def n_buckets(df: DataFrame) -> int:
+    return min(65_536, max(256, 4 * df.rdd.getNumPartitions()))
+
+
+def word_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words of more than ``least`` documents of a class; their counts [word, fold, class]; all words' total counts [fold, class]."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[tuple[int, int], Counter] = {(f, y): Counter() for f in (0, 1) for y in (0, 1)}
+        n, seen = {}, 0  # word -> four counts of 15 bits
         for b in batches:
             for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
-                n[f, y].update(set(words_of(text)))
-        for w in [sorted(set().union(*n.values()))]:
-            for lo in range(0, len(w), 50_000):
-                part = w[lo : lo + 50_000]
-                yield pd.DataFrame({"word": part} | {f"n{f}{y}": [c[x] for x in part] for (f, y), c in n.items()})
+                one = 1 << 15 * (2 * f + y)
+                for w in set(words_of(text)):
+                    n[w] = n.get(w, 0) + one
+                seen += 1
+                if len(n) > 200_000 or seen == 32_000:
+                    yield from shown(n)
+                    n, seen = {}, 0
+        yield from shown(n)
+
+    def shown(n: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+        w = list(n)
+        for lo in range(0, len(w), 50_000):
+            part = w[lo : lo + 50_000]
+            c = np.array([n[x] for x in part], np.int64)
+            yield pd.DataFrame({"word": part} | {name: c >> 15 * i & 0x7FFF for i, name in enumerate(cols)})
 
     cols = ["n00", "n01", "n10", "n11"]
-    per_word = sample.select("text", "y", "fold").mapInPandas(run, "word binary, n00 long, n01 long, n10 long, n11 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in cols])
-    totals = F.struct(*[F.sum(c).alias(c) for c in cols])
-    kept = per_word.where((F.col("n00") + F.col("n10") > least) | (F.col("n01") + F.col("n11") > least)).toPandas()
-    total = per_word.agg(totals.alias("t")).first()["t"]
-    n = kept[cols].to_numpy(float).reshape(-1, 2, 2)
-    return [bytes(w) for w in kept["word"]], n, np.array([total[c] or 0 for c in cols], float).reshape(2, 2)
-
+    per_word = stage(sample.select("text", "y", "fold").mapInPandas(run, "word binary, n00 long, n01 long, n10 long, n11 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in cols]), "toxicity-words")
+    kept = per_word.where((F.col("n00") + F.col("n10") > least) | (F.col("n01") + F.col("n11") > least)).orderBy("word").toPandas()  # bounded by the sample
+    total = per_word.agg(*[F.sum(c) for c in cols]).first()
+    return [bytes(w) for w in kept["word"]], kept[cols].to_numpy(float).reshape(-1, 2, 2), np.array([x or 0 for x in total], float).reshape(2, 2)
 
-def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np.ndarray:
-    """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them).
 
-    Four buckets for each shuffle partition, 256 at least: a bucket is merged by one task in pieces of about HELD codes.
-    """
-    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def pair_counts(sample: DataFrame, vocabulary: dict[bytes, int], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes v << BITS | w of pairs of more than ``least`` documents of a class; their counts [pair, fold, class]; n(v .) [word, fold, class]."""
+    buckets = n_buckets(sample)
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
+        for b in batches:
+            for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
+                words = words_of(text)
+                w = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))
+                code = np.unique(w[:-1] << BITS | w[1:])
+                held.append(code[code >> BITS > 0] << 2 | (2 * f + y))
+                size += len(held[-1])
+            if size > HELD:
+                yield dealt(*np.unique(np.concatenate(held), return_counts=True), buckets, 2)
+                held, size = [], 0
+        if held:
+            yield dealt(*np.unique(np.concatenate(held), return_counts=True), buckets, 2)
+
+    def of_bucket(codes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        pair, place = np.unique(codes >> 2, return_inverse=True)
+        n = np.zeros((len(pair), 4), np.int64)
+        n[place, codes & 3] = counts
+        before, at = np.unique(pair >> BITS, return_inverse=True)
+        after = np.stack([np.bincount(at, n[:, k], len(before)) for k in range(4)], axis=1).astype(np.int64)
+        keep = ((n[:, 0] + n[:, 2] > least) | (n[:, 1] + n[:, 3] > least)) & (pair & ((1 << BITS) - 1) > 0)
+        shown = np.concatenate([n[keep], after])
+        return pd.DataFrame({"code": np.concatenate([pair[keep], before << BITS])} | {name: shown[:, k] for k, name in enumerate(cols)})
+
+    cols = ["n00", "n01", "n10", "n11"]
+    # The second word of a sum over all of a word's pairs is 0.
+    rows = bucket_wise(sample.select("text", "y", "fold").mapInPandas(run, DEALT), of_bucket, "code long, n00 long, n01 long, n10 long, n11 long")
+    rows = rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in cols]).orderBy("code").toPandas()  # bounded by the sample
+    code, n = rows["code"].to_numpy(np.int64), rows[cols].to_numpy(float).reshape(-1, 2, 2)
+    sums = code & ((1 << BITS) - 1) == 0
+    after = np.zeros((len(vocabulary) + 1, 2, 2))
+    after[code[sums] >> BITS] = n[sums]
+    return code[~sums], n[~sums], after
 
-        def out(codes: np.ndarray) -> pd.DataFrame:
-            bucket = codes % buckets
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts = [(k, codes[order[at[k] : at[k + 1]]].tobytes()) for k in range(buckets) if at[k] < at[k + 1]]
-            return pd.DataFrame(parts, columns=["bucket", "codes"])
 
+def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np.ndarray:
+    """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them)."""
+    buckets = n_buckets(docs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        held, size = [], 0
         for b in batches:
             for text in b["text"].tolist():
                 words = words_of(text)
                 if words:
                     h = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & 0x7FFFFFFF
-                    w = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))
-                    w[1:] = w[1:] << 31 | h[:-1]
-                    w[0] <<= 31
+                    w = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)) << 31
+                    w[1:] |= h[:-1]
                     held.append(w)
                     size += len(w)
             if size > HELD:
                 held = [np.unique(np.concatenate(held))]
                 size = len(held[0])
                 if size > HELD // 2:
-                    yield out(held[0])
+                    yield dealt(held[0], None, buckets)
                     held, size = [], 0
         if held:
-            yield out(np.unique(np.concatenate(held)))
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, size = None, [], 0
+            yield dealt(np.unique(np.concatenate(held)), None, buckets)
 
-        def counted() -> pd.DataFrame:
-            word, n = np.unique(np.unique(np.concatenate(held)) >> 31, return_counts=True)
-            return pd.DataFrame({"word": word, "n": n})
+    def of_bucket(codes: np.ndarray, _) -> pd.DataFrame:
+        word, n = np.unique(codes >> 31, return_counts=True)
+        return pd.DataFrame({"word": word, "n": n})
 
-        for b in batches:
-            for bucket, codes in zip(b["bucket"].tolist(), b["codes"].tolist()):
-                if bucket != now and held:
-                    yield counted()
-                    held, size = [], 0
-                now = bucket
-                held.append(np.frombuffer(codes, np.int64))
-                size += len(held[-1])
-                if size > HELD:
-                    held = [np.unique(np.concatenate(held))]
-                    size = len(held[0]) // 2  # wait for as much again before the next merge
-        if held:
-            yield counted()
-
-    codes = docs.select(F.col(text_col).alias("text")).mapInPandas(gather, "bucket int, codes binary").repartition("bucket").sortWithinPartitions("bucket")
-    rows = codes.mapInPandas(merge, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per model word
+    rows = bucket_wise(docs.select(F.col(text_col).alias("text")).mapInPandas(run, DEALT), of_bucket, "word long, n long")
     out = np.zeros(len(vocabulary) + 1)
-    for word, n in rows:
+    for word, n in rows.groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per model word
         out[word] = n
     return out
 
 
-def ratios(n: np.ndarray, total: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """log P_toxic(w) / P_ordinary(w) for word numbers 0 (any other word), 1, ...; n is [word, class], total [class]."""
+class ClassModel:
+    """One class's probabilities, by word numbers: 0 is any word the model does not know, and as a previous word also a text's start."""
+
+    def __init__(self, n: np.ndarray, total: float, codes: np.ndarray, pairs: np.ndarray, after: np.ndarray, shared: np.ndarray):
+        """Counts of the words 1, 2, ..., of all words, of the pairs ``codes``, of the pairs that begin with each word; P(w) of 0, 1, ..."""
+        kept = np.concatenate([[0.0], np.maximum(n - D1, 0)])
+        self.free = 1 - kept.sum() / total
+        self.word = kept / total + self.free * shared
+        self.codes, before = codes, codes >> BITS
+        kept = np.maximum(pairs - D2, 0)
+        self.after_free = 1 - np.bincount(before, kept, len(after)) / np.maximum(after, 1)
+        self.pair = kept / np.maximum(after[before], 1) + self.after_free[before] * self.word[codes & ((1 << BITS) - 1)]
+
+    def p(self, w: int, v: int = 0) -> float:
+        at = np.searchsorted(self.codes, code := v << BITS | w)
+        return float(self.pair[at] if at < len(self.codes) and self.codes[at] == code else self.after_free[v] * self.word[w])
+
+
+class Ratios:
+    """Log-likelihood ratios by word and by pair, each less that of a word which neither class knows in its place."""
+
+    def __init__(self, toxic: ClassModel | None = None, plain: ClassModel | None = None):
+        self.word, self.codes, self.pair = np.zeros(1), np.zeros(0, np.int64), np.zeros(0)
+        if toxic is not None:
+            unknown = np.log(toxic.free / plain.free)
+            self.word = np.log(toxic.word / plain.word) - unknown
+            self.codes, v = toxic.codes, toxic.codes >> BITS
+            self.pair = np.log(toxic.pair / plain.pair) - unknown - np.log(toxic.after_free[v] / plain.after_free[v])
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        """The ratio at each place of a text of word numbers."""
+        x = self.word[w]
+        if len(self.codes) and len(w) > 1:
+            code = w[:-1] << BITS | w[1:]
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            x[1:] = np.where(self.codes[at] == code, self.pair[at], x[1:])
+        return x
+
+
+def learned(n: np.ndarray, total: np.ndarray, codes: np.ndarray, pairs: np.ndarray, after: np.ndarray, contexts_of: np.ndarray) -> Ratios:
+    """The ratios of both classes; counts are [..., class], class 1 is the toxic one."""
     if not (total > 0).all():
-        return np.zeros(len(n) + 1)
-    p = (shared[1:] + 0.5) / (shared.sum() + 0.5 * len(shared))
-    kept = np.maximum(n - DISCOUNT * np.sqrt(n), 0)
-    rest = np.maximum(1 - kept.sum(axis=0) / total, 1e-6)
-    probability = kept / total + rest * p[:, None]
-    return np.concatenate([[np.log(rest[1] / rest[0])], np.log(probability[:, 1] / probability[:, 0])])
+        return Ratios()
+    shared = np.maximum(contexts_of, 1e-3) / np.maximum(contexts_of, 1e-3).sum()  # a word of the model that the corpus lacks is no impossible one
+    plain, toxic = (ClassModel(n[:, c], total[c], codes, pairs[:, c], after[:, c], shared) for c in (0, 1))
+    return Ratios(toxic, plain)
 
 
-def features(words: list[bytes], vocabulary: dict[bytes, int], llr: np.ndarray) -> tuple[float, float]:
+def features(words: list[bytes], vocabulary: dict[bytes, int], ratios: Ratios) -> tuple[float, float]:
     """Length-normalised log-likelihood ratios: of the whole text, and of its most toxic WINDOW words."""
     if not words:
         return 0.0, 0.0
-    # Less the ratio of a word that neither class knows: it depends on how much was learned from, not on the text.
-    v = llr[np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))] - llr[0]
-    c = np.concatenate([[0.0], np.cumsum(v)])
-    k = min(WINDOW, len(v))
-    return float(v.mean()), float((c[k:] - c[:-k]).max() / WINDOW)
+    x = ratios.of(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)))
+    c = np.concatenate([[0.0], np.cumsum(x)])
+    k = min(WINDOW, len(x))
+    return float(x.mean()), float((c[k:] - c[:-k]).max() / WINDOW)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -181,11 +311,11 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocabulary: dict[bytes, int], llr: np.ndarray, weights: np.ndarray):
-        self.vocabulary, self.llr, self.weights = vocabulary, llr, weights
+    def __init__(self, vocabulary: dict[bytes, int], ratios: Ratios, weights: np.ndarray):
+        self.vocabulary, self.ratios, self.weights = vocabulary, ratios, weights
 
     def score(self, text: str | None) -> float:
-        whole, peak = features(words_of(text), self.vocabulary, self.llr)
+        whole, peak = features(words_of(text), self.vocabulary, self.ratios)
         return float(1 / (1 + np.exp(-np.clip(self.weights @ [whole, peak, 1.0], -30, 30))))
 
 
@@ -194,11 +324,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     rows, sizes = sample_of(docs, labels, label, id_col, text_col, sample)
     if len(sizes) < 2:
         p = float(np.clip(1.0 if 1 in sizes else 0.0, 1e-12, 1 - 1e-12))
-        return Model({}, np.zeros(1), np.array([0.0, 0.0, np.log(p / (1 - p))]))
-    words, n, total = class_counts(rows, DISCOUNT**2)
+        return Model({}, Ratios(), np.array([0.0, 0.0, np.log(p / (1 - p))]))
+    words, n, total = word_counts(rows, D1)
     vocabulary = {w: i + 1 for i, w in enumerate(words)}
+    codes, pairs, after = pair_counts(rows, vocabulary, D2)
     shared = contexts(docs, vocabulary, text_col)
-    folds = [ratios(n[:, 1 - f], total[1 - f], shared) for f in (0, 1)]  # fold f is scored by what the other one taught
+    # Fold f is scored by what the other one taught.
+    folds = [learned(n[:, 1 - f], total[1 - f], codes, pairs[:, 1 - f], after[:, 1 - f], shared) for f in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,10 +340,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     got = rows.select("text", "y", "fold").mapInPandas(run, "y int, whole double, peak double").toPandas().sort_values(["y", "whole", "peak"])
     y = got["y"].to_numpy(float)
     if not 0 < y.mean() < 1:
-        return Model({}, np.zeros(1), np.array([0.0, 0.0, 0.0]))
+        return Model({}, Ratios(), np.array([0.0, 0.0, 0.0]))
     share = sizes[1] / (sizes[0] + sizes[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(vocabulary, ratios(n.sum(axis=1), total.sum(axis=0), shared), logistic(got[["whole", "peak"]].to_numpy(), y, weight))
+    return Model(vocabulary, learned(n.sum(axis=1), total.sum(axis=0), codes, pairs.sum(axis=1), after.sum(axis=1), shared), logistic(got[["whole", "peak"]].to_numpy(), y, weight))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -228,7 +360,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 def ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the limit, all columns unchanged."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col)
-    return scored(docs, model, text_col, "__toxicity").where(F.col("__toxicity") < limit).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"))  # one column: no name of its fields can clash
+    kept = scored(whole.select("row", F.col(f"row.`{text_col}`").alias("text")), model).where(F.col("score") < limit)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

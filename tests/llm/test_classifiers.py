@@ -10,7 +10,7 @@ from askloom.llm import toxicity as T
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
-def held(i):
+def held_id(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
@@ -35,7 +35,7 @@ def corpus(docs, spark):
 
 def check(rows, labels, column, limit, least):
     y = {x[0]: x[column] for x in labels[:500]}
-    test = [(r.doc_id, r.score) for r in rows if held(r.doc_id)]
+    test = [(r.doc_id, r.score) for r in rows if held_id(r.doc_id)]
     assert np.mean([(s >= limit) == (y[i] == 1) for i, s in test]) >= least
     assert all(0 <= r.score <= 1 for r in rows)
 
@@ -68,6 +68,71 @@ def test_contexts_match_brute_force(docs, monkeypatch):
     assert got.tolist() == [len(seen.get(k, ())) for k in range(4)]
 
 
+@pytest.mark.parametrize("held", [40, 4_000_000])
+def test_probabilities_match_brute_force(docs, spark, monkeypatch, held):
+    """Every probability of both classes as the definition says, from plain counts; each level sums to 1."""
+    monkeypatch.setattr(T, "HELD", held)
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices("abcdefghijklmnopqrst", [9, 8, 7, 6, 5] + [1] * 15, k=rng.randint(1, 25))), i % 3 == 0) for i in range(240)]
+    texts = [(i, t + " x" * (y and i % 2 == 0) + " zebra y" * (i == 3), y) for i, t, y in texts]
+    d = docs([(i, t, "s") for i, t, _ in texts])
+    labels = spark.createDataFrame([(i, 1, int(y), None) for i, _, y in texts], LABELS)
+    rows, sizes = T.sample_of(d, labels, "toxic", "doc_id", "text", T.SAMPLE)
+    words, n, total = T.word_counts(rows, T.D1)
+    vocabulary = {w: i + 1 for i, w in enumerate(words)}
+    codes, pairs, after = T.pair_counts(rows, vocabulary, T.D2)
+    shared = T.contexts(d, vocabulary, "text")
+    used = {(t, y) for i, t, y in texts if not held_id(i)}  # equal texts once
+    assert sizes == {k: sum(y == k and not held_id(i) for i, _, y in texts) for k in (0, 1)}
+    every = {(w[k - 1] if k else None, w[k]) for _, t, _ in texts for w in [t.split()] for k in range(len(w))}
+    number = lambda w: vocabulary.get(w.encode(), 0)
+    known = len({(v, number(w)) for v, w in every})
+    lower = [len({v for v, x in every if number(x) == w}) / known for w in range(len(words) + 1)]
+    models = {}
+    for y in (0, 1):
+        own = [t.split() for t, z in used if z == y]
+        count = lambda w: sum(w in t for t in own)
+        every_word = {w for t in own for w in t}
+        n_all = sum(map(count, every_word))
+        m = models[y] = T.ClassModel(n.sum(axis=1)[:, y], total.sum(axis=0)[y], codes, pairs.sum(axis=1)[:, y], after.sum(axis=1)[:, y], shared / shared.sum())
+        assert total.sum(axis=0)[y] == n_all
+        free = 1 - sum(max(count(w.decode()) - T.D1, 0) for w in words) / n_all
+        p1 = [(max(count(words[w - 1].decode()) - T.D1, 0) / n_all if w else 0) + free * lower[w] for w in range(len(words) + 1)]
+        assert np.allclose([m.p(w) for w in range(len(p1))], p1) and abs(sum(p1) - 1) < 1e-9
+        seen = [{(number(a), number(b)) for a, b in zip(t, t[1:])} for t in own]
+        for v in range(1, len(words) + 1):
+            pair = [sum((v, w) in s for s in seen) for w in range(len(words) + 1)]
+            kept = [max(c - T.D2, 0) if w else 0 for w, c in enumerate(pair)]
+            free2 = 1 - sum(kept) / max(1, sum(pair))
+            p2 = [kept[w] / max(1, sum(pair)) + free2 * p1[w] for w in range(len(p1))]
+            assert np.allclose([m.p(w, v) for w in range(len(p1))], p2) and abs(sum(p2) - 1) < 1e-9
+    assert len(codes) > 3
+    r = T.learned(n.sum(axis=1), total.sum(axis=0), codes, pairs.sum(axis=1), after.sum(axis=1), shared)
+    text = [number(w) for w in texts[0][1].split()]
+    want = []
+    for v, w in zip([0, *text], text):
+        base = models[1].free / models[0].free * models[1].after_free[v] / models[0].after_free[v]
+        want.append(np.log(models[1].p(w, v) / models[0].p(w, v) / base))
+    assert np.allclose(r.of(np.array(text)), want)
+
+
+def test_codes_are_packed_whole():
+    rng = np.random.default_rng(2)
+    for top in (2**33, 2**45, 2**62):
+        x = np.unique(rng.integers(0, top, 1000))
+        assert (T.unpacked(T.packed(x)) == x).all()
+    assert len(T.unpacked(T.packed(np.zeros(0, np.int64)))) == 0
+
+
+def test_ordinary_with_clashing_columns(corpus):
+    docs, labels, _ = corpus
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"score": F.lit(3), "row": F.lit(4), "__toxicity": F.lit(5)})
+    got = T.ordinary(clash, labels)
+    assert got.columns == clash.columns and got.select("score", "row", "__toxicity").distinct().collect() == [(3, 4, 5)]
+
+
 def test_tree_traversal_matches_walking():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
@@ -97,4 +162,4 @@ def test_nothing_to_learn(spark, ugly, empty):
 
 def test_held_out(spark):
     got = {r.id: r.h for r in spark.range(50).select("id", Q.held_out("id").alias("h")).collect()}
-    assert got == {i: held(i) for i in range(50)}
+    assert got == {i: held_id(i) for i in range(50)}
