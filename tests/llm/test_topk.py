@@ -15,9 +15,10 @@ def brute(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("blocks", [8192, 30])
-def test_matches_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize(("blocks", "cells"), [(8192, 256), (30, 256), (30, 3)])
+def test_matches_brute_force(spark, monkeypatch, blocks, cells):
     monkeypatch.setattr(K, "BLOCK", blocks)
+    monkeypatch.setattr(K, "fitted", lambda sample, fit=K.fitted: fit(sample, cells))
     monkeypatch.setattr(K, "QUERIES", 4)
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6).astype(np.float32)]) for i in range(150)]
@@ -35,12 +36,30 @@ def test_few_and_none(spark):
     assert K.top_k(spark.createDataFrame([], one.schema), F.col("id") == 0).count() == 0
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("cells", [256, 4])
+def test_bounds_hold(monkeypatch, cells):
+    monkeypatch.setattr(K, "STEP", 6)
     rng = np.random.default_rng(2)
     m, q = rng.integers(-50, 50, (300, 5)), rng.integers(-50, 50, (20, 5))
-    a = K.Approximation(m)
-    lo, hi = a.bounds()
-    assert (lo <= m).all() and (m <= hi).all()
-    for i, (places, scores) in enumerate(a.search(q, 7)):
-        exact = m @ q[i]
-        assert sorted(places.tolist()) == np.flatnonzero(exact >= np.sort(exact)[-7]).tolist() and (scores == exact[places]).all()
+    starts = K.fitted(rng.integers(-40, 40, (200, 4)), cells)  # a dimension less, and values beyond the sample's
+    a = K.Approximation(*K.Approximation.of(m, starts), starts)
+    lower, upper = a.bounds(q)
+    exact = q @ m.T
+    assert (lower <= exact).all() and (exact <= upper).all() and a.cells.max() < cells
+    got = list(a.candidates(q, 7))
+    assert [i for i, *_ in got] == list(range(20))
+    for i, c, lo, up in got:
+        assert set(np.flatnonzero(exact[i] >= np.sort(exact[i])[-7])) <= set(c.tolist())
+    if cells == 256:
+        assert sum(len(c) for _, c, _, _ in got) < 20 * 300
+
+
+def test_few_exact_vectors_are_read(spark):
+    """Only what the bounds leave is read exactly: of 2000 vectors the 21 best of each query and their ties."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(2000)], "vec_id long, embedding array<float>")
+    rows = K.usable(df, "vec_id", "embedding")
+    units = K.stage(rows.withColumn("uid", F.col("id")).withColumn("ids", F.array("id")), "t")
+    asked = K.stage(rows.where("id % 20 = 0").select("v", F.col("id").alias("key")), "t")
+    left = K.bounded(units, asked, 21)
+    assert left.count() <= 100 * 21 * 1.3 and left.select("key").distinct().count() == 100
