@@ -41,7 +41,7 @@ FAR = SYMBOLS // 2  # pairs whose signatures differ in more symbols are not conf
 BLOCK, SLICE = 512, 4096
 GATHER = 4096  # nodes whose index entries a task groups at once
 FEW = 200_000  # rows of a table of two numbers that may be broadcast
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 ERRORS = 1
 CACHE = 400_000
 
