@@ -30,7 +30,24 @@ def test_verdicts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.qv_lines("t").alias("l"))
     got = {r.i: (r.v.overall, r.v.contradiction, len(r.v.missing_checks), r.l.feedback) for r in df.select("i", "l", X.qv_verdict(df.l).alias("v")).collect()}
     assert got[0] == (True, False, 0, "fine\nmore") and got[1][:2] == (False, True)
-    assert got[2][0] is None and got[3][0] is False and got[4][0] is None and got[4][2] == 4 and got[5][0] is None
+    assert got[2][0] is None and got[3][0] is False and got[4] == got[5] == (None, False, 0, None)  # nothing said: nothing missing
+
+
+def test_verdict_lines():
+    """Lines made from parts: every mark, emphasis and spacing reads as the same verdict; what is no verdict line reads as none."""
+    for mark in ("", "- ", "* ", "+\t", "12. ", "3) ", "  "):
+        for left, right in (("", ""), ("**", "**"), ("__", "__"), ("** ", "")):
+            for colon in (":", " : ", ":\t"):
+                for value in ("FAIL", "**FAIL", "** __ FAIL", "FAIL, because", "FAIL or so"):
+                    assert X.verdict_line(f"{mark}{left}OVERALL{right}{colon}{value}") == ("OVERALL", "FAIL"), (mark, left, colon, value)
+    for echo in ("PASS | FAIL", "PASS/FAIL", "PASS or FAIL", "PASS** | **FAIL**", "PASS or *fail*"):
+        assert X.verdict_line(f"OVERALL: {echo}") == ("OVERALL", None), echo
+    for other in ("OVERALL PASS", "-OVERALL: PASS", "x OVERALL: PASS", "CHECK_5_VERDICT: GOOD", "OVERALL: pass", "", ":", "1 OVERALL: PASS"):
+        assert X.verdict_line(other) is None, other
+    assert X.last_overall("so overall - pass") is True and X.last_overall("overall result: pass") is None and X.last_overall("Overall: pass; overall fail!") is False
+    assert X.last_overall("overall good, pass") is None and X.last_overall("noverall pass") is None and X.last_overall("overall pass/fail") is None
+    assert X.last_overall("overall passed") is None
+    assert X.verdicts("FEEDBACK : a\n b ")["feedback"] == "a\n b" and X.verdicts("FEEDBACK none")["feedback"] is None
 
 
 def test_identity_ignores_layout():
