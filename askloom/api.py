@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import corpus as C
 from .operators import messages as M
@@ -41,3 +42,26 @@ def summarise(summaries: DataFrame, requested: DataFrame | None = None) -> tuple
 def inspect(rounds: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """One line per paper: rounds with their failure modes, acceptance, guardrail events."""
     return M.paper_summaries(rounds, events)
+
+
+def baseline(marks: DataFrame, checks: DataFrame, preset: H.Preset) -> tuple[DataFrame, DataFrame]:
+    """(one row per candidate, the three blocks of the report) of a single-shot run: both solvers always, no loop.
+
+    marks as in :func:`evaluate`; checks: candidate, qv_passed, context_ok, rubric_ok, question_chars, n_rubric_items, errors (array).
+    """
+    verdicts = H.assess(H.stages(H.score_marks(marks)), preset)
+    mean = lambda role: F.col(f"{role}_total").cast("double") / (F.col(f"{role}_n") * F.col("max_positive")).cast("double")
+    rows = checks.join(verdicts, "candidate", "left").withColumns({"weak_avg": mean("weak"), "strong_avg": mean("strong")})
+    passed = F.coalesce("qv_passed", F.lit(False))
+    rows = rows.withColumns({"gap": F.col("strong_avg") - F.col("weak_avg"), "criteria_passed": F.coalesce("all_passed", F.lit(False)), "final_filter_passed": passed & F.col("context_ok") & F.col("rubric_ok"), "would_be_accepted": passed & F.coalesce("all_passed", F.lit(False))})
+    return rows, S.nested_blocks(rows)
+
+
+def readjudicate(rounds: DataFrame, summaries: DataFrame, reports: DataFrame, withdrawn: list[str]) -> DataFrame:
+    """Summaries after papers were accepted that only withdrawn checks had refused."""
+    return N.readjudicated(rounds, summaries, reports, withdrawn)
+
+
+def report(runs: DataFrame, rounds: DataFrame) -> DataFrame:
+    """All figures on runs and their rounds as (section, name, value)."""
+    return S.agentic_report(runs, rounds)

@@ -165,3 +165,31 @@ def message_chars(content: Column, reasoning: Column, tool_arguments: Column) ->
     """Characters of a message: content, reasoning (once if both are equal) and tool arguments."""
     n = lambda c: F.coalesce(F.char_length(c), F.lit(0))
     return n(content) + F.when(content.eqNullSafe(reasoning), 0).otherwise(n(reasoning)) + n(tool_arguments)
+
+
+def backoff(attempt: Column, jitter: Column, cap: float = 60.0) -> Column:
+    """Seconds to wait after failed try ``attempt`` of a model request: powers of two and a jitter in [0, 1), at most ``cap``."""
+    return F.least(F.lit(cap), F.pow(F.lit(2.0), F.least(attempt, F.lit(6))) + jitter)
+
+
+# The seconds between tries of the metadata service, the share of jitter, and the longest wait it may ask for.
+SCHEDULE, JITTER, LONGEST = [5.0, 10.0, 20.0, 40.0, 80.0, 160.0], 0.2, 160.0
+
+
+def service_delay(attempt: Column, jitter: Column, retry_after: Column) -> Column:
+    """Seconds to wait after failed try ``attempt`` (from 1) of the metadata service; what it asks for counts if it is longer."""
+    base = F.element_at(F.array(*map(F.lit, SCHEDULE)), F.least(attempt, F.lit(len(SCHEDULE))).cast("int"))
+    asked = F.when(F.trim(retry_after).rlike(r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), F.trim(retry_after).try_cast("double"))
+    return F.greatest(base + jitter * JITTER * base, F.least(asked, F.lit(LONGEST)))
+
+
+def evaluator_deadline(mode: Column, solver_timeout: Column, solver_retries: Column, judge_timeout: Column, judge_retries: Column, spare: float = 300.0) -> Column:
+    """Seconds an evaluation may take: every try of solver and judge, for each of its stages, and something to spare."""
+    stage = solver_timeout * (solver_retries + 1) + judge_timeout * (judge_retries + 1)
+    return stage * F.when(mode == "both", 2).otherwise(1) + spare
+
+
+def error_text(kind: Column, status: Column) -> Column:
+    """What a report may say of a failed request: never the answer's body or an address."""
+    request = F.concat(F.lit("API request failed ("), F.when(status.isNotNull(), F.concat(F.lit("HTTP "), status.cast("string"))).otherwise(kind), F.lit(")"))
+    return F.when(status.isNotNull() | kind.isin("APIConnectionError", "APITimeoutError"), request).otherwise(F.concat(F.lit("invalid API response ("), kind, F.lit(")")))

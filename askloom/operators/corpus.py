@@ -17,6 +17,9 @@ from ..functions import text as T
 OUTCOMES = ["bad_record", "already_in_output", "duplicate", "body_too_short", "body_too_long", "not_found", "year_missing", "year_too_old", "not_in_field", "no_abstract", "kept"]
 
 
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Filters:
     min_year: int = 2022
@@ -75,6 +78,29 @@ def external_ids(api: Column, shard: Column) -> Column:
     return F.when(F.size(full(api)) > 0, full(api)).otherwise(full(shard))
 
 
+def build_record(title: Column, shard_title: Column, abstract: Column, year: Column, body: Column, api_ids: Column, shard_ids: Column) -> Column:
+    """The fields of a kept record: the metadata's title, else the shard's, both on one line; trimmed abstract; body and its length."""
+    line = lambda c: F.nullif(T.one_line(c), F.lit(""))
+    text = F.coalesce(body, F.lit(""))
+    return F.struct(
+        F.coalesce(line(title), line(shard_title), F.lit("")).alias("title"),
+        T.strip(F.coalesce(abstract, F.lit(""))).alias("abstract"),
+        year.cast("int").alias("year"),
+        external_ids(api_ids, shard_ids).alias("external_ids"),
+        text.alias("body_text"),
+        F.char_length(text).alias("n_body_chars"),
+    )
+
+
+#: What of a shard's record is kept while it waits for its metadata.
+SLIM = ["corpusid", "title", "authors", "openaccessinfo.externalids", "body.text"]
+
+
+def slim(record: Column) -> Column:
+    """The few paths of a record (variant) that are needed later, each as JSON."""
+    return F.struct(*[F.to_json(F.try_variant_get(record, f"$.{p}", "variant")).alias(p.rsplit(".", 1)[-1]) for p in SLIM])
+
+
 def paper_text(title: Column, abstract: Column, body: Column) -> Column:
     e = lambda c: F.coalesce(c, F.lit(""))
     return F.concat(F.lit("Title: "), e(title), F.lit("\n\nAbstract: "), e(abstract), F.lit("\n\n"), e(body))
@@ -88,16 +114,18 @@ def classify(records: DataFrame, f: Filters, existing: DataFrame | None = None)
     """
     at = F.struct("shard", "line")
     rows = records.withColumn("at", at).withColumn("body", body_outcome(F.col("body_chars"), f))
-    by_id = Window.partitionBy("corpus_id")
-    # Bad records have no id: spread them instead of gathering them in the null partition.
     good, bad = rows.where("corpus_id IS NOT NULL"), rows.where("corpus_id IS NULL")
-    good = good.withColumn("first", F.min("at").over(by_id)).withColumn("claimed", F.min(F.when(F.col("body").isNull(), F.col("at"))).over(by_id))
+    # The first places of ids that occur more than once, by partial aggregates, for every salt: a frequent id meets them in SALTS tasks.
+    firsts = good.groupBy(F.col("corpus_id").alias("f_id")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(F.when(F.col("body").isNull(), F.col("at"))).alias("claimed")).where("n > 1")
+    firsts = firsts.select("f_id", "first", "claimed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    good = good.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
+    good = good.join(firsts, (F.col("corpus_id") == F.col("f_id")) & (F.col("salt") == F.col("f_salt")), "left")
     if existing is None:
         good = good.withColumn("known", F.lit(False))
     else:
         good = good.join(existing.select("corpus_id", F.lit(True).alias("known")).distinct(), "corpus_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     outcome = F.when(F.col("known"), "already_in_output").when(F.col("at") > F.col("claimed"), "duplicate").otherwise(F.col("body"))
-    good = good.withColumn("outcome", outcome).withColumn("repeated", F.col("at") > F.col("first"))
+    good = good.withColumn("outcome", outcome).withColumn("repeated", F.coalesce(F.col("at") > F.col("first"), F.lit(False)))
     bad = bad.withColumn("known", F.lit(False)).withColumn("outcome", F.lit("bad_record")).withColumn("repeated", F.lit(False))
     columns = [*records.columns, "outcome", "repeated"]
     return good.select(*columns).unionByName(bad.select(*columns))
@@ -195,12 +223,16 @@ def duplicate_titles(rows: DataFrame, title: Column) -> DataFrame:
 
 def quality_flags(rows: DataFrame, body: Column, most: int | None = 20_000, start: int | None = 2_000) -> DataFrame:
     """Language and shape flags of each body. ``most`` and ``start`` bound what is read; None reads whole texts."""
-    head = body if start is None else F.substring(body, 1, start)
-    # Token arrays are computed once per row and dropped again.
-    w = rows.withColumn("_w", T.words(body, most)).withColumn("_s", T.words(head))
-    for tag in ("_w", "_s"):
+    # Token arrays are computed once per row and dropped again; the start is the whole where neither is bounded.
+    whole = most is None and start is None
+    w = rows.withColumn("_w", T.words(body, most))
+    if not whole:
+        w = w.withColumn("_s", T.words(body if start is None else F.substring(body, 1, start)))
+    for tag in ("_w",) if whole else ("_w", "_s"):
         n = F.size(tag)
         w = w.withColumn(f"{tag}_en", T.share(T.word_hits(F.col(tag), T.ENGLISH_WORDS), n)).withColumn(f"{tag}_other", T.share(T.word_hits(F.col(tag), T.OTHER_WORDS), n))
+    if whole:
+        w = w.withColumns({"_s_en": F.col("_w_en"), "_s_other": F.col("_w_other")})
     w = w.withColumn("ascii_letter_share", T.ascii_letter_share(body, most)).withColumn("alpha_share", T.alpha_share(body))
     strict = T.looks_non_english(F.col("_w_en"), F.col("_w_other"), F.col("ascii_letter_share"))
     return w.withColumns(
@@ -242,14 +274,32 @@ def containment(texts: DataFrame, items: DataFrame, text: str = "text", item: st
     i = items.withColumn("_i", T.squash(F.coalesce(F.col(item), F.lit("")))).withColumn("_w", F.split("_i", " "))
     size = F.least(F.size("_w") - 2, F.lit(4))
     anchored = i.where(F.size("_w") >= 3).withColumn("_k", size).withColumn("_anchor", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), size), " ")))
-    w = F.split("_t", " ")
-    runs = lambda k: F.transform(T.let(w, lambda v: T.word_runs(v, k)), lambda x: F.xxhash64(x))
-    # Hashes only: the text itself meets its few candidates afterwards.
-    keys = [t.where(F.size(w) >= k).select("_row", F.lit(k).alias("_k"), F.explode(F.array_distinct(runs(k))).alias("_anchor")) for k in (1, 2, 3, 4)]
-    wanted = anchored.select("_k", "_anchor").distinct()
-    all_keys = keys[0].unionByName(keys[1]).unionByName(keys[2]).unionByName(keys[3]).join(wanted, ["_k", "_anchor"], "left_semi")
-    pairs = all_keys.join(anchored, ["_k", "_anchor"])
+    runs = lambda v, k: F.transform(T.word_runs(v, k), lambda x: F.struct(F.lit(k).alias("k"), F.xxhash64(x).alias("anchor")))
+    # Hashes only, of one pass over the texts: the text itself meets its few candidates afterwards.
+    every = T.let(F.split("_t", " "), lambda v: F.concat(*[runs(v, k) for k in (1, 2, 3, 4)]))
+    keys = t.select("_row", F.explode(every).alias("x")).select("_row", F.col("x.k").alias("_k"), F.col("x.anchor").alias("_anchor"))
+    pairs = keys.join(anchored.select("_k", "_anchor").distinct(), ["_k", "_anchor"], "left_semi").distinct().join(anchored, ["_k", "_anchor"])
     long = t.join(pairs.drop("_k", "_anchor", "_w"), "_row").where(F.contains("_t", F.col("_i")))
     short = t.join(i.where(F.size("_w") < 3).drop("_w"), F.contains("_t", F.col("_i")))
     keep = [*texts.columns, *items.columns]
     return long.select(*keep).unionByName(short.select(*keep))
+
+
+def profile(rows: DataFrame, shown: int = 15) -> DataFrame:
+    """A stored corpus in one table of (section, value, n, at): counts, histograms, quality flags; one pass a section's key.
+
+    rows: paper_id, title, year, shard, fields (array), external_ids (map), venue, abstract, body. ``at`` is the smallest paper id.
+    """
+    body = F.coalesce("body", F.lit(""))
+    flags = quality_flags(rows.select("paper_id", body.alias("b")), F.col("b"))
+    listed = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("non_english", "non_english_start", "low_alpha", "lowercase_start")]))
+    one = lambda section, value: F.array(F.struct(F.lit(section).alias("section"), F.coalesce(value.cast("string"), F.lit("<none>")).alias("value")))
+    many = lambda section, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(section).alias("section"), v.alias("value")))
+    marks = F.concat(one("all", F.lit("papers")), one("year", F.col("year")), one("shard", F.col("shard")), many("field", F.col("fields")), many("external_id", F.map_keys("external_ids")), one("venue", F.coalesce(F.nullif("venue", F.lit("")), F.lit("<empty>"))))
+    counted = rows.select("paper_id", F.explode(marks).alias("m")).unionByName(flags.select("paper_id", F.explode(many("flag", listed)).alias("m")))
+    g = counted.groupBy("m.section", "m.value").agg(F.count("*").alias("n"), F.min("paper_id").alias("at"))
+    doubled = duplicate_titles(rows, F.col("title")).agg(F.count("*").alias("n")).select(F.lit("all").alias("section"), F.lit("duplicate_titles").alias("value"), "n", F.lit(None).cast(rows.schema["paper_id"].dataType).alias("at"))
+    unique = rows.agg(F.count_distinct("paper_id").alias("n"), F.min("paper_id").alias("at")).select(F.lit("all").alias("section"), F.lit("unique_papers").alias("value"), "n", "at")
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "at"))
+    top = g.where("section = 'venue'").withColumn("place", place).where(F.col("place") <= shown).drop("place")
+    return g.where("section <> 'venue'").unionByName(top).unionByName(unique).unionByName(doubled)

@@ -60,10 +60,24 @@ def history_row(flat: Column) -> Column:
     return F.struct(F.lit("assistant").alias("role"), F.coalesce(flat["content"], F.lit("")).alias("content"), flat["reasoning"].alias("reasoning"), F.when(F.size(flat["tool_calls"]) > 0, flat["tool_calls"]).alias("tool_calls"))
 
 
-def micro_batches(rows: DataFrame, partition: str, order: list[str], pending: Column, size: int = 500) -> DataFrame:
-    """The number of the lookup batch of every row: a batch is full with ``size`` pending rows."""
-    so_far = F.sum(F.when(pending, 1).otherwise(0)).over(Window.partitionBy(partition).orderBy(*order))
-    return rows.withColumn("batch", F.floor((F.greatest(so_far, F.lit(1)) - 1) / size))
+def micro_batches(rows: DataFrame, partition: str, order: list[str], pending: Column, size: int = 500, span: int = 1 << 16) -> DataFrame:
+    """The number of the lookup batch of every row: a batch is full with ``size`` pending rows.
+
+    The first column of the order is a number. Sums run within spans of it, and over the spans' sums: no task holds a whole partition.
+    """
+    rows = rows.withColumns({"_pending": F.when(pending, 1).otherwise(0), "_span": F.floor(F.col(order[0]) / span)})
+    own = F.sum("_pending").over(Window.partitionBy(partition, "_span").orderBy(*order))
+    spans = rows.groupBy(partition, "_span").agg(F.sum("_pending").alias("_sum"))
+    before = Window.partitionBy(partition).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col(partition).alias("_of"), F.col("_span").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    so_far = rows.withColumn("_own", own).join(spans, F.col(partition).eqNullSafe(F.col("_of")) & (F.col("_span") == F.col("_at")))
+    return so_far.withColumn("batch", F.floor((F.greatest(F.col("_own") + F.col("_before"), F.lit(1)) - 1) / size)).drop("_pending", "_span", "_own", "_of", "_at", "_before")
+
+
+def request_options(endpoint: Column, extra: Column, nested_endpoint: Column, nested_extra: Column, seed: Column) -> Column:
+    """STRUCT<options, nested> of a request: extra options win over the endpoint's, key by key, also in the nested map; the call's seed wins over all."""
+    own = F.when(seed.isNotNull(), F.create_map(F.lit("seed"), seed.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return F.struct(merged_options(endpoint, extra, own).alias("options"), merged_options(nested_endpoint, nested_extra).alias("nested"))
 
 
 def paper_summaries(rounds: DataFrame, events: DataFrame | None = None) -> DataFrame:

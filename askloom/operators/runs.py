@@ -131,6 +131,48 @@ def qualifying_rounds(rounds: DataFrame, withdrawn: list[str]) -> DataFrame:
     return rows.select("paper", "round", reason.alias("reason"))
 
 
+def readjudicated(rounds: DataFrame, summaries: DataFrame, reports: DataFrame, withdrawn: list[str]) -> DataFrame:
+    """Summaries with refused papers accepted whose last round passed everything and was refused only for checks since withdrawn.
+
+    summaries: paper, accepted, accepted_round, claimed_round; reports: paper, run, candidate, all_passed, error; rounds also has the
+    candidate. A paper qualifies if an accepting report without an error is about its round's candidate; the first run counts.
+    """
+    fine = reports.where("all_passed AND error IS NULL").select("paper", "run", "candidate")
+    last = qualifying_rounds(rounds, withdrawn).join(rounds.select("paper", "round", "candidate"), ["paper", "round"])
+    found = last.join(fine, (last["paper"] == fine["paper"]) & last["candidate"].eqNullSafe(fine["candidate"])).groupBy(last["paper"].alias("of")).agg(F.min(F.struct("run", "round", "reason")).alias("x"))
+    changed = ~F.coalesce("accepted", F.lit(False)) & F.col("x").isNotNull()
+    out = summaries.join(found, F.col("paper") == F.col("of"), "left")
+    return out.select(
+        "paper",
+        (F.coalesce("accepted", F.lit(False)) | changed).alias("accepted"),
+        F.when(changed, F.col("x.round")).otherwise(F.col("accepted_round")).alias("accepted_round"),
+        F.when(changed, F.col("claimed_round").eqNullSafe(F.col("x.round"))).alias("claim_matches"),
+        F.when(changed, F.col("x.reason")).alias("reason"),
+        F.when(changed, F.col("x.run")).alias("report"),
+    )
+
+
+def usable_previous(papers: DataFrame, summaries: DataFrame, done: Column, retry_errors: bool) -> DataFrame:
+    """papers (paper) with whether an earlier summary can be resumed from: one is there and, where errors are retried, is done."""
+    there = summaries.select(F.col("paper").alias("of"), F.coalesce(done, F.lit(False)).alias("done"))
+    usable = F.col("of").isNotNull() & (F.col("done") if retry_errors else F.lit(True))
+    return papers.join(there, F.col("paper") == F.col("of"), "left").select("paper", usable.alias("usable"), F.coalesce("done", F.lit(False)).alias("done"))
+
+
+def run_plan(papers: DataFrame, summaries: DataFrame, done: Column, repair: Column, locked: DataFrame, drained: bool = False) -> DataFrame:
+    """What a run does with each paper: drained, locked, resume, repair, rerun (its work is archived first) or run; in this order."""
+    there = summaries.select(F.col("paper").alias("of"), F.coalesce(done, F.lit(False)).alias("done"), F.coalesce(repair, F.lit(False)).alias("repair"))
+    held = locked.select(F.col("paper").alias("held")).distinct()
+    rows = papers.select("paper").distinct().join(there, F.col("paper") == F.col("of"), "left").join(held, F.col("paper") == F.col("held"), "left")
+    action = F.when(F.lit(drained), "drained").when(F.col("held").isNotNull(), "locked").when(F.col("repair"), "repair").when(F.col("done"), "resume").when(F.col("of").isNotNull(), "rerun").otherwise("run")
+    return rows.select("paper", action.alias("action"))
+
+
+def new_runs(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Run directories that are there now and were not before."""
+    return after.join(before.select(*keys), keys, "left_anti")
+
+
 def next_run(existing: DataFrame, key: str, run_no: str = "run_no") -> DataFrame:
     """The next run number of each key: the largest so far plus one."""
     return existing.groupBy(key).agg((F.coalesce(F.max(run_no), F.lit(0)) + 1).alias("next_run")).withColumn("run_name", F.format_string("run_%03d", "next_run"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +58,30 @@ def nested_blocks(runs: DataFrame) -> DataFrame:
         F.avg("n_rubric_items").alias("rubric_items"),
         F.avg(F.coalesce("criteria_passed", F.lit(False)).cast("int")).alias("would_pass_solver_criteria"),
     )
+
+
+def agentic_report(runs: DataFrame, rounds: DataFrame) -> DataFrame:
+    """The whole report on runs as one table (section, name, value): papers, the accepted ones' averages, failed rounds, tokens.
+
+    runs: paper, accepted, final_accepted, n_rounds, stop_reason, claim_matches, errors (array), guardrails (array), prompt_tokens,
+    completion_tokens, weak_avg, strong_avg, gap, accepted_round, question_chars, n_rubric_items (scores of accepted papers);
+    rounds: paper, failure_mode.
+    """
+    value = lambda c: c.cast("double").alias("value")
+    wide = lambda section, row: row.unpivot([], row.columns, "name", "value").select(F.lit(section).alias("section"), "name", value(F.col("value")))
+    doubles = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
+    papers = runs.agg(F.count("*").alias("papers"), F.count_if("accepted").alias("accepted"), F.count_if("final_accepted").alias("final_accepted"), F.avg("n_rounds").alias("rounds_per_paper"), F.try_divide(F.count_if("accepted").cast("double"), F.nullif(F.count("*").cast("double"), F.lit(0.0))).alias("acceptance_rate"))
+    shared = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a handful of modes
+    modes = rounds.where("failure_mode <> 'ACCEPTED'").groupBy("failure_mode").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(shared))
+    stops = runs.groupBy(F.coalesce("stop_reason", F.lit("<none>")).alias("name")).agg(F.count("*").alias("n"))
+    out = [
+        wide("papers", doubles(papers)),
+        wide("accepted", doubles(table1(runs.where("accepted")))),
+        wide("final", doubles(table1(runs.where("final_accepted")))),
+        wide("tokens", doubles(tokens(runs, {"prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens")}))),
+        wide("checks", doubles(boolean_counts(runs, F.col("claim_matches"), F.col("errors"), F.col("guardrails")))),
+        modes.select(F.lit("failed_rounds").alias("section"), F.col("failure_mode").alias("name"), value(F.col("n"))),
+        modes.select(F.lit("failed_share").alias("section"), F.col("failure_mode").alias("name"), value(F.col("share"))),
+        stops.select(F.lit("stop_reasons").alias("section"), "name", value(F.col("n"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, out)

@@ -6,11 +6,18 @@ import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lazy import ship
+from ..functions.text import url_basename
+
+
+def listing(files: DataFrame, url: str = "url") -> DataFrame:
+    """A release's files in the order of their names: file, shard (place from 0), url."""
+    named = files.select(url_basename(F.col(url)).alias("file"), F.col(url).alias("url"))
+    return named.withColumn("shard", F.row_number().over(Window.orderBy("file")) - 1)  # a row per file
 
 
 def shard_records(spark: SparkSession, listing: list[str]) -> DataFrame:
@@ -30,14 +37,31 @@ def strict_lines(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def torn_tail(spark: SparkSession, path: str, step: int = 1 << 16) -> str | None:
+    """The last line of a file if no line feed ends it, read from the file's end."""
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(context._jsc.hadoopConfiguration())
+    end, tail = fs.getFileStatus(p).getLen(), b""
+    stream = fs.open(p)
+    try:
+        while len(tail) < end and b"\n" not in tail:
+            lo = max(0, end - len(tail) - step)
+            stream.seek(lo)
+            tail = bytes(stream.readNBytes(end - len(tail) - lo)) + tail
+    finally:
+        stream.close()
+    last = tail.rsplit(b"\n", 1)[-1]
+    return last.decode("utf-8", "replace") if last else None
+
+
 def keys_of(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Integer keys of an append-only JSONL file; only an unterminated last line may be broken, a broken inner line is an error."""
-    raw = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
-    rows = raw.select(F.posexplode("lines").alias("i", "line"), F.size("lines").alias("n")).where("trim(line) <> ''")
-    got = F.try_variant_get(F.try_parse_json("line"), f"$.{key}", "bigint")
-    torn = F.col("i") == F.col("n") - 1  # no line feed after it
-    checked = F.when(got.isNotNull() | torn, got).otherwise(F.raise_error(F.format_string("malformed record in line %d", F.col("i") + 1)))
-    return rows.select(checked.alias(key)).where(F.col(key).isNotNull())
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "bigint").alias(key))
+    broken = [r["value"] for r in rows.where(F.col(key).isNull()).select("value").limit(2).collect()]
+    if broken and broken != [torn_tail(spark, path)]:
+        raise ValueError(f"malformed record in {path}: {broken[0][:80]!r}")
+    return rows.select(key).where(F.col(key).isNotNull())
 
 
 def latest_by_key(lines: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,14 +25,47 @@ def current_versions(rows: DataFrame, key: str, attempt: str) -> DataFrame:
     return rows.join(last, key).withColumn("is_current", F.col(attempt) == F.col("last")).drop("last")
 
 
-def write_json(obj, path: str) -> None:
-    """A small JSON file on the driver, replaced as a whole."""
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file in any store Spark reaches, replaced as a whole: written beside its place, then moved there."""
+    context = spark.sparkContext
+    at = lambda x: context._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = fs.create(at(beside), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(at(path), False)
+    if not fs.rename(at(beside), at(path)):
+        raise OSError(f"cannot replace {path}")
+
+
+def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
+    """A small JSON file, replaced as a whole: on the driver, or with a session in the store of ``path``."""
+    text = json.dumps(obj, indent=2, ensure_ascii=False) + "\n"
+    if spark is not None:
+        return put_text(spark, text, path)
     p = Path(path)
     temporary = p.with_name(f".{p.name}.tmp")
-    temporary.write_text(json.dumps(obj, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    temporary.write_text(text, encoding="utf-8")
     temporary.replace(p)
 
 
+def one_file(lines: DataFrame, order: list[str], path: str) -> None:
+    """One file of ordered lines (column ``value``), gzipped if it is called so: a shard, written by one task."""
+    spark = lines.sparkSession
+    context = spark.sparkContext
+    at = lambda x: context._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    lines.orderBy(*order).select("value").coalesce(1).write.text(beside, compression="gzip" if path.endswith(".gz") else None)
+    part = next(f.getPath() for f in fs.listStatus(at(beside)) if f.getPath().getName().startswith("part-"))
+    fs.delete(at(path), False)
+    fs.rename(part, at(path))
+    fs.delete(at(beside), True)
+
+
 def report_lines(assessed: DataFrame) -> DataFrame:
     """A text block per candidate: averages in percent with one decimal, verdicts, reasons."""
     pct = lambda part, n: F.coalesce(F.format_string("%.1f%%", part.cast("double") / (n * F.col("max_positive")).cast("double") * 100), F.lit("n/a"))

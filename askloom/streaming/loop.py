@@ -24,6 +24,19 @@ class Loop:
         self.verified: set[str] = set()  # questions with a completed verification this round
         self.evaluated: dict[tuple[str, str], bool] = {}  # (question, mode) -> passed everything
 
+    def saved(self) -> tuple:
+        """The state as a row of KEPT: bounded by one round's questions."""
+        done = sorted(self.evaluated.items())
+        return self.rounds, self.accepted, self.question, self.qv, sorted(self.verified), [q for (q, _), _ in done], [k for (_, k), _ in done], [p for _, p in done]
+
+    @classmethod
+    def restored(cls, row: tuple) -> Loop:
+        rounds, accepted, question, qv, verified, questions, kinds, passed = row
+        loop = cls(rounds, accepted)
+        loop.question, loop.qv, loop.verified = question, qv, set(verified)
+        loop.evaluated = {(q, k): bool(p) for q, k, p in zip(questions, kinds, passed)}
+        return loop
+
     def step(self, kind: str, question: str | None, passed: bool | None, complete: bool = True) -> str:
         if kind == "challenger":
             if self.accepted:
@@ -58,54 +71,102 @@ class Loop:
         return "evaluated"
 
 
-def decide(events: pd.DataFrame) -> pd.DataFrame:
-    """Decisions for one paper's events in order."""
-    loop, out = Loop(), []
-    for e in events.sort_values("seq").itertuples():
-        text = None if pd.isna(e.question) else e.question
-        passed = None if pd.isna(e.passed) else bool(e.passed)
-        decision = loop.step(e.kind, text, passed)
-        out.append((e.paper, e.seq, e.kind, decision, loop.rounds, loop.accepted or None))
-    return pd.DataFrame(out, columns=["paper", "seq", "kind", "decision", "round", "accepted_round"]).astype({"accepted_round": "Int32"})
+KEPT = "rounds int, accepted int, question string, qv boolean, verified array<string>, questions array<string>, kinds array<string>, passed array<boolean>"
+
+
+def stepped(loop: Loop, paper, seq, kind, question, passed) -> tuple:
+    decision = loop.step(kind, None if pd.isna(question) else question, None if pd.isna(passed) else bool(passed))
+    return paper, seq, kind, decision, loop.rounds, loop.accepted or None
+
+
+COLUMNS = ["paper", "seq", "kind", "question", "passed"]
+
+
+def decided(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["paper", "seq", "kind", "decision", "round", "accepted_round"]).astype({"accepted_round": "Int32"})
 
 
 def replay(events: DataFrame) -> DataFrame:
     """events: paper, seq, kind, question, passed -> a decision for each, paper by paper in the order of seq.
 
-    A paper has at most a few dozen events (its round budget bounds them), so a group is small whatever the number of papers.
+    Events pass in order and one paper's state is held at a time; a paper has at most a few dozen events (its round budget bounds them).
     """
-    return events.select("paper", "seq", "kind", "question", "passed").groupBy("paper").applyInPandas(decide, DECISIONS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loop, now = Loop(), None
+        for b in batches:
+            out = []
+            for row in zip(*(b[c].tolist() for c in COLUMNS)):
+                if row[0] != now:
+                    loop, now = Loop(), row[0]
+                out.append(stepped(loop, *row))
+            yield decided(out)
+
+    return events.select(*COLUMNS).repartition("paper").sortWithinPartitions("paper", "seq").mapInPandas(run, DECISIONS)
 
 
 def replay_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: state per paper is the decided events so far, replayed with what arrives."""
+    """The same over a stream; a paper's state is the loop's own, and events are decided in the order of seq within each batch."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = pd.DataFrame(list(zip(*state.get)), columns=["paper", "seq", "kind", "question", "passed"]) if state.exists else None
-        new = pd.concat(list(batches), ignore_index=True)[["paper", "seq", "kind", "question", "passed"]]
-        whole = new if seen is None else pd.concat([seen, new], ignore_index=True)
-        state.update(tuple(whole[c].astype(object).where(whole[c].notna(), None).tolist() for c in whole.columns))
-        yield decide(whole)[lambda d: d["seq"].isin(new["seq"])]
+        loop = Loop.restored(state.get) if state.exists else Loop()
+        new = pd.concat(list(batches), ignore_index=True).sort_values("seq")
+        out = decided([stepped(loop, *row) for row in zip(*(new[c].tolist() for c in COLUMNS))])
+        state.update(loop.saved())
+        yield out
+
+    return events.groupBy("paper").applyInPandasWithState(run, DECISIONS, KEPT, "append", "NoTimeout")
+
 
-    kept = "paper array<long>, seq array<long>, kind array<string>, question array<string>, passed array<boolean>"
-    return events.groupBy("paper").applyInPandasWithState(run, DECISIONS, kept, "append", "NoTimeout")
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def batches_of(spark: SparkSession, target: str, but: int) -> DataFrame | None:
+    """What earlier batches wrote under ``target``, if anything."""
+    if not exists(spark, target):
+        return None
+    rows = spark.read.parquet(target)
+    return rows.where(F.col("batch") != but).drop("batch")
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str | None = None) -> None:
-    """Process the files that are new since the last call and append them to ``target``; rows of keys already there are left out."""
+    """Process the files that are new since the last call and add them to ``target``, a folder for each batch.
 
-    def write(batch: DataFrame, _id: int) -> None:
+    Rows of keys already there are left out, as are repeated keys within a batch; a batch that is tried again replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         if key is not None:
-            try:
-                batch = batch.join(spark.read.parquet(target).select(key), key, "left_anti")
-            except Exception as e:  # nothing written yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        batch.write.mode("append").parquet(target)
+            batch = batch.dropDuplicates([key])
+            if (known := batches_of(spark, target, batch_id)) is not None:
+                batch = batch.join(known.select(key), key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_papers(spark: SparkSession, queue: str, schema, work, target: str, checkpoint: str, drain: str, resume: DataFrame | None = None) -> None:
+    """A resumable driver over a queue of papers (column ``paper``): each new paper gets one row in ``target``.
+
+    ``work(papers) -> DataFrame`` runs them and returns paper and its result columns; papers of ``resume`` are done and left out.
+    While the file ``drain`` exists, papers that are queued get a row with skipped = 'drained' and are not run; batches that were
+    committed stay, a batch that failed is tried again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        papers = batch.select("paper").distinct()
+        for done in (resume, batches_of(spark, target, batch_id)):
+            if done is not None:
+                papers = papers.join(done.select("paper"), "paper", "left_anti")
+        drained = exists(spark, drain)
+        rows = papers.withColumn("skipped", F.lit("drained")) if drained else work(papers).withColumn("skipped", F.lit(None).cast("string"))
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(queue).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def progress(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events and their values by type and time window; batch or stream (then with a watermark)."""
     e = events.withColumn("at", F.col("ts").cast("timestamp"))
