@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, ship, small_batches, stage
+from .common import discard, read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
@@ -61,7 +61,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_
     rows = texts.join(F.broadcast(first[0].union(first[1])), "id").withColumns({"h": F.xxhash64("text"), "row_id": F.monotonically_increasing_id()})
     rows = stage(rows, "toxicity-labelled")
     once = rows.groupBy("h", "y").agg(F.min("row_id").alias("row_id")).select("row_id")
-    return stage(rows.join(once, "row_id", "left_semi").select("text", "y", F.pmod("h", F.lit(2)).cast("int").alias("fold")), "toxicity-sample"), sizes
+    out = stage(rows.join(once, "row_id", "left_semi").select("text", "y", F.pmod("h", F.lit(2)).cast("int").alias("fold")), "toxicity-sample")
+    discard(rows)
+    return out, sizes
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -156,8 +158,9 @@ def word_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarra
 
     cols = ["n00", "n01", "n10", "n11"]
     per_word = stage(sample.select("text", "y", "fold").mapInPandas(run, "word binary, n00 long, n01 long, n10 long, n11 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in cols]), "toxicity-words")
-    kept = per_word.where((F.col("n00") + F.col("n10") > least) | (F.col("n01") + F.col("n11") > least)).orderBy("word").toPandas()  # bounded by the sample
+    kept = per_word.where((F.col("n00") + F.col("n10") > least) | (F.col("n01") + F.col("n11") > least)).toPandas().sort_values("word")  # bounded by the sample
     total = per_word.agg(*[F.sum(c) for c in cols]).first()
+    discard(per_word)
     return [bytes(w) for w in kept["word"]], kept[cols].to_numpy(float).reshape(-1, 2, 2), np.array([x or 0 for x in total], float).reshape(2, 2)
 
 
@@ -193,7 +196,9 @@ def pair_counts(sample: DataFrame, vocabulary: dict[bytes, int], least: float) -
     cols = ["n00", "n01", "n10", "n11"]
     # The second word of a sum over all of a word's pairs is 0.
     rows = bucket_wise(sample.select("text", "y", "fold").mapInPandas(run, DEALT), of_bucket, "code long, n00 long, n01 long, n10 long, n11 long")
-    rows = rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in cols]).orderBy("code").toPandas()  # bounded by the sample
+    found = stage(rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in cols]), "toxicity-pairs")  # staged: its shuffle's files go at once
+    rows = found.toPandas().sort_values("code")  # bounded by the sample
+    discard(found)
     code, n = rows["code"].to_numpy(np.int64), rows[cols].to_numpy(float).reshape(-1, 2, 2)
     sums = code & ((1 << BITS) - 1) == 0
     after = np.zeros((len(vocabulary) + 1, 2, 2))
@@ -232,9 +237,11 @@ def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np
         return pd.DataFrame({"word": word, "n": n})
 
     rows = bucket_wise(docs.select(F.col(text_col).alias("text")).mapInPandas(run, DEALT), of_bucket, "word long, n long")
+    found = stage(rows.groupBy("word").agg(F.sum("n").alias("n")), "toxicity-contexts")
     out = np.zeros(len(vocabulary) + 1)
-    for word, n in rows.groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per model word
+    for word, n in found.collect():  # a row per model word
         out[word] = n
+    discard(found)
     return out
 
 
@@ -338,6 +345,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             yield pd.DataFrame({"y": b["y"], "whole": [a for a, _ in x], "peak": [p for _, p in x]})
 
     got = rows.select("text", "y", "fold").mapInPandas(run, "y int, whole double, peak double").toPandas().sort_values(["y", "whole", "peak"])
+    discard(rows)
     y = got["y"].to_numpy(float)
     if not 0 < y.mean() < 1:
         return Model({}, Ratios(), np.array([0.0, 0.0, 0.0]))
