@@ -180,7 +180,7 @@ def service_delay(attempt: Column, jitter: Column, retry_after: Column) -> Colum
     """Seconds to wait after failed try ``attempt`` (from 1) of the metadata service; what it asks for counts if it is longer."""
     base = F.element_at(F.array(*map(F.lit, SCHEDULE)), F.least(attempt, F.lit(len(SCHEDULE))).cast("int"))
     asked = F.when(F.trim(retry_after).rlike(r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), F.trim(retry_after).try_cast("double"))
-    return F.greatest(base + jitter * JITTER * base, F.least(asked, F.lit(LONGEST)))
+    return F.greatest(base + jitter * JITTER * base, F.when(asked.isNotNull(), F.least(asked, F.lit(LONGEST))))
 
 
 def evaluator_deadline(mode: Column, solver_timeout: Column, solver_retries: Column, judge_timeout: Column, judge_retries: Column, spare: float = 300.0) -> Column:

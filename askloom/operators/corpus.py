@@ -49,9 +49,11 @@ def metadata_outcome(found: Column, year: Column, fields: Column, abstract: Colu
 
 
 def parse_id(raw: Column) -> Column:
-    """An integer id out of a variant (a number, or a string of one); null for anything else, booleans too."""
-    fine = ~F.coalesce(F.schema_of_variant(raw).isin("BOOLEAN", "VOID"), F.lit(True))
-    return F.when(fine, F.coalesce(F.try_variant_get(raw, "$", "bigint"), F.trim(F.try_variant_get(raw, "$", "string")).try_cast("bigint")))
+    """An integer id out of a variant (a number, cut to an integer, or a string of one); null for anything else, booleans too."""
+    kind = F.schema_of_variant(raw)
+    number = ~F.coalesce(kind.isin("BOOLEAN", "VOID", "STRING"), F.lit(True))
+    text = F.trim(F.try_variant_get(raw, "$", "string"))
+    return F.when(number, F.try_variant_get(raw, "$", "bigint")).when((kind == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
 def field_categories(fields: Column) -> Column:

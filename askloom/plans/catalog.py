@@ -487,7 +487,7 @@ def judgment_parse(spark, d):
     return g.select("candidate", "role", "attempt", X.parse_judgments(said, F.col("n")).alias("p")).select("candidate", "role", "attempt", F.array_join(F.transform("p.satisfied", lambda s: s.cast("string")), ",").alias("marks"))
 
 
-@query("qv_parse", "SELECT o_orderkey, o_orderstatus <> 'P' AND o_custkey % 3 <> 0 AS overall, o_orderstatus <> 'P' AND o_custkey % 3 = 0 AS contradiction FROM orders")
+@query("qv_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 1 THEN o_orderstatus <> 'P' AND o_custkey % 3 <> 0 END AS overall, o_orderkey % 10 > 1 AND o_orderstatus <> 'P' AND o_custkey % 3 = 0 AS contradiction, 0 AS n_missing FROM orders")
 def qv_parse(spark, d):
     lines = F.concat(
         F.lit("- **CHECK_1_VERDICT:** NO_LEAKAGE\nCHECK_2_VERDICT: GOOD\n3. CHECK_3_VERDICT: "),
@@ -496,8 +496,9 @@ def qv_parse(spark, d):
         F.when(F.col("o_orderstatus") == "P", "FAIL").otherwise("PASS"),
         F.lit("\nFEEDBACK: none"),
     )
-    v = V.table(spark, d, "orders").select("o_orderkey", X.qv_lines(lines).alias("l")).select("o_orderkey", X.qv_verdict(F.col("l")).alias("v"))
-    return v.select("o_orderkey", "v.overall", "v.contradiction")
+    said = F.when(F.col("o_orderkey") % 10 > 1, lines).when(F.col("o_orderkey") % 10 == 1, "")  # some say nothing
+    v = V.table(spark, d, "orders").select("o_orderkey", X.qv_lines(said).alias("l")).select("o_orderkey", X.qv_verdict(F.col("l")).alias("v"))
+    return v.select("o_orderkey", "v.overall", "v.contradiction", F.size("v.missing_checks").alias("n_missing"))
 
 
 @query("strip_reasoning", "SELECT conv_id, turn, trim(coalesce(text, '')) AS answer, CAST(1 AS INT) AS n_blocks FROM conversations")
@@ -590,13 +591,3 @@ def resume_done(spark, d):
     errors = F.array().cast("array<string>")
     stop = F.when(F.col("n_rounds") % 3 == 0, "crashed").otherwise("final")
     return r.select("paper", N.agentic_done(F.col("accepted"), F.col("n_rounds") % 2 == 0, F.col("completed"), errors, stop).alias("done"))
-
-
-@query("loop_state_machine")
-def loop_state_machine(spark, d):
-    """Rounds as an event log (challenge, verify, evaluate) through the loop's state machine."""
-    r = V.rounds(spark, d)
-    q = F.col("candidate").cast("string")
-    event = lambda n, kind, passed: F.struct((F.col("round") * 3 + n).cast("long").alias("seq"), F.lit(kind).alias("kind"), q.alias("question"), passed.alias("passed"))
-    log = F.array(event(0, "challenger", F.lit(None).cast("boolean")), event(1, "quality_verifier", F.col("qv_passed")), event(2, "both", F.coalesce("all_passed", F.lit(False))))
-    return L.replay(r.select("paper", F.explode(log).alias("e")).select("paper", "e.*"))

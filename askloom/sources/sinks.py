@@ -52,14 +52,14 @@ def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
     temporary.replace(p)
 
 
-def one_file(lines: DataFrame, order: list[str], path: str) -> None:
-    """One file of ordered lines (column ``value``), gzipped if it is called so: a shard, written by one task."""
+def one_file(lines: DataFrame, order: list[str], path: str, end: str = "\n") -> None:
+    """One file of ordered lines (column ``value``), each with its ``end``, gzipped if it is called so: a shard, written by one task."""
     spark = lines.sparkSession
     context = spark.sparkContext
     at = lambda x: context._jvm.org.apache.hadoop.fs.Path(x)
     fs = at(path).getFileSystem(context._jsc.hadoopConfiguration())
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    lines.orderBy(*order).select("value").coalesce(1).write.text(beside, compression="gzip" if path.endswith(".gz") else None)
+    lines.orderBy(*order).select("value").coalesce(1).write.text(beside, compression="gzip" if path.endswith(".gz") else None, lineSep=end)
     part = next(f.getPath() for f in fs.listStatus(at(beside)) if f.getPath().getName().startswith("part-"))
     fs.delete(at(path), False)
     fs.rename(part, at(path))
