@@ -12,11 +12,13 @@ Defined cases: null text is empty and gives the end id alone; null and repeated
 gives an empty result; other columns are ignored; whole texts are tokenised.
 
 Scale: ranks come from counters kept while a task tokenises, and prefix sums over (task, length) counts; the driver sees the
-histogram alone, and the plan (bounded by the histogram) is broadcast.
+histogram and, up to FEW of them, the first ranks by task and length, which go to the workers beside the plan so that pieces stay
+where they are; beyond, pieces and first ranks are joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -35,10 +37,21 @@ CAPACITY = 4096
 END_ID = 1
 CACHE = 600_000  # distinct parts whose ids a worker remembers
 
-FEW = 200_000  # rows of the table of first ranks (24 bytes each) that may be broadcast
+FEW = 4_000_000  # first ranks (16 bytes each) that may be sent to every worker
 
-#: Tokenisers that drop white space and lower case; see Parts.
-SPLITTABLE = ("word_bpe_49k.json",)
+#: What a tokeniser must do with a text before its model for Parts to hold: compose, make white space one space, lower case, and
+#: drop the spaces between runs of letters, single digits and runs of other signs.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splittable(path: str) -> bool:
+    """Whether the tokeniser in a file treats the parts of a text between white space by themselves, as :class:`Parts` needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    special = all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    return normal.get("normalizers") == NORMAL and (pre.get("pretokenizers") or [None])[0] == SPLIT and special
 
 
 def fill(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -130,7 +143,7 @@ def encoder(path: str):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(path)
-    if path.rsplit("/", 1)[-1] not in SPLITTABLE:
+    if not splittable(path):
         return lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
     # On a module that outlives this task, so that a reused worker remembers.
     parts = tokenizers.__dict__.setdefault("_parts", {}).setdefault(path, None) or Parts(t)
@@ -179,24 +192,34 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     pieces = stage(cut(docs, tokenizer_path, id_col, text_col, capacity, with_ids), "pack-pieces")
     counts = stage(pieces.groupBy("task", "length").agg((F.max("nth") + 1).alias("n")), "pack-counts")
     histogram = {n: c for n, c in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
-    table = spark.sparkContext.broadcast(lookup(plan(histogram, capacity)))
     upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)
     firsts = counts.withColumn("first", F.sum("n").over(upto) - F.col("n")).drop("n")
+    few = counts.count() <= FEW
+    key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if few:  # each piece looks up its task's first rank of its length where it stands
+        known = firsts.toPandas()
+        keys = known["task"].to_numpy(np.int64) << 32 | known["length"].to_numpy(np.int64)
+        order = np.argsort(keys)
+        key = keys[order], known["first"].to_numpy(np.int64)[order]
+    table = spark.sparkContext.broadcast((lookup(plan(histogram, capacity)), *key))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(), rank.to_numpy()
+    def place(task: pd.Series, length: pd.Series, nth: pd.Series) -> pd.DataFrame:
+        lines, keys, first = table.value
+        n, r = length.to_numpy(np.int64), nth.to_numpy(np.int64)
+        if few:
+            r = r + first[np.searchsorted(keys, task.to_numpy(np.int64) << 32 | n)]
         seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         for x in np.unique(n):
-            own, rows = n == x, table.value[int(x)]
+            own, rows = n == x, lines[int(x)]
             at = rows[np.searchsorted(rows[:, 0], r[own], side="right") - 1]
             d = r[own] - at[:, 0]
             seq[own], off[own] = at[:, 2] + d // at[:, 1], at[:, 3] + d % at[:, 1] * x
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    # A row per task and length: broadcast while it is small by count, so that pieces stay where they are; else both are shuffled.
-    firsts = F.broadcast(firsts) if counts.count() <= FEW else firsts.hint("merge")
-    ranked = pieces.join(firsts, ["task", "length"]).withColumn("at", place("length", F.col("first") + F.col("nth")))
+    if not few:  # beyond that, pieces and first ranks are shuffled to each other
+        pieces = pieces.join(firsts.hint("merge"), ["task", "length"]).withColumn("nth", F.col("nth") + F.col("first"))
+    ranked = pieces.withColumn("at", place("task", "length", "nth"))
     return ranked.select("row_id", "id", "piece", "start", "length", "ids_crc32", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"), *["ids"] * with_ids)
 
 

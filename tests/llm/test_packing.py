@@ -51,7 +51,19 @@ def test_plan_uses_everything_once():
     assert P.plan({}, 10) == []
 
 
-def test_pieces_round_trip(docs, plain):
+def test_splittable_is_read_from_the_file(tmp_path):
+    import json
+
+    assert P.splittable(PATH) and not P.splittable(P.tokenizer_file("byte_bpe_50k.json"))
+    spec = json.load(open(PATH))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    (tmp_path / "word_bpe_49k.json").write_text(json.dumps(spec))
+    assert not P.splittable(f"{tmp_path}/word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("few", [4_000_000, 0])
+def test_pieces_round_trip(docs, plain, monkeypatch, few):
+    monkeypatch.setattr(P, "FEW", few)
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma,", "Delta."]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
     d = docs([(i, t, "s") for i, t in enumerate(texts)])
