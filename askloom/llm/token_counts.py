@@ -95,12 +95,22 @@ class Counts(dict):
         return n
 
 
+def counter(model_path: str, mark: str) -> Counts:
+    """The counts by a model's vocabulary, on a module that outlives this task, so that a reused worker builds its automaton once."""
+    import sentencepiece
+
+    kept = sentencepiece.__dict__.setdefault("_counts", {})
+    if (model_path, mark) not in kept:
+        kept[model_path, mark] = Counts(Automaton(sentencepiece_vocabulary(model_path)), mark)
+    return kept[model_path, mark]
+
+
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK) -> DataFrame:
     """One row per input row: id, n_words, n_tokens (an unknown word is one), n_unknown (words)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(Automaton(sentencepiece_vocabulary(model_path)), mark)
+        counts = counter(model_path, mark)
         for b in batches:
             out = []
             for text in b["text"].tolist():
