@@ -151,6 +151,41 @@ def test_tree_traversal_matches_walking():
     assert ((t.score(x) > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_tree_growth_matches_brute_force():
+    """Every split of the first two trees is the best of all features and bounds by the gain as defined, every leaf value the optimal step."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(260, 4)), 1)
+    y = ((x[:, 1] > 0.2) ^ (x[:, 3] + rng.normal(0, 0.5, 260) > 0)).astype(float)
+    t = Q.grow(x, y, 2)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, Q.BINS + 1)[1:-1])) for j in range(4)]
+    score = np.full(260, t.start)
+    assert np.isclose(t.start, np.log(y.mean() / (1 - y.mean())))
+
+    def gain(rows, j, b, g, h):
+        left, right = rows & (x[:, j] <= b), rows & (x[:, j] > b)
+        if min(h[left].sum(), h[right].sum()) < Q.LEAST:
+            return 0.0
+        part = lambda r: g[r].sum() ** 2 / (h[r].sum() + Q.LAMBDA)
+        return part(left) + part(right) - part(rows)
+
+    for root in t.roots:
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+        todo, step = [(root, np.ones(260, bool), 0)], np.zeros(260)
+        while todo:
+            k, rows, depth = todo.pop()
+            best = max(gain(rows, j, b, g, h) for j in range(4) for b in edges[j]) if depth < Q.DEPTH else 0.0
+            if t.left[k] == k:
+                assert best <= 1e-6 + 1e-9
+                step[rows] = -Q.RATE * g[rows].sum() / (h[rows].sum() + Q.LAMBDA)
+                assert np.isclose(t.value[k], step[rows][0])
+            else:
+                assert np.isclose(gain(rows, t.feature[k], t.bound[k], g, h), best)
+                todo += [(t.left[k], rows & (x[:, t.feature[k]] <= t.bound[k]), depth + 1), (t.right[k], rows & (x[:, t.feature[k]] > t.bound[k]), depth + 1)]
+        score = score + step
+    assert np.allclose(t.score(x), 1 / (1 + np.exp(-score)))
+
+
 def test_nothing_to_learn(spark, ugly, empty):
     none = spark.createDataFrame([], LABELS)
     one = spark.createDataFrame([(1, 1, 0, None), (2, 1, 0, None)], LABELS)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -12,6 +14,20 @@ def test_registered():
     assert "pipeline" in q and set(sql) <= set(q)
 
 
+@pytest.mark.parametrize("table", ["ugly", "empty"])
+def test_odd_tables(spark, request, tmp_path, table):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns; and no rows at all."""
+    d = request.getfixturevalue(table).withColumns({"pass": F.lit(1), "__row_id": F.lit(2), "score": F.lit(3)})
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert k == 4 or now.columns == d.columns
+    assert (now.count() > 0) == (table == "ugly")
+
+
 def test_stages(spark, docs, tmp_path):
     rng = random.Random(1)
     texts = [" ".join(f"w{rng.randrange(1500)}" for _ in range(60)) for _ in range(180)]

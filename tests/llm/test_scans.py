@@ -74,6 +74,55 @@ def test_fuzzy_finds_every_notice_within_its_edits():
             assert any(m[1] == notice for m in s.scan(text)[2]), text
 
 
+def distance(a, b):
+    """Edits between two strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def ends(notice, text):
+    """For each end place in the text the least edits of any stretch that ends there."""
+    last = [0] * (len(text) + 1)
+    for i, x in enumerate(notice, 1):
+        row = [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last
+
+
+def test_spans_and_edits_match_a_search_of_whole_texts():
+    """Both ways: every place a plain search over the whole text finds is found, and what is found is such a place, its edits counted right."""
+    rng, s, hits, misses = random.Random(12), L.Scanner(), 0, 0
+    for _ in range(60):
+        words = [rng.choice(["license", "rights", "the", "public", "granted", "free", "source", "house", "mit", "all", "by"]) for _ in range(30)]
+        planted = rng.choice(list(L.NOTICES))
+        t = list(planted)
+        for _ in range(rng.randint(0, s.edits[planted] + 3)):
+            k, c = rng.randrange(len(t)), rng.choice("abcdefgh")
+            t[k : k + rng.choice([0, 1, 1])] = rng.choice([[], [c], [c]])
+        words[15:15] = "".join(t).split()
+        joined = f" {' '.join(words)} "
+        found = s.scan(" ".join(words))[2]
+        for notice, k in s.edits.items():
+            own = [m for m in found if m[1] == notice]
+            least = ends(notice, joined)
+            assert bool(own) == (min(least) <= k), (notice, joined)
+            hits, misses = hits + len(own), misses + (not own)
+            for label, _, first, last, edits, matched in own:
+                assert label == L.NOTICES[notice] and edits == distance(notice, matched) <= k and matched in joined
+                shown = " ".join(words[first:last])
+                assert matched.strip() in shown and len(words[first:last]) <= len(matched.split()) + 1
+            # Every place that is near enough lies at a span that was found.
+            spans = [(x.start(), x.end()) for m in own for x in re.finditer(re.escape(m[5]), joined)]
+            assert all(any(a - k <= e <= b + k for a, b in spans) for e, d in enumerate(least) if d <= k), notice
+    assert hits > 30 and misses > 300
+
+
 def test_scan_edges(spark, ugly, empty, docs, tmp_path):
     assert L.scan_licenses(ugly).count() == 10 and L.scan_licenses(empty).count() == 0
     d = docs([(1, "All rights reserved. cc by", "s"), (2, None, "s")])
