@@ -309,3 +309,27 @@ def ingested(spark, d):
 def new_run_directories(spark, d):
     o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("paper"), F.col("o_orderkey").alias("run"))
     return N.new_runs(o, o.where("run % 3 <> 0"), ["paper", "run"])
+
+
+@query("exclusive_locks", "SELECT n_nationkey AS key, true AS first, false AS second, n_nationkey % 2 = 0 AS after_release FROM nation")
+def exclusive_locks(spark, d):
+    """A second holder is refused until the first lets go."""
+    folder, out = scratch(spark, "locks"), []
+    for (k,) in sorted(V.table(spark, d, "nation").select("n_nationkey").collect()):
+        one, two = (sinks.Lock(spark, folder, f"n{k}") for _ in range(2))
+        first, second = one.acquire() and one.acquire(), two.acquire()
+        if k % 2 == 0:
+            one.release()
+        out.append((k, first, second, two.acquire()))
+    return spark.createDataFrame(out, "key int, first boolean, second boolean, after_release boolean")
+
+
+@query("ready_services", "SELECT * FROM (VALUES ('a', true, 0), ('b', true, 30), ('c', false, 45)) t(name, ready, waited)")
+def ready_services(spark, d):
+    """Services that answer at once, after a while, and never; work goes on when the wait is over."""
+    out = []
+    for name, after in (("a", 0), ("b", 30), ("c", 10**6)):
+        now = [0.0]
+        lacking = responder.wait_ready({name: lambda: now[0] >= after}, wait=45, sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0])
+        out.append((name, not lacking, int(now[0])))
+    return spark.createDataFrame(out, "name string, ready boolean, waited int")

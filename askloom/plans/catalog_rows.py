@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import extract as X
+from ..functions import paths as P
 from ..functions import text as T
 from ..operators import bench as B
 from ..operators import corpus as C
@@ -232,6 +233,18 @@ def error_texts(spark, d):
     return V.table(spark, d, "events").select("event_id", T.error_text(kind, status).alias("shown"))
 
 
+PATHS = ["/workspace/project/notes.md", "./a/../b//{n}.txt", "..//{n}", "output/{n}.py", "/etc/{n}", "/workspace/project", "eval_attempts/x/{n}", "a/./{n}/", "subagent_view", "a\\\\..\\\\.x{n}", " a/b/../../../c", "paper.txt", "output/{n}.json"]
+INSIDE = ["'notes.md'", "concat('b/', user_id, '.txt')", "NULL", "concat('output/', user_id, '.py')", "NULL", "NULL", "concat('eval_attempts/x/', user_id)", "concat('a/', user_id)", "'subagent_view'", "concat('.x', user_id)", "NULL", "'paper.txt'", "concat('output/', user_id, '.json')"]
+
+
+@query("agent_paths", "SELECT event_id, CASE event_id % 13 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(INSIDE)) + " END AS inside, event_id % 13 IN (0, 1, 7, 12) AS writable FROM events")
+def agent_paths(spark, d):
+    """Paths as agents name them: their shortest form, and whether they may be written."""
+    raw = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % 13 + 1).cast("int"))
+    path = F.replace(raw, F.lit("{n}"), F.col("user_id").cast("string"))
+    return V.table(spark, d, "events").select("event_id", P.within(path).alias("inside"), P.writable(path).alias("writable"))
+
+
 @query("retry_flags", "SELECT event_id, coalesce(event_id % 4 = 0 OR s IN (408, 409, 429) OR s >= 500, false) AS retry FROM (SELECT event_id, CASE WHEN user_id % 6 = 0 THEN NULL ELSE 400 + (user_id % 6) * 20 + event_id % 11 END AS s FROM events)")
 def retry_flags(spark, d):
     status = F.when(F.col("user_id") % 6 != 0, 400 + (F.col("user_id") % 6) * 20 + F.col("event_id") % 11)

@@ -53,6 +53,14 @@ def answers(requests: DataFrame, respond: Callable[[dict], dict], retries: int =
     return (requests.repartition(parallel) if parallel else requests).mapInPandas(run, SCHEMA)
 
 
+def wait_ready(probes: dict[str, Callable[[], bool]], wait: float = 1800.0, every: float = 15.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> list[str]:
+    """Wait until every service answers its probe; the names of those that still do not after ``wait`` seconds (then work goes on)."""
+    end = clock() + wait
+    while (lacking := [name for name, ready in probes.items() if not ready()]) and (left := end - clock()) > 0:
+        sleep(min(every, left))
+    return lacking
+
+
 def recorded(requests: DataFrame, table: DataFrame) -> DataFrame:
     """The final answers of an earlier run for these requests; null where there is none."""
     return requests.select("request_id").join(table.where("is_final"), "request_id", "left")

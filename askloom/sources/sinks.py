@@ -41,6 +41,31 @@ def put_text(spark: SparkSession, text: str, path: str) -> None:
         raise OSError(f"cannot replace {path}")
 
 
+class Lock:
+    """An exclusive lock on a key: a file beside the work that only one holder can create, in any store that creates atomically."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.context, self.path, self.held = spark.sparkContext, f"{folder}/_locks/{key}.lock", False
+
+    def _fs(self):
+        p = self.context._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p, p.getFileSystem(self.context._jsc.hadoopConfiguration())
+
+    def acquire(self) -> bool:
+        """Whether the lock is held now; never waits."""
+        if not self.held:
+            p, fs = self._fs()
+            fs.mkdirs(p.getParent())
+            self.held = bool(fs.createNewFile(p))
+        return self.held
+
+    def release(self) -> None:
+        if self.held:
+            p, fs = self._fs()
+            fs.delete(p, False)
+            self.held = False
+
+
 def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
     """A small JSON file, replaced as a whole: on the driver, or with a session in the store of ``path``."""
     text = json.dumps(obj, indent=2, ensure_ascii=False) + "\n"
