@@ -43,7 +43,7 @@ GATHER = 4096  # nodes whose index entries a task groups at once
 FEW = 200_000  # rows of a table of two numbers that may be broadcast
 PART_BYTES = 1 << 19
 ERRORS = 1
-CACHE = 400_000
+CACHE = 200_000  # words whose hashes a worker remembers
 
 _RANDOM = np.random.default_rng(9)
 SALT = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64)

@@ -41,7 +41,8 @@ from .common import discard, read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
-D1, D2, WINDOW, HELD = 4, 8, 3, 4_000_000
+D1, D2, WINDOW = 4, 8, 3
+HELD = 2_000_000  # codes that a task holds before it passes them on, or half as many before it merges them
 BITS = 24  # of a word's number
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -104,7 +105,7 @@ def bucket_wise(dealt_rows: DataFrame, of_bucket, schema: str) -> DataFrame:
     """``of_bucket(codes, counts)``, a data frame, of the merged codes of each bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, codes, counts, size, limit = None, [], [], 0, HELD
+        now, codes, counts, size, limit = None, [], [], 0, HELD // 2
 
         def whole():
             return merged(np.concatenate(codes), np.concatenate(counts) if counts else None)
@@ -113,7 +114,7 @@ def bucket_wise(dealt_rows: DataFrame, of_bucket, schema: str) -> DataFrame:
             for bucket, c, n in zip(b["bucket"].tolist(), b["codes"].tolist(), b["counts"].tolist()):
                 if bucket != now and codes:
                     yield of_bucket(*whole())
-                    codes, counts, size, limit = [], [], 0, HELD
+                    codes, counts, size, limit = [], [], 0, HELD // 2
                 now = bucket
                 codes.append(unpacked(c))
                 if n is not None:
@@ -122,7 +123,7 @@ def bucket_wise(dealt_rows: DataFrame, of_bucket, schema: str) -> DataFrame:
                 if size > limit:
                     c, n = whole()
                     codes, counts, size = [c], [] if n is None else [n], len(c)
-                    limit = max(HELD, 2 * size)
+                    limit = max(HELD // 2, 2 * size)
         if codes:
             yield of_bucket(*whole())
 
@@ -177,7 +178,7 @@ def pair_counts(sample: DataFrame, vocabulary: dict[bytes, int], least: float) -
                 code = np.unique(w[:-1] << BITS | w[1:])
                 held.append(code[code >> BITS > 0] << 2 | (2 * f + y))
                 size += len(held[-1])
-            if size > HELD:
+            if size > HELD // 2:
                 yield dealt(*np.unique(np.concatenate(held), return_counts=True), buckets, 2)
                 held, size = [], 0
         if held:
