@@ -33,15 +33,17 @@ def alnum(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]", "")
 
 
+#: A maximal run of word characters that are not all digits.
+WORD = r"(?<![\p{L}\p{N}_\p{M}])\p{Nd}*+[\p{L}\p{N}_\p{M}&&[^\p{Nd}]][\p{L}\p{N}_\p{M}]*"
+
+
 def words(s: Column, most: int | None = None) -> Column:
     """Word tokens of the lower-cased text (its first ``most`` characters) that are not all digits."""
-    head = F.lower(s if most is None else F.substring(s, 1, most))
-    return F.filter(F.regexp_extract_all(head, F.lit(r"[\p{L}\p{N}_\p{M}]+"), F.lit(0)), lambda w: ~w.rlike(r"^\p{Nd}+$"))
+    return F.regexp_extract_all(F.lower(s if most is None else F.substring(s, 1, most)), F.lit(WORD), F.lit(0))
 
 
 def word_hits(tokens: Column, listed: list[str]) -> Column:
-    listed_array = F.array(*map(F.lit, listed))
-    return F.size(F.filter(tokens, lambda w: F.array_contains(listed_array, w)))
+    return F.size(F.filter(tokens, lambda w: w.isin(*listed)))  # a set of literals
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -104,3 +104,18 @@ def prompt_estimate(messages: DataFrame, conv: str, order: str, chars: Column, b
     rows = rows.withColumn("last", last)
     estimate = F.when(F.col("last").isNull(), F.col("so_far") / 4.0).otherwise(F.greatest(F.lit(0.0), F.col("last.tokens") + (F.col("so_far") - F.col("last.chars")) / 4.0))
     return rows.withColumn("prompt_tokens", estimate).drop("so_far", "mark", "last")
+
+
+def agent_outcomes(turns: DataFrame, max_steps: int) -> DataFrame:
+    """How recorded agents ended, replayed within a budget of steps: one row per agent with stop_reason, steps_used, final_text, tokens.
+
+    turns: agent, step (from 1), n_calls, finish_reason, error, content, tokens. An agent ends at its first failed request ('error'),
+    or its first answer without a tool call ('length' if that was cut off, else 'final'), or when its steps are used up ('max_steps').
+    """
+    ends = F.col("error").isNotNull() | (F.col("n_calls") == 0)
+    last = F.min(F.when(ends, F.col("step"))).over(Window.partitionBy("agent"))
+    rows = turns.where(F.col("step") <= max_steps).withColumn("end", last).where(F.col("end").isNull() | (F.col("step") <= F.col("end")))
+    at = lambda c: F.max_by(c, "step")
+    reason = F.when(at(F.col("error").isNotNull()), "error").when(at(F.col("n_calls")) > 0, "max_steps").when(at(F.coalesce(F.col("finish_reason") == "length", F.lit(False))), "length").otherwise("final")
+    text = F.max_by(F.coalesce("content", F.lit("")), F.when(F.col("error").isNull(), F.col("step")))
+    return rows.groupBy("agent").agg(reason.alias("stop_reason"), F.max("step").alias("steps_used"), F.coalesce(text, F.lit("")).alias("final_text"), F.sum(F.when(F.col("error").isNull(), F.coalesce("tokens", F.lit(0))).otherwise(0)).alias("tokens"))

@@ -347,6 +347,17 @@ def import_registry(spark, d):
     return N.upsert(listed(o.where("o_orderstatus = 'F'")), listed(o.where("o_orderstatus <> 'F'"))).select("fingerprint", F.size("paper_ids").cast("long").alias("n"), F.array_min("paper_ids").alias("least"))
 
 
+TURNS = "t AS (SELECT conv_id AS agent, turn + 1 AS step, length(coalesce(text, '')) AS n, role FROM conversations), e AS (SELECT *, n % 3 <> 0 AS calls, n % 11 = 0 AS failed FROM t WHERE step <= 4), w AS (SELECT *, min(CASE WHEN failed OR NOT calls THEN step END) OVER (PARTITION BY agent) AS stop FROM e), k AS (SELECT * FROM w WHERE stop IS NULL OR step <= stop)"
+
+
+@query("agent_outcomes", f"WITH {TURNS} SELECT agent, CASE WHEN bool_or(failed) THEN 'error' WHEN bool_and(calls) THEN 'max_steps' WHEN bool_or(NOT calls AND n % 2 = 0) THEN 'length' ELSE 'final' END AS stop_reason, max(step) AS steps_used, coalesce(max_by(role, step) FILTER (NOT failed), '') AS final_text, CAST(sum(CASE WHEN failed THEN 0 ELSE n END) AS BIGINT) AS tokens FROM k GROUP BY agent")
+def agent_outcomes(spark, d):
+    """Conversations as recorded agents with four steps: which end by themselves, by their length, by a failure or by the budget."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    turns = V.table(spark, d, "conversations").select(F.col("conv_id").alias("agent"), (F.col("turn") + 1).alias("step"), (n % 3).alias("n_calls"), F.when(n % 2 == 0, "length").otherwise("stop").alias("finish_reason"), F.when(n % 11 == 0, "TimeoutError").alias("error"), F.col("role").alias("content"), n.cast("long").alias("tokens"))
+    return R.agent_outcomes(turns, 4)
+
+
 @query("claim_match", f"WITH {V.ROUNDS}, r AS (SELECT paper, min(CASE WHEN failure_mode = 'ACCEPTED' THEN round END) AS accepted, max(round) AS last FROM rounds GROUP BY paper) SELECT paper, CASE WHEN paper % 3 <> 0 THEN last IS NOT DISTINCT FROM accepted END AS matches FROM r")
 def claim_match(spark, d):
     s = M.paper_summaries(V.rounds(spark, d))
