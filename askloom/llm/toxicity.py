@@ -29,6 +29,7 @@ the corpus, and what is gathered for them grows with it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -44,6 +45,7 @@ SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxi
 D1, D2, WINDOW = 4, 8, 3
 HELD = 2_000_000  # codes that a task holds before it passes them on, or half as many before it merges them
 BITS = 24  # of a word's number
+CACHE = 200_000  # words whose codes a task remembers
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -207,21 +209,34 @@ def pair_counts(sample: DataFrame, vocabulary: dict[bytes, int], least: float) -
     return code[~sums], n[~sums], after
 
 
+class Codes(dict):
+    """word -> its number << 31 | a 31-bit hash of it, filled on demand, at most CACHE of them."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.vocabulary.get(word, 0) << 31 | zlib.crc32(word) & 0x7FFFFFFF
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) < 64:
+            self[word] = code
+        return code
+
+
 def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np.ndarray:
     """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them)."""
     buckets = n_buckets(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
-        held, size = [], 0
+        held, size, codes = [], 0, Codes(vocabulary)
         for b in batches:
             for text in b["text"].tolist():
                 words = words_of(text)
                 if words:
-                    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & 0x7FFFFFFF
-                    w = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)) << 31
-                    w[1:] |= h[:-1]
+                    x = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                    w = x >> 31 << 31
+                    w[1:] |= x[:-1] & 0x7FFFFFFF
                     held.append(w)
                     size += len(w)
             if size > HELD:
