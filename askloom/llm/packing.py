@@ -35,7 +35,7 @@ from .common import read, ship, small_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 200_000  # distinct parts whose ids a worker remembers
+CACHE = 300_000  # distinct parts whose ids a worker remembers
 
 FEW = 4_000_000  # first ranks (16 bytes each) that may be sent to every worker
 
@@ -112,6 +112,13 @@ def lookup(lines: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarr
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level models have for bytes: printable ones stand for themselves, the others for what follows 255, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Parts(dict):
     """Token ids, as little-endian 32-bit bytes, of the parts of texts between white space; filled on demand, at most CACHE of them.
 
@@ -121,14 +128,20 @@ class Parts(dict):
     MARKS = ".,;:!?|*#$%&"
 
     def __init__(self, tokenizer):
-        self.t, self.model = tokenizer, tokenizer.model
+        self.t, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+
+    @staticmethod
+    def plain(part: str) -> bool:
+        """One word of lower-case letters up to ÿ, which are composed already: nothing to normalise or part."""
+        return part.isalpha() and part.islower() and max(part) <= "\xff"
 
     def __missing__(self, part: str) -> bytes:
         core = part.rstrip(self.MARKS)
-        if core is not part and core != part and core.isalpha() and core.isascii():
+        if core and core != part and self.plain(core):
             ids = self[core] + self[part[len(core) :]]
-        elif part.isalpha() and part.isascii() and part.islower():  # one word of plain letters: nothing to normalise or part
-            ids = array("I", [x.id for x in self.model.tokenize(part)]).tobytes()
+        elif self.plain(part):
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         else:
             ids = array("I", self.t.encode(part, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:
@@ -157,7 +170,9 @@ def encoder(path: str):
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return b"".join(map(parts.__getitem__, split(text)))
+        # str.split knows the tokeniser's white space, and four separators that it does not know as such.
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return b"".join(map(parts.__getitem__, split(text) if odd else text.split()))
 
     return encode
 

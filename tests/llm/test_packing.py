@@ -51,6 +51,15 @@ def test_plan_uses_everything_once():
     assert P.plan({}, 10) == []
 
 
+def test_encoder_matches_the_library_on_random_parts(plain):
+    rng, encode = random.Random(8), P.encoder(PATH)
+    for _ in range(4000):
+        part = "".join(rng.choice("abcdezxéèßñüöàçøÿªºµÆÉŒœıſǆİ7²½'́") for _ in range(rng.randint(1, 9))) + "".join(rng.choice(P.Parts.MARKS + "'-é") for _ in range(rng.randint(0, 3)))
+        space = rng.choice([" ", "\t\n", "\x0b", "\x0c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\x1c", "\x1f ", "\u200b", "\ufeff", "\u180e"])
+        text = f"{part} {part.upper()}{space}a{part}{space}b"
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain(text), text
+
+
 def test_splittable_is_read_from_the_file(tmp_path):
     import json
 
