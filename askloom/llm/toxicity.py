@@ -2,17 +2,18 @@
 
 Each class (toxic, ordinary) has a model of word pairs that backs off to its words, and these to counts that both classes share:
 
-    P_c(w | v) = max(n_c(v, w) - D2, 0) / n_c(v .) + l_c(v) * P_c(w)
-    P_c(w)     = max(n_c(w) - D1, 0) / N_c + l_c * P(w)
-    P(w)       = N1+(. w) / N1+(. .)
-
-n_c counts the class's documents with an expression (a line repeated within a text is no further evidence); D1 and D2 are constant
-discounts; l_c(v) and l_c are the mass that they free, so each level sums to 1. P is Kneser-Ney's lower order, gathered from the whole
-corpus, labelled or not: the share of distinct (previous word, word) pairs that end in w. Words of at most D1 documents of each
-class have no more than the shared order, so they are one word, 0, of the model; pairs of at most D2 documents have no more than
-their words. A document is compared by its length-normalised log-likelihood ratio, each place less the ratio that a word unknown
-to both classes has there (it tells how much was learned, not what the text says): over the whole text, and over its most toxic
-run of WINDOW words. A logistic curve over both, fitted on cross-fitted scores of the labelled rows, turns them into a score.
+    P_c(w | v) = max(N_c(v w) - D2, 0) / N_c(v .) + l_c(v) * P_c(w)
+    P_c(w)     = max(N_c(w) - D1, 0) / N_c + l_c * P(w)
+    P(w)       = N(w) / N
+
+All counts are Kneser-Ney's continuation counts: N(w) is the number of distinct words that stand before w in the whole corpus, labelled
+or not, N_c(w) the same within the class's documents, N_c(v w) the number of distinct words before the pair. So what is repeated in
+one place, in a text or in near copies of it, is hardly evidence, and what a class uses in many places is. D1 and D2 are constant
+discounts; l_c(v) and l_c are the mass that they free, so each level sums to 1. Words of at most D1 contexts in each class have no
+more than the shared order, so they are one word, 0, of the model; pairs of at most D2 contexts have no more than their words. A
+document is compared by its length-normalised log-likelihood ratio, each place less the ratio that a word unknown to both classes
+has there (it tells how much was learned, not what the text says): over the whole text, and over its most toxic run of WINDOW words.
+A logistic curve over both, fitted on cross-fitted scores of the labelled rows, turns them into a score.
 
 Learning: labels of at most SAMPLE rows of each class (those with the smallest hashes of their ids), equal texts once, never of
 held-out rows (crc32 of the id as text, mod 5, is 0). Labels, language, source and id are no inputs of a score.
@@ -21,17 +22,15 @@ Defined cases: null text is empty and gets the score of a text without evidence;
 from; repeated labels of one id count as their maximum; without both labels to learn from every score is the share of label 1
 (0 without any); an empty table gives an empty result; other columns are ignored; whole texts are read.
 
-Scale: documents are read three times: for the sample (which is staged), for the shared counts, for the scores. Expressions travel
-as sorted codes, combined in each task and dealt evenly over buckets, four a partition of the documents; a task merges one bucket
-at a time. The model keeps what more than D1 or D2 labelled documents use, so it is bounded by the sample; the shared counts cover
-the corpus, and what is gathered for them grows with it.
+Scale: documents are read three times: for the sample (which is staged), for the shared counts, for the scores. Words travel as
+40-bit hashes (contexts as 20-bit ones) in sorted codes, combined in each task and dealt evenly over buckets, four a partition of the
+documents; a task merges one bucket at a time. The model keeps what more than D1 or D2 contexts of the labelled documents show, so it is
+bounded by the sample; the shared counts cover the corpus, and what is gathered for them grows with it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,10 +41,10 @@ from .common import discard, read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
-D1, D2, WINDOW = 4, 8, 3
-HELD = 2_000_000  # codes that a task holds before it passes them on, or half as many before it merges them
-BITS = 24  # of a word's number
-CACHE = 200_000  # words whose codes a task remembers
+D1, D2, WINDOW = 3, 8, 3
+HELD = 1_000_000  # codes that a task holds before it passes them on, or half as many before it merges them
+BITS = 20  # of a word's number, and of a context's hash
+CACHE = 100_000  # words whose codes a task remembers
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,176 +82,190 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(high) << 32 | low
 
 
-def dealt(codes: np.ndarray, counts: np.ndarray | None, buckets: int, low: int = 0) -> pd.DataFrame:
-    """Sorted codes (and how often each was seen) dealt over buckets by a hash of all but their ``low`` bits: a row a bucket."""
+def dealt(codes: np.ndarray, buckets: int, low: int = 0) -> pd.DataFrame:
+    """Sorted codes dealt over buckets by a hash of all but their ``low`` bits: a row a bucket."""
     bucket = (((codes >> low).view(np.uint64) * MIX) >> np.uint64(40)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    parts = [(k, order[at[k] : at[k + 1]]) for k in range(buckets) if at[k] < at[k + 1]]
-    return pd.DataFrame([(k, packed(codes[x]), None if counts is None else counts[x].astype(np.int32).tobytes()) for k, x in parts], columns=["bucket", "codes", "counts"])
+    return pd.DataFrame([(k, packed(codes[order[at[k] : at[k + 1]]])) for k in range(buckets) if at[k] < at[k + 1]], columns=["bucket", "codes"])
 
 
-def merged(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Distinct codes in order and the sums of their counts."""
-    if counts is None:
-        return np.unique(codes), None
-    unique, place = np.unique(codes, return_inverse=True)
-    return unique, np.bincount(place, counts, len(unique)).astype(np.int64)
-
-
-DEALT = "bucket int, codes binary, counts binary"
+DEALT = "bucket int, codes binary"
 
 
 def bucket_wise(dealt_rows: DataFrame, of_bucket, schema: str) -> DataFrame:
-    """``of_bucket(codes, counts)``, a data frame, of the merged codes of each bucket."""
+    """``of_bucket(codes)``, a data frame, of the distinct codes of each bucket, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, codes, counts, size, limit = None, [], [], 0, HELD // 2
-
-        def whole():
-            return merged(np.concatenate(codes), np.concatenate(counts) if counts else None)
-
+        now, codes, size, limit = None, [], 0, HELD // 2
         for b in batches:
-            for bucket, c, n in zip(b["bucket"].tolist(), b["codes"].tolist(), b["counts"].tolist()):
+            for bucket, raw in zip(b["bucket"].tolist(), b["codes"].tolist()):
                 if bucket != now and codes:
-                    yield of_bucket(*whole())
-                    codes, counts, size, limit = [], [], 0, HELD // 2
+                    yield of_bucket(np.unique(np.concatenate(codes)))
+                    codes, size, limit = [], 0, HELD // 2
                 now = bucket
-                codes.append(unpacked(c))
-                if n is not None:
-                    counts.append(np.frombuffer(n, np.int32).astype(np.int64))
+                codes.append(unpacked(raw))
                 size += len(codes[-1])
                 if size > limit:
-                    c, n = whole()
-                    codes, counts, size = [c], [] if n is None else [n], len(c)
+                    codes = [np.unique(np.concatenate(codes))]
+                    size = len(codes[0])
                     limit = max(HELD // 2, 2 * size)
         if codes:
-            yield of_bucket(*whole())
+            yield of_bucket(np.unique(np.concatenate(codes)))
 
     return dealt_rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 
 
-def n_buckets(df: DataFrame) -> int:
-    return min(65_536, max(256, 4 * df.rdd.getNumPartitions()))
-
-
-def word_counts(sample: DataFrame, least: float) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of more than ``least`` documents of a class; their counts [word, fold, class]; all words' total counts [fold, class]."""
+def gathered(texts: DataFrame, codes_of, buckets: int, low: int = 0) -> DataFrame:
+    """The distinct codes of texts, dealt over buckets; ``codes_of()`` makes a function from a batch to arrays of codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, seen = {}, 0  # word -> four counts of 15 bits
+        held, size, make = [], 0, codes_of()
         for b in batches:
-            for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
-                one = 1 << 15 * (2 * f + y)
-                for w in set(words_of(text)):
-                    n[w] = n.get(w, 0) + one
-                seen += 1
-                if len(n) > 200_000 or seen == 32_000:
-                    yield from shown(n)
-                    n, seen = {}, 0
-        yield from shown(n)
-
-    def shown(n: dict[bytes, int]) -> Iterator[pd.DataFrame]:
-        w = list(n)
-        for lo in range(0, len(w), 50_000):
-            part = w[lo : lo + 50_000]
-            c = np.array([n[x] for x in part], np.int64)
-            yield pd.DataFrame({"word": part} | {name: c >> 15 * i & 0x7FFF for i, name in enumerate(cols)})
-
-    cols = ["n00", "n01", "n10", "n11"]
-    per_word = stage(sample.select("text", "y", "fold").mapInPandas(run, "word binary, n00 long, n01 long, n10 long, n11 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in cols]), "toxicity-words")
-    kept = per_word.where((F.col("n00") + F.col("n10") > least) | (F.col("n01") + F.col("n11") > least)).toPandas().sort_values("word")  # bounded by the sample
-    total = per_word.agg(*[F.sum(c) for c in cols]).first()
-    discard(per_word)
-    return [bytes(w) for w in kept["word"]], kept[cols].to_numpy(float).reshape(-1, 2, 2), np.array([x or 0 for x in total], float).reshape(2, 2)
-
-
-def pair_counts(sample: DataFrame, vocabulary: dict[bytes, int], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes v << BITS | w of pairs of more than ``least`` documents of a class; their counts [pair, fold, class]; n(v .) [word, fold, class]."""
-    buckets = n_buckets(sample)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for b in batches:
-            for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
-                words = words_of(text)
-                w = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))
-                code = np.unique(w[:-1] << BITS | w[1:])
-                held.append(code[code >> BITS > 0] << 2 | (2 * f + y))
-                size += len(held[-1])
-            if size > HELD // 2:
-                yield dealt(*np.unique(np.concatenate(held), return_counts=True), buckets, 2)
-                held, size = [], 0
+            for x in make(b):
+                held.append(x)
+                size += len(x)
+                if size > HELD:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > HELD // 2:
+                        yield dealt(held[0], buckets, low)
+                        held, size = [], 0
         if held:
-            yield dealt(*np.unique(np.concatenate(held), return_counts=True), buckets, 2)
+            yield dealt(np.unique(np.concatenate(held)), buckets, low)
 
-    def of_bucket(codes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        pair, place = np.unique(codes >> 2, return_inverse=True)
-        n = np.zeros((len(pair), 4), np.int64)
-        n[place, codes & 3] = counts
-        before, at = np.unique(pair >> BITS, return_inverse=True)
-        after = np.stack([np.bincount(at, n[:, k], len(before)) for k in range(4)], axis=1).astype(np.int64)
-        keep = ((n[:, 0] + n[:, 2] > least) | (n[:, 1] + n[:, 3] > least)) & (pair & ((1 << BITS) - 1) > 0)
-        shown = np.concatenate([n[keep], after])
-        return pd.DataFrame({"code": np.concatenate([pair[keep], before << BITS])} | {name: shown[:, k] for k, name in enumerate(cols)})
+    return texts.mapInPandas(run, DEALT)
 
-    cols = ["n00", "n01", "n10", "n11"]
-    # The second word of a sum over all of a word's pairs is 0.
-    rows = bucket_wise(sample.select("text", "y", "fold").mapInPandas(run, DEALT), of_bucket, "code long, n00 long, n01 long, n10 long, n11 long")
-    found = stage(rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in cols]), "toxicity-pairs")  # staged: its shuffle's files go at once
-    rows = found.toPandas().sort_values("code")  # bounded by the sample
-    discard(found)
-    code, n = rows["code"].to_numpy(np.int64), rows[cols].to_numpy(float).reshape(-1, 2, 2)
-    sums = code & ((1 << BITS) - 1) == 0
-    after = np.zeros((len(vocabulary) + 1, 2, 2))
-    after[code[sums] >> BITS] = n[sums]
-    return code[~sums], n[~sums], after
+
+def n_buckets(df: DataFrame) -> int:
+    return min(65_536, max(256, 4 * df.rdd.getNumPartitions()))
+
+
+def key_of(word: bytes) -> int:
+    """A 40-bit hash of a word."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word) >> 24
 
 
 class Codes(dict):
-    """word -> its number << 31 | a 31-bit hash of it, filled on demand, at most CACHE of them."""
+    """word -> its number << 40 | its key, filled on demand, at most CACHE of them."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
+    def __init__(self, vocabulary: dict[int, int]):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        code = self.vocabulary.get(word, 0) << 31 | zlib.crc32(word) & 0x7FFFFFFF
+        key = key_of(word)
+        code = self.vocabulary.get(key, 0) << 40 | key
         if len(self) >= CACHE:
             self.clear()
         if len(word) < 64:
             self[word] = code
         return code
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def contexts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> np.ndarray:
-    """For each word number (0: any other word) the distinct previous words in the whole corpus (31-bit hashes of them)."""
-    buckets = n_buckets(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, codes = [], 0, Codes(vocabulary)
-        for b in batches:
+KEY, LOW = (1 << 40) - 1, (1 << BITS) - 1
+COUNTS = ["n00", "n01", "n10", "n11", "u0", "u1"]  # contexts in fold 0 and 1, class 0 and 1; in either fold, class 0 and 1
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expressions of sorted codes (expression, context, fold, class), and their COUNTS."""
+    unit, place = np.unique(codes >> BITS + 2, return_inverse=True)
+    n = np.bincount(place * 4 + (codes & 3), minlength=4 * len(unit)).reshape(-1, 4)
+    either = np.unique(codes >> 2 << 1 | codes & 1)
+    u = np.bincount(np.searchsorted(unit, either >> BITS + 1) * 2 + (either & 1), minlength=2 * len(unit)).reshape(-1, 2)
+    return unit, np.concatenate([n, u], axis=1)
+
+
+def word_counts(sample: DataFrame, least: float) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Keys of words of more than ``least`` contexts in a class; their counts [word, fold or 2 for either, class]; all words' total counts."""
+
+    def codes_of():
+        codes = Codes({})
+
+        def make(b: pd.DataFrame) -> Iterator[np.ndarray]:
+            for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
+                k = codes.of(words_of(text))
+                before = np.concatenate([[0], k[:-1] & LOW])[: len(k)]
+                yield (k << BITS | before) << 2 | (2 * f + y)
+
+        return make
+
+    def of_bucket(codes: np.ndarray) -> pd.DataFrame:
+        word, n = counted(codes)
+        keep = (n[:, 4:] > least).any(axis=1)
+        n = np.concatenate([n[keep], n.sum(axis=0, keepdims=True)])  # the last row, of no word, is the sum over all
+        return pd.DataFrame({"word": np.append(word[keep], -1)} | {c: n[:, i] for i, c in enumerate(COUNTS)})
+
+    rows = gathered(sample.select("text", "y", "fold"), codes_of, n_buckets(sample), BITS + 2)
+    found = stage(bucket_wise(rows, of_bucket, "word long, " + ", ".join(f"{c} long" for c in COUNTS)), "toxicity-words")
+    total = found.where("word = -1").agg(*[F.sum(c) for c in COUNTS]).first()
+    kept = found.where("word >= 0").toPandas()  # bounded by the sample
+    discard(found)
+    # Numbers have BITS bits; were there more words, those of the most contexts would get one.
+    most = kept[COUNTS].sum(axis=1).to_numpy()
+    kept = kept.iloc[np.lexsort((kept["word"], -most))[: (1 << BITS) - 1]].sort_values("word")
+    return kept["word"].tolist(), kept[COUNTS].to_numpy(float).reshape(-1, 3, 2), np.array([x or 0 for x in total], float).reshape(3, 2)
+
+
+def pair_counts(sample: DataFrame, vocabulary: dict[int, int], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes v << BITS | w of pairs of more than ``least`` contexts in a class; their counts [pair, fold or 2, class]; N(v .) [word, fold or 2, class]."""
+
+    def codes_of():
+        codes = Codes(vocabulary)
+
+        def make(b: pd.DataFrame) -> Iterator[np.ndarray]:
+            for text, y, f in zip(b["text"].tolist(), b["y"].tolist(), b["fold"].tolist()):
+                x = codes.of(words_of(text))
+                w = x >> 40
+                before = np.concatenate([[0], x[:-2] & LOW])[: max(0, len(x) - 1)]
+                code = ((w[:-1] << BITS | w[1:]) << BITS | before) << 2 | (2 * f + y)
+                yield code[w[:-1] > 0]
+
+        return make
+
+    def of_bucket(codes: np.ndarray) -> pd.DataFrame:
+        pair, n = counted(codes)
+        before, at = np.unique(pair >> BITS, return_inverse=True)
+        after = np.stack([np.bincount(at, n[:, k], len(before)) for k in range(len(COUNTS))], axis=1).astype(np.int64)
+        keep = (n[:, 4:] > least).any(axis=1) & (pair & LOW > 0)
+        shown = np.concatenate([n[keep], after])
+        # The second word of a sum over all of a word's pairs is 0.
+        return pd.DataFrame({"code": np.concatenate([pair[keep], before << BITS])} | {c: shown[:, i] for i, c in enumerate(COUNTS)})
+
+    rows = gathered(sample.select("text", "y", "fold"), codes_of, n_buckets(sample), BITS + 2)
+    rows = bucket_wise(rows, of_bucket, "code long, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = stage(rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-pairs")  # staged: its shuffle's files go at once
+    rows = found.toPandas().sort_values("code")  # bounded by the sample
+    discard(found)
+    code, n = rows["code"].to_numpy(np.int64), rows[COUNTS].to_numpy(float).reshape(-1, 3, 2)
+    sums = code & LOW == 0
+    after = np.zeros((len(vocabulary) + 1, 3, 2))
+    after[code[sums] >> BITS] = n[sums]
+    return code[~sums], n[~sums], after
+
+
+def contexts(docs: DataFrame, vocabulary: dict[int, int], text_col: str) -> np.ndarray:
+    """For each word number (0: any other word) the distinct previous words in the whole corpus (by 40-bit hashes)."""
+
+    def codes_of():
+        codes = Codes(vocabulary)
+
+        def make(b: pd.DataFrame) -> Iterator[np.ndarray]:
             for text in b["text"].tolist():
-                words = words_of(text)
-                if words:
-                    x = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                    w = x >> 31 << 31
-                    w[1:] |= x[:-1] & 0x7FFFFFFF
-                    held.append(w)
-                    size += len(w)
-            if size > HELD:
-                held = [np.unique(np.concatenate(held))]
-                size = len(held[0])
-                if size > HELD // 2:
-                    yield dealt(held[0], None, buckets)
-                    held, size = [], 0
-        if held:
-            yield dealt(np.unique(np.concatenate(held)), None, buckets)
+                x = codes.of(words_of(text))
+                yield x >> 40 << 40 | np.concatenate([[0], x[:-1] & KEY])[: len(x)]
+
+        return make
 
-    def of_bucket(codes: np.ndarray, _) -> pd.DataFrame:
-        word, n = np.unique(codes >> 31, return_counts=True)
+    def of_bucket(codes: np.ndarray) -> pd.DataFrame:
+        word, n = np.unique(codes >> 40, return_counts=True)
         return pd.DataFrame({"word": word, "n": n})
 
-    rows = bucket_wise(docs.select(F.col(text_col).alias("text")).mapInPandas(run, DEALT), of_bucket, "word long, n long")
+    rows = bucket_wise(gathered(docs.select(F.col(text_col).alias("text")), codes_of, n_buckets(docs)), of_bucket, "word long, n long")
     found = stage(rows.groupBy("word").agg(F.sum("n").alias("n")), "toxicity-contexts")
     out = np.zeros(len(vocabulary) + 1)
     for word, n in found.collect():  # a row per model word
@@ -309,11 +322,11 @@ def learned(n: np.ndarray, total: np.ndarray, codes: np.ndarray, pairs: np.ndarr
     return Ratios(toxic, plain)
 
 
-def features(words: list[bytes], vocabulary: dict[bytes, int], ratios: Ratios) -> tuple[float, float]:
+def features(words: list[bytes], codes: Codes, ratios: Ratios) -> tuple[float, float]:
     """Length-normalised log-likelihood ratios: of the whole text, and of its most toxic WINDOW words."""
     if not words:
         return 0.0, 0.0
-    x = ratios.of(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)))
+    x = ratios.of(codes.of(words) >> 40)
     c = np.concatenate([[0.0], np.cumsum(x)])
     k = min(WINDOW, len(x))
     return float(x.mean()), float((c[k:] - c[:-k]).max() / WINDOW)
@@ -323,7 +336,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weights (last: intercept) of a lightly regularised logistic regression, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
     b = np.zeros(x.shape[1])
-    keep = np.diag([*[1e-2] * (x.shape[1] - 1), 1e-6])
+    keep = np.diag([*[0.1] * (x.shape[1] - 1), 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + keep, x.T @ (w * (p - y)) + keep @ b)
@@ -334,11 +347,11 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocabulary: dict[bytes, int], ratios: Ratios, weights: np.ndarray):
+    def __init__(self, vocabulary: dict[int, int], ratios: Ratios, weights: np.ndarray):
         self.vocabulary, self.ratios, self.weights = vocabulary, ratios, weights
 
-    def score(self, text: str | None) -> float:
-        whole, peak = features(words_of(text), self.vocabulary, self.ratios)
+    def score(self, text: str | None, codes: Codes) -> float:
+        whole, peak = features(words_of(text), codes, self.ratios)
         return float(1 / (1 + np.exp(-np.clip(self.weights @ [whole, peak, 1.0], -30, 30))))
 
 
@@ -356,8 +369,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     folds = [learned(n[:, 1 - f], total[1 - f], codes, pairs[:, 1 - f], after[:, 1 - f], shared) for f in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes(vocabulary)
         for b in batches:
-            x = [features(words_of(t), vocabulary, folds[f]) for t, f in zip(b["text"].tolist(), b["fold"].tolist())]
+            x = [features(words_of(t), codes, folds[f]) for t, f in zip(b["text"].tolist(), b["fold"].tolist())]
             yield pd.DataFrame({"y": b["y"], "whole": [a for a, _ in x], "peak": [p for _, p in x]})
 
     got = rows.select("text", "y", "fold").mapInPandas(run, "y int, whole double, peak double").toPandas().sort_values(["y", "whole", "peak"])
@@ -367,7 +381,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         return Model({}, Ratios(), np.array([0.0, 0.0, 0.0]))
     share = sizes[1] / (sizes[0] + sizes[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(vocabulary, learned(n.sum(axis=1), total.sum(axis=0), codes, pairs.sum(axis=1), after.sum(axis=1), shared), logistic(got[["whole", "peak"]].to_numpy(), y, weight))
+    return Model(vocabulary, learned(n[:, 2], total[2], codes, pairs[:, 2], after[:, 2], shared), logistic(got[["whole", "peak"]].to_numpy(), y, weight))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -375,8 +389,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = Codes(model.vocabulary)
+        for texts in batches:
+            yield pd.Series([model.score(t, codes) for t in texts], dtype=float)
 
     return docs.withColumn(name, score(F.col(text_col)))
 

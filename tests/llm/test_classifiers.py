@@ -58,12 +58,12 @@ def test_contexts_match_brute_force(docs, monkeypatch):
     monkeypatch.setattr(T, "HELD", 40)
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))) for _ in range(60)]
-    vocabulary = {b"a": 1, b"b": 2, b"c": 3}
+    vocabulary = {T.key_of(c): k for k, c in enumerate((b"a", b"b", b"c"), 1)}
     seen = {}
     for t in texts:
-        w = t.encode().split()
+        w = t.split()
         for k, x in enumerate(w):
-            seen.setdefault(vocabulary.get(x, 0), set()).add(w[k - 1] if k else None)
+            seen.setdefault(vocabulary.get(T.key_of(x.encode()), 0), set()).add(w[k - 1] if k else None)
     got = T.contexts(docs([(i, t, "s") for i, t in enumerate(texts)]), vocabulary, "text")
     assert got.tolist() == [len(seen.get(k, ())) for k in range(4)]
 
@@ -84,30 +84,31 @@ def test_probabilities_match_brute_force(docs, spark, monkeypatch, held):
     shared = T.contexts(d, vocabulary, "text")
     used = {(t, y) for i, t, y in texts if not held_id(i)}  # equal texts once
     assert sizes == {k: sum(y == k and not held_id(i) for i, _, y in texts) for k in (0, 1)}
-    every = {(w[k - 1] if k else None, w[k]) for _, t, _ in texts for w in [t.split()] for k in range(len(w))}
-    number = lambda w: vocabulary.get(w.encode(), 0)
+    number = lambda w: vocabulary.get(T.key_of(w.encode()), 0)
+    first = lambda w: zip([None, *w], w)  # noqa: E731: (word before, word)
+    every = {x for _, t, _ in texts for x in first(t.split())}
     known = len({(v, number(w)) for v, w in every})
     lower = [len({v for v, x in every if number(x) == w}) / known for w in range(len(words) + 1)]
     models = {}
     for y in (0, 1):
         own = [t.split() for t, z in used if z == y]
-        count = lambda w: sum(w in t for t in own)
-        every_word = {w for t in own for w in t}
-        n_all = sum(map(count, every_word))
-        m = models[y] = T.ClassModel(n.sum(axis=1)[:, y], total.sum(axis=0)[y], codes, pairs.sum(axis=1)[:, y], after.sum(axis=1)[:, y], shared / shared.sum())
-        assert total.sum(axis=0)[y] == n_all
-        free = 1 - sum(max(count(w.decode()) - T.D1, 0) for w in words) / n_all
-        p1 = [(max(count(words[w - 1].decode()) - T.D1, 0) / n_all if w else 0) + free * lower[w] for w in range(len(words) + 1)]
+        seen = {x for t in own for x in first(t)}
+        count = [sum(number(w) == k for _, w in seen) for k in range(len(words) + 1)]
+        m = models[y] = T.ClassModel(n[:, 2, y], total[2, y], codes, pairs[:, 2, y], after[:, 2, y], shared / shared.sum())
+        assert total[2, y] == len(seen)
+        free = 1 - sum(max(c - T.D1, 0) for c in count[1:]) / len(seen)
+        p1 = [(max(count[w] - T.D1, 0) / len(seen) if w else 0) + free * lower[w] for w in range(len(words) + 1)]
         assert np.allclose([m.p(w) for w in range(len(p1))], p1) and abs(sum(p1) - 1) < 1e-9
-        seen = [{(number(a), number(b)) for a, b in zip(t, t[1:])} for t in own]
+        triples = {(u, number(a), number(b)) for t in own for u, a, b in zip([None, *t], t, t[1:])}
         for v in range(1, len(words) + 1):
-            pair = [sum((v, w) in s for s in seen) for w in range(len(words) + 1)]
+            pair = [sum(x[1:] == (v, w) for x in triples) for w in range(len(words) + 1)]
             kept = [max(c - T.D2, 0) if w else 0 for w, c in enumerate(pair)]
             free2 = 1 - sum(kept) / max(1, sum(pair))
             p2 = [kept[w] / max(1, sum(pair)) + free2 * p1[w] for w in range(len(p1))]
             assert np.allclose([m.p(w, v) for w in range(len(p1))], p2) and abs(sum(p2) - 1) < 1e-9
     assert len(codes) > 3
-    r = T.learned(n.sum(axis=1), total.sum(axis=0), codes, pairs.sum(axis=1), after.sum(axis=1), shared)
+    assert (n[:, 2] <= n[:, 0] + n[:, 1]).all() and (n[:, 2] >= n[:, :2].max(axis=1)).all()
+    r = T.learned(n[:, 2], total[2], codes, pairs[:, 2], after[:, 2], shared)
     text = [number(w) for w in texts[0][1].split()]
     want = []
     for v, w in zip([0, *text], text):
