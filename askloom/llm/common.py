@@ -141,6 +141,17 @@ def small_batches(spark: SparkSession, n_bytes: int = 2 << 20) -> None:
         spark.conf.set(name, f"{n_bytes}b")
 
 
+#: What operators keep on modules that outlive a task, so that a reused worker need not build it again.
+KEPT = {"tokenizers": "_parts", "sentencepiece": "_counts"}
+
+
+def lean(keep: str = "") -> None:
+    """In a Python worker: let go of what other operators' tasks left there, but for what is kept on module ``keep``."""
+    for module, name in KEPT.items():
+        if module != keep and module in sys.modules:
+            sys.modules[module].__dict__.pop(name, None)
+
+
 def text_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, discard, field, numbered, read, ship, small_batches, stage, unnumbered, with_ids
+from .common import ROW_ID, discard, field, lean, numbered, read, ship, small_batches, stage, unnumbered, with_ids
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, CHUNK = 12, 6
@@ -108,6 +108,7 @@ def sketch(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        lean()
         hashes = Hashes()
         for b in batches:
             sets = [shingles(t, hashes) for t in b["text"].tolist()]

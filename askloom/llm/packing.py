@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship, small_batches, stage
+from .common import lean, read, ship, small_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 300_000  # distinct parts whose ids a worker remembers
+CACHE = 200_000  # distinct parts whose ids a worker remembers
 
 FEW = 4_000_000  # first ranks (16 bytes each) that may be sent to every worker
 
@@ -183,6 +183,7 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capaci
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean("tokenizers")
         encode, seen, task = encoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:

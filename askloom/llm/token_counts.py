@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, ship, small_batches
+from .common import lean, read, ship, small_batches
 
 MARK = "▁"
 CACHE = 400_000
@@ -110,6 +110,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean("sentencepiece")
         counts = counter(model_path, mark)
         for b in batches:
             out = []

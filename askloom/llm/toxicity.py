@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, read, ship, small_batches, stage
+from .common import discard, lean, read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
@@ -120,6 +120,7 @@ def gathered(texts: DataFrame, codes_of, buckets: int, low: int = 0) -> DataFram
     """The distinct codes of texts, dealt over buckets; ``codes_of()`` makes a function from a batch to arrays of codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         held, size, make = [], 0, codes_of()
         for b in batches:
             for x in make(b):
