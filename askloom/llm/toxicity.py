@@ -23,7 +23,7 @@ from; repeated labels of one id count as their maximum; without both labels to l
 (0 without any); an empty table gives an empty result; other columns are ignored; whole texts are read.
 
 Scale: documents are read three times: for the sample (which is staged), for the shared counts, for the scores. Words travel as
-40-bit hashes (contexts as 20-bit ones) in sorted codes, combined in each task and dealt evenly over buckets, four a partition of the
+40-bit hashes (contexts as 20-bit ones, in the corpus as 31-bit ones) in sorted codes, combined in each task and dealt evenly over buckets, four a partition of the
 documents; a task merges one bucket at a time. The model keeps what more than D1 or D2 contexts of the labelled documents show, so it is
 bounded by the sample; the shared counts cover the corpus, and what is gathered for them grows with it.
 """
@@ -42,9 +42,9 @@ from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
 D1, D2, WINDOW = 3, 8, 3
-HELD = 1_000_000  # codes that a task holds before it passes them on, or half as many before it merges them
+HELD = 1_500_000  # codes that a task holds before it passes them on, or half as many before it merges them
 BITS = 20  # of a word's number, and of a context's hash
-CACHE = 100_000  # words whose codes a task remembers
+CACHE = 200_000  # words whose codes a task remembers
 #: ASCII that is no letter or digit parts words; bytes of other characters stay.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -168,7 +168,7 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-KEY, LOW = (1 << 40) - 1, (1 << BITS) - 1
+LOW = (1 << BITS) - 1
 COUNTS = ["n00", "n01", "n10", "n11", "u0", "u1"]  # contexts in fold 0 and 1, class 0 and 1; in either fold, class 0 and 1
 
 
@@ -250,7 +250,7 @@ def pair_counts(sample: DataFrame, vocabulary: dict[int, int], least: float) ->
 
 
 def contexts(docs: DataFrame, vocabulary: dict[int, int], text_col: str) -> np.ndarray:
-    """For each word number (0: any other word) the distinct previous words in the whole corpus (by 40-bit hashes)."""
+    """For each word number (0: any other word) the distinct previous words in the whole corpus (by 31-bit hashes)."""
 
     def codes_of():
         codes = Codes(vocabulary)
@@ -258,12 +258,12 @@ def contexts(docs: DataFrame, vocabulary: dict[int, int], text_col: str) -> np.n
         def make(b: pd.DataFrame) -> Iterator[np.ndarray]:
             for text in b["text"].tolist():
                 x = codes.of(words_of(text))
-                yield x >> 40 << 40 | np.concatenate([[0], x[:-1] & KEY])[: len(x)]
+                yield x >> 40 << 31 | np.concatenate([[0], x[:-1] & 0x7FFFFFFF])[: len(x)]
 
         return make
 
     def of_bucket(codes: np.ndarray) -> pd.DataFrame:
-        word, n = np.unique(codes >> 40, return_counts=True)
+        word, n = np.unique(codes >> 31, return_counts=True)
         return pd.DataFrame({"word": word, "n": n})
 
     rows = bucket_wise(gathered(docs.select(F.col(text_col).alias("text")), codes_of, n_buckets(docs)), of_bucket, "word long, n long")
