@@ -41,7 +41,7 @@ from .common import discard, lean, read, ship, small_batches, stage
 from .quality import held_out
 
 SAMPLE = (40_000, 10_000)  # labelled rows learned from, at most: ordinary, toxic
-D1, D2, WINDOW = 3, 8, 3
+D1, D2, WINDOW = 5, 8, 3
 HELD = 1_500_000  # codes that a task holds before it passes them on, or half as many before it merges them
 BITS = 20  # of a word's number, and of a context's hash
 CACHE = 200_000  # words whose codes a task remembers
@@ -316,8 +316,10 @@ class Ratios:
 
 def learned(n: np.ndarray, total: np.ndarray, codes: np.ndarray, pairs: np.ndarray, after: np.ndarray, contexts_of: np.ndarray) -> Ratios:
     """The ratios of both classes; counts are [..., class], class 1 is the toxic one."""
-    if not (total > 0).all():
-        return Ratios()
+    if not (total > 0).all():  # a class of which nothing was learned: no evidence for any word
+        none = Ratios()
+        none.word = np.zeros(len(n) + 1)
+        return none
     shared = np.maximum(contexts_of, 1e-3) / np.maximum(contexts_of, 1e-3).sum()  # a word of the model that the corpus lacks is no impossible one
     plain, toxic = (ClassModel(n[:, c], total[c], codes, pairs[:, c], after[:, c], shared) for c in (0, 1))
     return Ratios(toxic, plain)
@@ -378,9 +380,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     got = rows.select("text", "y", "fold").mapInPandas(run, "y int, whole double, peak double").toPandas().sort_values(["y", "whole", "peak"])
     discard(rows)
     y = got["y"].to_numpy(float)
-    if not 0 < y.mean() < 1:
-        return Model({}, Ratios(), np.array([0.0, 0.0, 0.0]))
     share = sizes[1] / (sizes[0] + sizes[1])
+    if not len(y) or not 0 < y.mean() < 1:  # labels without documents of both classes
+        return Model({}, Ratios(), np.array([0.0, 0.0, np.log(share / (1 - share))]))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return Model(vocabulary, learned(n[:, 2], total[2], codes, pairs[:, 2], after[:, 2], shared), logistic(got[["whole", "peak"]].to_numpy(), y, weight))
 

@@ -19,7 +19,7 @@ def test_odd_tables(spark, request, tmp_path, table):
     """Nulls in every column, empty and very long texts, repeated rows, clashing columns; and no rows at all."""
     d = request.getfixturevalue(table).withColumns({"pass": F.lit(1), "__row_id": F.lit(2), "score": F.lit(3)})
     d.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*((i, 1, 0) for i in range(1, 7)), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for k, (name, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
