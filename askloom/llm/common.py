@@ -134,7 +134,7 @@ def with_ids(rows: DataFrame, ids: DataFrame, row_id: str = ROW_ID, keep: bool =
     return met.where(bit if keep else ~bit).select(*rows.columns)
 
 
-def small_batches(spark: SparkSession, n_bytes: int = 2 << 20) -> None:
+def small_batches(spark: SparkSession, n_bytes: int = 1 << 19) -> None:
     """Bound the bytes of an Arrow batch: whole texts travel in them. Batches of slim rows stay as long as they were."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > n_bytes:

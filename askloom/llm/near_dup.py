@@ -168,8 +168,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
             own = mixed((keys ^ (node * MIX.view(np.int64))).view(np.uint64)).view(np.int64)
             # told: 0 for the only node of a key here, 1 for the smallest of several, else the hub and 2. Runs of zeros compress.
             out = pd.DataFrame({"place": np.where(led, own, keys), "node": node, "key": np.where(led, keys, 0), "told": np.where(led, hub + 2, np.repeat(n > 1, n))})
-            for at in range(0, len(out), 1 << 16):
-                yield out[at : at + (1 << 16)]
+            for at in range(0, len(out), 1 << 14):
+                yield out[at : at + (1 << 14)]
 
         for b in batches:
             if len(b):

@@ -35,7 +35,7 @@ from .common import lean, read, ship, small_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 200_000  # distinct parts whose ids a worker remembers
+CACHE = 150_000  # distinct parts whose ids a worker remembers
 
 FEW = 4_000_000  # first ranks (16 bytes each) that may be sent to every worker
 

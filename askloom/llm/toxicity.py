@@ -82,12 +82,14 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(high) << 32 | low
 
 
-def dealt(codes: np.ndarray, buckets: int, low: int = 0) -> pd.DataFrame:
-    """Sorted codes dealt over buckets by a hash of all but their ``low`` bits: a row a bucket."""
+def dealt(codes: np.ndarray, buckets: int, low: int = 0) -> Iterator[pd.DataFrame]:
+    """Sorted codes dealt over buckets by a hash of all but their ``low`` bits: a row a bucket, some of them at a time."""
     bucket = (((codes >> low).view(np.uint64) * MIX) >> np.uint64(40)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return pd.DataFrame([(k, packed(codes[order[at[k] : at[k + 1]]])) for k in range(buckets) if at[k] < at[k + 1]], columns=["bucket", "codes"])
+    full = [k for k in range(buckets) if at[k] < at[k + 1]]
+    for lo in range(0, len(full), 32):
+        yield pd.DataFrame([(k, packed(codes[order[at[k] : at[k + 1]]])) for k in full[lo : lo + 32]], columns=["bucket", "codes"])
 
 
 DEALT = "bucket int, codes binary"
@@ -130,10 +132,10 @@ def gathered(texts: DataFrame, codes_of, buckets: int, low: int = 0) -> DataFram
                     held = [np.unique(np.concatenate(held))]
                     size = len(held[0])
                     if size > HELD // 2:
-                        yield dealt(held[0], buckets, low)
+                        yield from dealt(held[0], buckets, low)
                         held, size = [], 0
         if held:
-            yield dealt(np.unique(np.concatenate(held)), buckets, low)
+            yield from dealt(np.unique(np.concatenate(held)), buckets, low)
 
     return texts.mapInPandas(run, DEALT)
 
