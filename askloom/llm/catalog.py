@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, exact_topk, fill_in_middle, license_scan, mixing, near_dup, packing, quality, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, exact_topk, fill_in_middle, license_scan, mixing, near_dup, packing, periodic_runs, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -18,9 +18,11 @@ QUERIES = {
     "op9_near_dedup": near_dup.query,
     "op10_min_cost_resharding": sharding.query,
     "op11_fill_in_middle": fill_in_middle.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op3_exact_topk": exact_topk.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_fill_in_middle": fill_in_middle.SQL}
+SQL = {"op3_exact_topk": exact_topk.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op13_decontamination": decontamination.SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
