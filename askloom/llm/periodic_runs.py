@@ -36,6 +36,8 @@ MODULI, BASES = (2147483647, 2147483629), (1103515245, 747796405)
 MIX = 1640531527
 #: Words compared directly before hashes are asked.
 DIRECT = 8
+#: Up to so many roots of a text are compared and extended one by one, more of them all at once.
+FEW = 48
 RUN = "struct<start:long,length:long,period:long>"
 
 
@@ -72,32 +74,24 @@ class Lce:
         return out
 
     def direct(self, i: int, j: int, k: int = 0) -> int:
+        """Equal words from i and j on, k of them known."""
         ids, most = self.ids, self.n - j
         while k < most and ids[i + k] == ids[j + k]:
             k += 1
         return k
 
-    def ahead(self, i: int, j: int) -> int:
-        """Equal words from i and from j on, i < j."""
-        ids, most = self.ids, self.n - j
-        near = DIRECT if DIRECT < most else most
-        k = 0
-        while k < near and ids[i + k] == ids[j + k]:
-            k += 1
-        if k < near or k == most:
-            return k
-        if not self.hashes:
-            return self.direct(i, j, k)
+    def equal_ahead(self, i: int, j: int):
+        """By hash: whether the next k words from i and from j are equal, for a k."""
         if self.lists is None:
             self.prepare()
-            self.lists = [(h.tolist(), p, m) for h, p, m in zip(self.sums, self.pows, MODULI)]
-        (h1, p1, m1), (h2, p2, m2) = self.lists
+            self.lists = [h.tolist() for h in self.sums]
+        (h1, h2), (m1, m2), (p1, p2) = self.lists, MODULI, self.pows
         q1, q2, a1, a2, b1, b2 = int(p1[j - i]), int(p2[j - i]), h1[i], h2[i], h1[j], h2[j]
+        return lambda k: ((h1[i + k] - a1) * q1 - h1[j + k] + b1) % m1 == 0 and ((h2[i + k] - a2) * q2 - h2[j + k] + b2) % m2 == 0
 
-        def equal(k: int) -> bool:
-            return ((h1[i + k] - a1) * q1 - h1[j + k] + b1) % m1 == 0 and ((h2[i + k] - a2) * q2 - h2[j + k] + b2) % m2 == 0
-
-        lo, step = k, 2 * k
+    def searched(self, known: int, most: int, equal) -> int:
+        """The greatest k up to ``most`` with equal(k), by doubling and halving; ``known`` is one."""
+        lo, step = known, 2 * known
         while lo + step <= most and equal(lo + step):
             lo, step = lo + step, 2 * step
         hi = min(most, lo + step)  # the first length that may differ, or all
@@ -107,10 +101,37 @@ class Lce:
                 lo = mid
             else:
                 hi = mid - 1
-        if ids[i + lo - 1] != ids[j + lo - 1] or lo < most and ids[i + lo] == ids[j + lo]:
-            self.lied = True
         return lo
 
+    def ahead(self, i: int, j: int) -> int:
+        """Equal words from i and from j on, i < j."""
+        ids, most = self.ids, self.n - j
+        near = DIRECT if DIRECT < most else most
+        k = 0
+        while k < near and ids[i + k] == ids[j + k]:
+            k += 1
+        if k < near or k == most:
+            return k
+        if not self.hashes:
+            return self.direct(i, j, k)
+        k = self.searched(k, most, self.equal_ahead(i, j))
+        if ids[i + k - 1] != ids[j + k - 1] or k < most and ids[i + k] == ids[j + k]:
+            self.lied = True
+        return k
+
+    def behind(self, i: int, j: int) -> int:
+        """Equal words before i and before j, i < j."""
+        ids, k = self.ids, 0
+        near = i if not self.hashes or i < DIRECT else DIRECT
+        while k < near and ids[i - k - 1] == ids[j - k - 1]:
+            k += 1
+        if k < near or k == i:
+            return k
+        k = self.searched(k, i, lambda k: self.equal_ahead(i - k, j - k)(k))
+        if ids[i - k] != ids[j - k] or k < i and ids[i - k - 1] == ids[j - k - 1]:
+            self.lied = True
+        return k
+
     def extensions(self, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
         """Equal words from i and j on, or (``back``) before them, for many pairs, i < j, at once."""
         lo, hi = np.zeros(len(i), np.int64), i.copy() if back else self.n - j
@@ -121,42 +142,51 @@ class Lce:
         return lo
 
 
-def lyndon_ends(rank: list[int], lce: Lce) -> list[int]:
-    """For each place the end of the longest Lyndon word that begins there; a suffix that is a prefix of another is smaller."""
-    n, stack, ahead = len(rank), [], lce.ahead
-    ends = [n] * n
+def lyndon_ends(order: list[int], lce: Lce) -> list[int]:
+    """For each place the end of the longest Lyndon word that begins there; a suffix that is a prefix of another is smaller.
+
+    The stack of factors is kept as links: on top stands the next place, below each place its end.
+    """
+    n, ahead = len(order), lce.ahead
+    rank, ends = [*order, min(order, default=0) - 1], [n] * (n + 1)  # the end of the text is smaller than any word
     for i in range(n - 1, -1, -1):
-        a = rank[i]
-        while stack:
-            j = stack[-1]
-            b = rank[j]
-            if a > b:
-                break
+        a, j = rank[i], i + 1
+        b = rank[j]
+        while a <= b:
             if a == b:
-                k = ahead(i, j)
-                if j + k == n or rank[i + k] > rank[j + k]:
+                c, d = rank[i + 1], rank[j + 1]
+                if c == d:
+                    k = ahead(i, j)
+                    c, d = rank[i + k], rank[j + k]
+                if c > d:
                     break
-            stack.pop()
-        if stack:
-            ends[i] = stack[-1]
-        stack.append(i)
-    return ends
+            j = ends[j]
+            b = rank[j]
+        ends[i] = j
+    return ends[:n]
 
 
 def candidates(w: np.ndarray, ends: np.ndarray, lce: Lce) -> np.ndarray:
-    """Places whose Lyndon word, begun again on one side at least, may be the root of a long run."""
+    """Places whose Lyndon word stands a second time right after or right before itself, and so may be the root of a long run.
+
+    First the outer words of the two copies are compared, then, for what is left, all of them: directly if they are few, else by hash.
+    """
     n = len(w)
     i = np.flatnonzero(ends < n)  # of a run of three periods or more, one root at least ends before the text does
     j = ends[i]
     p = j - i
-    near = (w[j] == w[i]) & (j + p <= n) | (i >= p) & (w[np.maximum(i - 1, 0)] == w[j - 1])
-    i, j, p = i[near], j[near], p[near]
-    if not len(i) or not lce.hashes:
+    right = (w[j] == w[i]) & (w[np.minimum(j + p, n) - 1] == w[j - 1]) & (j + p <= n)
+    left = (w[np.maximum(i - 1, 0)] == w[j - 1]) & (w[np.maximum(i - p, 0)] == w[i]) & (i >= p)
+    near = right | left
+    i, j, p, right, left = i[near], j[near], p[near], right[near], left[near]
+    if not lce.hashes:
         return i
+    if len(i) <= FEW:
+        ids = lce.ids
+        return np.array([a for a, b, r, s in zip(i.tolist(), j.tolist(), right.tolist(), left.tolist()) if r and ids[a:b] == ids[b : b + b - a] or s and ids[a:b] == ids[a - (b - a) : a]], np.int64)
     lce.prepare()
-    right, left = j + p <= n, i >= p
-    zero = np.zeros_like(i)
-    return i[lce.same(np.where(right, i, zero), np.where(right, j, zero), np.where(right, p, zero)) & right | lce.same(np.where(left, i - p, zero), np.where(left, i, zero), np.where(left, p, zero)) & left]
+    here = lambda x, ok: np.where(ok, x, 0)
+    return i[lce.same(here(i, right), here(j, right), here(p, right)) & right | lce.same(here(i - p, left), here(i, left), here(p, left)) & left]
 
 
 def find_runs(ids: list[int], powers: Powers, least: int = LEAST, exponent: int = EXPONENT, hashes: bool = True) -> list[tuple[int, int, int]]:
@@ -169,12 +199,11 @@ def find_runs(ids: list[int], powers: Powers, least: int = LEAST, exponent: int
         ends = np.asarray(lyndon_ends(order, lce), np.int64)
         i = candidates(w, ends, lce)
         j = ends[i]
-        if hashes:
-            after, before = (lce.extensions(i, j, False), lce.extensions(i, j, True)) if len(i) else (i, i)
+        if hashes and len(i) > FEW:
+            after, before = lce.extensions(i, j, False), lce.extensions(i, j, True)
         else:
-            after = np.array([lce.direct(a, b) for a, b in zip(i.tolist(), j.tolist())], np.int64)
-            turned = Lce(ids[::-1], powers, False)
-            before = np.array([turned.direct(n - b, n - a) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+            pairs = list(zip(i.tolist(), j.tolist()))
+            after, before = (np.array([f(a, b) for a, b in pairs], np.int64) for f in (lce.ahead, lce.behind))
         length, period = j - i + after + before, j - i
         long = length >= np.maximum(least, exponent * period)
         found.update(zip((i - before)[long].tolist(), length[long].tolist(), period[long].tolist()))
@@ -237,22 +266,28 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, exponent: int = EXPONENT,
     return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, runs array<{RUN}>, best {RUN}, collapsed string")
 
 
-def planted(id_: Column, text: Column) -> Column:
+def planted(docs: DataFrame) -> DataFrame:
     """The query's texts: in a tenth of the documents, by a hash of the id, the words from some place on repeat a period."""
-    h = F.crc32(id_.cast("string"))
-    g = F.floor(h / 10).cast("long")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    a = (g % F.nullif(n, F.lit(0))).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    times = F.ceil((n - a) / p).cast("int")
-    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), repeated), " ")).otherwise(text)
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.col("text")).alias("own"))
+    # Others have null here, which costs nothing.
+    words = F.regexp_extract_all("own", F.lit(WORD), F.lit(0))
+
+    def edited(w: Column) -> Column:
+        n, g = F.size(w), F.col("g")
+        a = (g % F.nullif(n, F.lit(0))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        repeated = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), repeated), " ")
+
+    # One element, so that the words are found once and not again for each use of them.
+    text = F.get(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), edited), F.lit(0))
+    return chosen.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    found = periodic_runs(planted(read(spark, sf_dir, "documents")))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
     best = F.col("best")
     return found.select(
