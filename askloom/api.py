@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .operators import corpus as C
 from .operators import messages as M
@@ -35,7 +36,8 @@ def summarise(summaries: DataFrame, requested: DataFrame | None = None) -> tuple
 
     summaries: paper, finished_at, path, completed, accepted, accepted_round, weak_avg, strong_avg, gap, question_chars, n_rubric_items.
     """
-    newest = N.newest(summaries, "paper", summaries["finished_at"], "path")
+    is_number = F.lit(not isinstance(summaries.schema["finished_at"].dataType, StringType))
+    newest = N.newest(summaries, "paper", summaries["finished_at"], "path", is_number)
     return N.cohort(newest, requested), S.table1(newest.where("accepted"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -17,7 +18,7 @@ JSON_ESCAPE = re.compile(r'\\(?:["\\/bfnrtu])|\\', re.S)
 # Fixed value: a fenced object.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 #: What matters for nesting: strings (with escapes) as a whole, and braces.
-TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
 
 
 def repaired(raw: str) -> str:
@@ -34,20 +35,31 @@ def decoded(raw: str):
     return None
 
 
-def closing(text: str, start: int) -> int | None:
-    """The end of the brace group that opens at ``start``."""
-    depth = 0
-    for m in TOKEN.finditer(text, start):
-        depth += {"{": 1, "}": -1}.get(m.group(), 0)
-        if depth == 0:
-            return m.end()
-    return None
+def groups(text: str) -> set[tuple[int, int]]:
+    """(start, end) of every brace group, each read from its own brace on, which begins outside of strings.
+
+    A brace that another one's reading meets outside of strings is read alike from there, so one reading settles all braces that it
+    meets, also those that never close; only braces within its strings are read anew.
+    """
+    ends: dict[int, int | None] = {}
+    for brace in re.finditer(r"\{", text):
+        if brace.start() in ends:
+            continue
+        waiting = []
+        for m in TOKEN.finditer(text, brace.start()):
+            if m.group() == "{":
+                waiting.append(m.start())
+                ends.setdefault(m.start(), None)
+            elif m.group() == "}":
+                ends[waiting.pop()] = m.end()
+                if not waiting:
+                    break
+    return {(start, end) for start, end in ends.items() if end}
 
 
 def last_object(text: str | None) -> dict | None:
     """The last valid JSON object of a text that lies in no other valid one, fenced or not."""
-    spans = {m.span(1) for m in FENCED.finditer(text or "")}
-    spans |= {(m.start(), e) for m in re.finditer(r"\{", text or "") if (e := closing(text, m.start()))}
+    spans = {m.span(1) for m in FENCED.finditer(text or "")} | groups(text or "")
     best: tuple[int, int, dict] | None = None
     reach = -1
     # By start, longest first: a span within an earlier valid one is nested.
@@ -244,19 +256,58 @@ def unescaped(s: str) -> str:
 @arrow_udf("string")
 def bind_norm(texts: pd.Series, is_prompt: pd.Series) -> pd.Series:
     """For matching a candidate within a prompt: escapes decoded (prompts only), NFC, lower case, runs beyond [a-z0-9-] one space."""
-    norm = lambda t, p: re.sub("[^a-z0-9-]+", " ", unicodedata.normalize("NFC", unescaped(t or "") if p else t or "").lower()).strip()
-    return pd.Series([norm(t, p) for t, p in zip(texts, is_prompt)])
+    return pd.Series([bound(unescaped(t or "") if p else t or "") for t, p in zip(texts, is_prompt)])
+
+
+INTEGER = re.compile(r"[+-]?[0-9]+")
+
+
+def scored_items(rubric) -> list[dict] | None:
+    """criterion, weight and category of each item of a rubric that can be scored; None for any other."""
+    items = []
+    for item in rubric if isinstance(rubric, list) else []:
+        criterion, weight = (item.get("criterion"), item.get("weight")) if isinstance(item, dict) else (None, None)
+        if isinstance(weight, str) and INTEGER.fullmatch(weight.strip()):
+            weight = int(weight)
+        if not isinstance(criterion, str) or not criterion.strip() or type(weight) is not int or weight == 0:
+            return None
+        sign = "positive" if weight > 0 else "negative"
+        if item.get("category", sign) != sign:
+            return None
+        items.append({"criterion": criterion, "weight": weight, "category": sign})
+    return items if any(i["weight"] > 0 for i in items) else None
+
+
+def parsed(raw: str | None) -> dict | None:
+    """A JSON object, or None: model text may be anything."""
+    try:
+        got = json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def encoded(text: str) -> bytes:
+    """UTF-8; half a surrogate pair, which JSON may hold, as its escape."""
+    return text.encode("utf-8", "backslashreplace")
 
 
 def identity(raw: str | None) -> str | None:
-    """Canonical hash of a candidate in JSON (context, question, rubric with criterion, weight, category)."""
-    if raw is None:
+    """Canonical hash of a candidate in JSON (context, question, rubric); null unless it has both texts and a rubric that can be scored."""
+    d = parsed(raw)
+    if d is None or not isinstance(d.get("context"), str) or not isinstance(d.get("question"), str) or (items := scored_items(d.get("rubric"))) is None:
         return None
     tidy = lambda t: "\n".join(line.rstrip() for line in unicodedata.normalize("NFC", t).replace("\r\n", "\n").split("\n"))
-    d = json.loads(raw)
-    rubric = [{"category": "positive" if int(i["weight"]) > 0 else "negative", "criterion": tidy(i["criterion"]), "weight": int(i["weight"])} for i in d["rubric"]]
-    whole = {"context": tidy(d["context"]), "question": tidy(d["question"]), "rubric": rubric}
-    return hashlib.sha1(json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    whole = {"context": tidy(d["context"]), "question": tidy(d["question"]), "rubric": [{**i, "criterion": tidy(i["criterion"])} for i in items]}
+    return hashlib.sha1(encoded(json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False))).hexdigest()
+
+
+def older_identity(raw: str | None) -> str | None:
+    """The older identity: the default rendering of the three fields, keys as they came; null where one is missing."""
+    d = parsed(raw)
+    if d is None or not {"context", "question", "rubric"} <= d.keys():
+        return None
+    return hashlib.sha1(json.dumps({k: d[k] for k in ("context", "question", "rubric")}).encode()).hexdigest()
 
 
 @arrow_udf("string")
@@ -266,39 +317,86 @@ def question_hash(texts: pd.Series) -> pd.Series:
 
 @arrow_udf("string")
 def legacy_question_hash(texts: pd.Series) -> pd.Series:
-    """The older identity: the default rendering of the three fields, keys as they came."""
+    return texts.map(older_identity)
+
+
+#: How far from a criterion its weight may stand, and how much of a long criterion must be quoted.
+NEAR, QUOTED, HEAD = 60, 80, 200
 
-    def old(raw):
-        d = json.loads(raw)
-        return hashlib.sha1(json.dumps({k: d[k] for k in ("context", "question", "rubric")}).encode()).hexdigest()
 
-    return texts.map(lambda t: None if t is None else old(t))
+def whole_number(x) -> int | None:
+    """An integer as a rubric may give it: a number, cut to an integer, or the text of one."""
+    try:
+        return int(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+class Shown:
+    """A verifier's prompt, normalised once, with the places of its signed numbers by value."""
+
+    def __init__(self, prompt: str | None):
+        decoded_ = unescaped(prompt or "")
+        self.plain, self.text = " ".join(unicodedata.normalize("NFC", decoded_).split()), bound(decoded_)
+        self.numbers: dict[str, list[tuple[int, int]]] = {}
+        for m in re.finditer(r"(?<![0-9-])-?[0-9]+(?![0-9])", self.text):
+            self.numbers.setdefault(m.group(), []).append(m.span())
+
+    def has_question(self, question) -> bool:
+        plain = " ".join(unicodedata.normalize("NFC", question if isinstance(question, str) else "").split())
+        return bool(plain) and (plain in self.plain or bound(question) in self.text)
+
+    def places(self, part: str) -> list[int]:
+        found, at = [], self.text.find(part)
+        while at >= 0:
+            found.append(at)
+            at = self.text.find(part, at + 1)
+        return found
+
+    def weight_near(self, weight: int, part: str) -> bool:
+        """Whether the weight stands whole within NEAR characters before or after the part, by a range search from each place of it."""
+        spans = self.numbers.get(str(weight), [])
+        for at in self.places(part):
+            k = bisect.bisect_left(spans, (max(0, at - NEAR), 0))
+            if k < len(spans) and spans[k][1] <= at:
+                return True
+            after = at + len(part)
+            k = bisect.bisect_left(spans, (after, 0))
+            if k < len(spans) and spans[k][1] <= after + NEAR:
+                return True
+        return False
+
+
+def bound(text) -> str:
+    """For matching: NFC, lower case, runs beyond [a-z0-9-] one space."""
+    return re.sub("[^a-z0-9-]+", " ", unicodedata.normalize("NFC", text).lower()).strip() if isinstance(text, str) else ""
+
+
+def lacking(prompt: str | None, raw: str | None) -> list[str] | None:
+    """What of a candidate a prompt does not show; None where the candidate is no JSON object."""
+    d = parsed(raw)
+    if d is None:
+        return None
+    shown, out = Shown(prompt), []
+    if not shown.has_question(d.get("question")):
+        out.append("question")
+    if bound(d.get("context"))[:HEAD] not in shown.text:
+        out.append("context head")
+    rubric = d.get("rubric")
+    for i, item in enumerate(rubric if isinstance(rubric, list) else [], 1):
+        part = bound(item.get("criterion")) if isinstance(item, dict) else ""
+        part = part if part in shown.text else part[:QUOTED]
+        if not part or part not in shown.text:
+            out.append(f"criterion {i}")
+        elif (weight := whole_number(item.get("weight"))) is None or not shown.weight_near(weight, part):
+            out.append(f"weight of criterion {i}")
+    return out
 
 
 @arrow_udf("array<string>")
 def unbound_parts(prompts: pd.Series, candidates: pd.Series) -> pd.Series:
-    """What of a candidate (JSON) a verifier's prompt does not show: question, the head of the context, criteria with their weights."""
-    norm = lambda t: re.sub("[^a-z0-9-]+", " ", unicodedata.normalize("NFC", t).lower()).strip()
-
-    def lacking(prompt, raw):
-        if raw is None:
-            return None
-        d, shown, out = json.loads(raw), norm(unescaped(prompt or "")), []
-        if norm(d["question"]) not in shown:
-            out.append("question")
-        if norm(d["context"])[:200] not in shown:
-            out.append("context")
-        for i, item in enumerate(d["rubric"], 1):
-            text = norm(item["criterion"])
-            text = text if text in shown else text[:80]
-            places = [m.start() for m in re.finditer(f"(?={re.escape(text)})", shown)]
-            w = int(item["weight"])
-            mark = re.compile(rf"(?<![0-9-]){'-' if w < 0 else ''}{abs(w)}(?![0-9])")
-            if not any(mark.search(shown[max(0, p - 60) : p]) or mark.search(shown[p + len(text) : p + len(text) + 60]) for p in places):
-                out.append(f"criterion {i}")
-        return out
-
-    return pd.Series([lacking(p, c) for p, c in zip(prompts, candidates)])
+    """What of a candidate (JSON) a verifier's prompt does not show: question, context head, criteria, weights of criteria."""
+    return pd.Series([lacking(p, c) for p, c in zip(prompts, candidates)], dtype=object)
 
 
 ship(__name__)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Function words that are nearly exclusive to English, and to other European languages.
 ENGLISH_WORDS = "the of and to is for that with on are by this be from which we our these was were has have been it its an or can".split()
-OTHER_WORDS = "de la le les des el los las en que del da dos para um uma não une est dans pour sur und ist mit zu nicht het een il di che della".split()
+OTHER_WORDS = "de la le les des el los las en que del da das dos para um uma não une est dans pour sur und ist mit zu nicht het een il di che della".split()
 
 SPACES = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"  # what Python's \s matches
 
@@ -110,10 +110,18 @@ def url_basename(u: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(u, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(?:/.*?)?([^/]*)$", 1)
 
 
-def epoch_seconds(x: Column) -> Column:
-    """A number or an ISO time (UTC unless it says otherwise) as seconds; minus infinity for anything else."""
-    at = F.try_to_timestamp(x)
-    return F.coalesce(x.try_cast("double"), F.unix_micros(at) / 1e6, F.lit(float("-inf")))
+#: An ISO date, or date and time with or without an offset.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.]\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def epoch_seconds(x: Column, is_number: Column | None = None) -> Column:
+    """A number or an ISO time (UTC unless it says otherwise) as seconds; minus infinity for anything else.
+
+    ``x`` is text; ``is_number`` tells which of it was a number where it was read. Text that merely looks like one is no time.
+    """
+    at = F.when(x.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(x)) / 1e6)
+    number = F.when(F.coalesce(is_number, F.lit(False)), x.try_cast("double")) if is_number is not None else F.lit(None).cast("double")
+    return F.coalesce(number, at, F.lit(float("-inf")))
 
 
 def safe_id(raw: Column) -> Column:

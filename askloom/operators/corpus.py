@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
+from .ordered import nth
+from .ordered import percentiles as exact_percentiles
 
 # The outcomes of a scanned record, in the order of the checks.
 OUTCOMES = ["bad_record", "already_in_output", "duplicate", "body_too_short", "body_too_long", "not_found", "year_missing", "year_too_old", "not_in_field", "no_abstract", "kept"]
 
 
-SALTS = 16
+#: Records of one id from which on its first places are broadcast.
+HOT = 1_000_000
+#: Lines that a shard may have, for a place as one number.
+LINES = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -117,11 +123,16 @@ def classify(records: DataFrame, f: Filters, existing: DataFrame | None = None)
     at = F.struct("shard", "line")
     rows = records.withColumn("at", at).withColumn("body", body_outcome(F.col("body_chars"), f))
     good, bad = rows.where("corpus_id IS NOT NULL"), rows.where("corpus_id IS NULL")
-    # The first places of ids that occur more than once, by partial aggregates, for every salt: a frequent id meets them in SALTS tasks.
+    # The first places of ids that occur more than once, by partial aggregates. Those of more than HOT records are few (at most a
+    # HOT-th of all records) and are broadcast; their records then carry no id into the other join, but a number that spreads them.
     firsts = good.groupBy(F.col("corpus_id").alias("f_id")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(F.when(F.col("body").isNull(), F.col("at"))).alias("claimed")).where("n > 1")
-    firsts = firsts.select("f_id", "first", "claimed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    good = good.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
-    good = good.join(firsts, (F.col("corpus_id") == F.col("f_id")) & (F.col("salt") == F.col("f_salt")), "left")
+    hot = firsts.where(F.col("n") > HOT).select(F.col("f_id").alias("h_id"), F.col("first").alias("h_first"), F.col("claimed").alias("h_claimed"))
+    cold = firsts.where(F.col("n") <= HOT).select("f_id", "first", "claimed", F.lit(0).alias("f_spread"))
+    good = good.join(F.broadcast(hot), F.col("corpus_id") == F.col("h_id"), "left")
+    is_hot = F.col("h_id").isNotNull()
+    good = good.withColumn("spread", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(1 << 20)).cast("int")).otherwise(0))
+    good = good.join(cold, (F.when(~is_hot, F.col("corpus_id")) == F.col("f_id")) & (F.col("spread") == F.col("f_spread")), "left")
+    good = good.withColumn("first", F.coalesce("h_first", "first")).withColumn("claimed", F.coalesce("h_claimed", "claimed"))
     if existing is None:
         good = good.withColumn("known", F.lit(False))
     else:
@@ -148,16 +159,16 @@ def look_up(classified: DataFrame, metadata: DataFrame, f: Filters) -> DataFrame
 def cut_at(outcomes: DataFrame, n: int, already: int = 0) -> DataFrame:
     """The rows up to and including the one that is the n-th kept, counting ``already`` kept before; in (shard, line) order.
 
-    The bound is the (n - already)-th kept position: a top-k, not a global running sum.
+    Outcomes (slim rows, no texts) are written once; the place of the (n - already)-th kept one is found by counts over ranges of
+    places (:func:`ordered.nth`), so neither a sort nor a task with n rows is needed, however large n is.
     """
     left = n - already
     if left <= 0:
         return outcomes.where(F.lit(False))
-    at = F.struct("shard", "line")
-    last = outcomes.where("outcome = 'kept'").select(at.alias("at")).orderBy("at").limit(left).agg(F.max("at").alias("last"), F.count("*").alias("n"))
-    bound = last.select(F.when(F.col("n") == left, F.col("last")).alias("last"), F.lit(1).alias("one"))
-    met = outcomes.withColumn("one", F.lit(1)).join(F.broadcast(bound), "one")
-    return met.where(F.col("last").isNull() | (at <= F.col("last"))).drop("last", "one")
+    rows = stage(outcomes, "outcomes")
+    place = F.col("shard").cast("long") * F.lit(LINES) + F.col("line").cast("long")
+    last = nth(rows.where("outcome = 'kept'").select(place.alias("place")), "place", left)
+    return rows if last is None else rows.where(place <= F.lit(last))
 
 
 def tally(outcomes: DataFrame) -> DataFrame:
@@ -198,13 +209,14 @@ def select_papers(records: DataFrame, order: str, raw_id: Column, rendered: Colu
     return rows if limit is None else rows.orderBy(order).limit(limit)
 
 
+FRACTIONS = {"min": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "max": 1.0}
+
+
 def percentiles(rows: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """min, p10, p25, p50, p75, p90, max (linear interpolation) and mean."""
-    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    p = F.percentile(value, F.array(*map(F.lit, qs)))
-    g = rows.groupBy(*(by or [])).agg(p.alias("p"), F.avg(value).alias("mean"))
-    names = ["min", "p10", "p25", "p50", "p75", "p90", "max"]
-    return g.select(*(by or []), *[F.get("p", i).alias(n) for i, n in enumerate(names)], "mean")
+    """min, p10, p25, p50, p75, p90, max (linear interpolation) and mean, exact, by ranks of the counted values."""
+    by = by or []
+    p = exact_percentiles(rows.select(*by, value.alias("__v")), by, ["__v"], list(FRACTIONS.values()))
+    return p.select(*by, *[F.get("points", i).alias(n) for i, n in enumerate(FRACTIONS)], "mean")
 
 
 def histogram(rows: DataFrame, value: Column, first: Column, name: str = "value") -> DataFrame:
@@ -244,7 +256,7 @@ def quality_flags(rows: DataFrame, body: Column, most: int | None = 20_000, star
             "low_alpha": F.col("alpha_share") < 0.6,
             "lowercase_start": T.starts_lowercase(body),
         }
-    ).drop("_w", "_s", "_w_en", "_w_other", "_s_en", "_s_other")
+    ).withColumnsRenamed({"_w_en": "english_share", "_w_other": "other_share"}).drop("_w", "_s", "_s_en", "_s_other")
 
 
 def abstract_repeated(abstract: Column, body: Column, head: int = 150, least: int = 50, window: int | None = 6_000) -> Column:
@@ -287,21 +299,61 @@ def containment(texts: DataFrame, items: DataFrame, text: str = "text", item: st
     return long.select(*keep).unionByName(short.select(*keep))
 
 
-def profile(rows: DataFrame, shown: int = 15) -> DataFrame:
-    """A stored corpus in one table of (section, value, n, at): counts, histograms, quality flags; one pass a section's key.
+FLAGS = ["non_english", "non_english_start", "low_alpha", "lowercase_start", "abstract_repeated"]
+SIZES = ["n_body_chars", "paper_text_chars", "abstract_chars", "n_authors"]
 
-    rows: paper_id, title, year, shard, fields (array), external_ids (map), venue, abstract, body. ``at`` is the smallest paper id.
-    """
+
+def flagged(rows: DataFrame, most: int | None = 20_000, start: int | None = 2_000, window: int | None = 6_000) -> DataFrame:
+    """``rows`` (title, abstract, body and more) with the quality flags and the shares they come from."""
     body = F.coalesce("body", F.lit(""))
-    flags = quality_flags(rows.select("paper_id", body.alias("b")), F.col("b"))
-    listed = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("non_english", "non_english_start", "low_alpha", "lowercase_start")]))
-    one = lambda section, value: F.array(F.struct(F.lit(section).alias("section"), F.coalesce(value.cast("string"), F.lit("<none>")).alias("value")))
-    many = lambda section, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(section).alias("section"), v.alias("value")))
-    marks = F.concat(one("all", F.lit("papers")), one("year", F.col("year")), one("shard", F.col("shard")), many("field", F.col("fields")), many("external_id", F.map_keys("external_ids")), one("venue", F.coalesce(F.nullif("venue", F.lit("")), F.lit("<empty>"))))
-    counted = rows.select("paper_id", F.explode(marks).alias("m")).unionByName(flags.select("paper_id", F.explode(many("flag", listed)).alias("m")))
-    g = counted.groupBy("m.section", "m.value").agg(F.count("*").alias("n"), F.min("paper_id").alias("at"))
-    doubled = duplicate_titles(rows, F.col("title")).agg(F.count("*").alias("n")).select(F.lit("all").alias("section"), F.lit("duplicate_titles").alias("value"), "n", F.lit(None).cast(rows.schema["paper_id"].dataType).alias("at"))
-    unique = rows.agg(F.count_distinct("paper_id").alias("n"), F.min("paper_id").alias("at")).select(F.lit("all").alias("section"), F.lit("unique_papers").alias("value"), "n", "at")
-    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "at"))
-    top = g.where("section = 'venue'").withColumn("place", place).where(F.col("place") <= shown).drop("place")
-    return g.where("section <> 'venue'").unionByName(top).unionByName(unique).unionByName(doubled)
+    return quality_flags(rows, body, most, start).withColumn("abstract_repeated", abstract_repeated(F.coalesce("abstract", F.lit("")), body, window=window))
+
+
+def profile(rows: DataFrame, f: Filters, shown: int = 15, examples: int = 10, most: int | None = 20_000, start: int | None = 2_000, window: int | None = 6_000) -> DataFrame:
+    """A stored corpus in one table of (section, value, n, number, first, examples).
+
+    rows: place (orders the corpus), paper_id, corpus_id, title, abstract, body, year, shard, release_id, fields (array),
+    external_ids (map), venue, publication_date, authors (array). Sections: count (records, unique and duplicate ids, duplicate
+    titles, only_field, empty_venue, missing_date, no_authors), the histograms year, shard, release, field, external_id and venue
+    (the ``shown`` most frequent), the sizes with their percentiles and mean in ``number``, and flag. ``first`` is the smallest
+    place; ``examples`` are the first ``examples`` papers of a flag, the smallest duplicate ids, the first duplicate titles.
+
+    Texts are read in one scan, which leaves a slim written row each; all sections are aggregates of those.
+    """
+    e = lambda c: F.coalesce(F.col(c), F.lit(""))
+    strings = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    listed = lambda conditions: F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
+    conditions = {"records": F.lit(True), "only_field": F.col("fields").eqNullSafe(F.array(F.lit(f.field))), "empty_venue": e("venue") == "", "missing_date": e("publication_date") == "", "no_authors": F.size(strings("authors")) == 0}
+    sizes = {"n_body_chars": F.char_length(e("body")), "paper_text_chars": F.char_length(paper_text(F.col("title"), F.col("abstract"), F.col("body"))), "abstract_chars": F.char_length(e("abstract")), "n_authors": F.size(strings("authors"))}
+    one = lambda section, value: F.array(F.struct(F.lit(section).alias("section"), value.cast("string").alias("value")))
+    many = lambda section, values: F.transform(values, lambda v: F.struct(F.lit(section).alias("section"), v.alias("value")))
+    shown_as = lambda c, name: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(name))
+    marks = F.concat(
+        many("count", listed(conditions)), one("year", shown_as("year", "<none>")), one("shard", shown_as("shard", "<none>")), one("release", shown_as("release_id", "<none>")),
+        many("field", strings("fields")), many("external_id", F.coalesce(F.map_keys("external_ids"), none)), one("venue", shown_as("venue", "<empty>")), many("flag", listed({n: F.col(n) for n in FLAGS})),
+    )
+    slim = stage(flagged(rows, most, start, window).select("place", F.col("paper_id").cast("string").alias("paper_id"), "corpus_id", T.norm_title(F.col("title")).alias("title"), marks.alias("marks"), *[c.cast("long").alias(n) for n, c in sizes.items()]), "profile")
+    marked = slim.select("place", "paper_id", F.explode("marks").alias("m")).select("place", "paper_id", "m.section", "m.value")
+    counted = marked.groupBy("section", "value").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    # Ranks up to a bound: every task passes on that many rows a group at most.
+    nth_of = F.row_number().over(Window.partitionBy("value").orderBy("place"))
+    some = marked.where("section = 'flag'").withColumn("nth", nth_of).where(F.col("nth") <= examples).groupBy("section", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "paper_id"))), lambda x: x["paper_id"]).alias("examples"))
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "first"))
+    venues = counted.where("section = 'venue'").withColumn("rank", rank).where(F.col("rank") <= shown).drop("rank")
+    empty = F.lit(None).cast("double").alias("number")
+    histograms = counted.where("section <> 'venue'").unionByName(venues).join(some, ["section", "value"], "left").select("section", "value", "n", empty, "first", "examples")
+    ids = slim.groupBy("corpus_id").agg(F.count("*").alias("n"))
+    titles = slim.where("title <> ''").groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+
+    def repeated(rows: DataFrame, value: str, name: str) -> DataFrame:
+        """How many values are repeated, with the smallest ones."""
+        least = rows.orderBy(value).limit(examples).agg(F.array_sort(F.collect_list(value)).alias("x"))
+        both = rows.agg(F.count("*").alias("n")).crossJoin(F.broadcast(least))  # one row each
+        return both.select(F.lit("count").alias("section"), F.lit(name).alias("value"), "n", empty, F.lit(None).cast(slim.schema["place"].dataType).alias("first"), F.transform("x", lambda v: v.cast("string")).alias("examples"))
+
+    unique = ids.agg(F.count("*").alias("n")).select(F.lit("count").alias("section"), F.lit("unique_ids").alias("value"), "n", empty, F.lit(None).cast(slim.schema["place"].dataType).alias("first"), F.lit(None).cast("array<string>").alias("examples"))
+    points = exact_percentiles(slim, [], SIZES, list(FRACTIONS.values()))
+    shape = F.array(F.struct(F.lit("mean").alias("value"), F.col("mean").alias("number")), *[F.struct(F.lit(n).alias("value"), F.get("points", i).alias("number")) for i, n in enumerate(FRACTIONS)])
+    sized = points.select("measure", "n", F.explode(shape).alias("x")).select(F.col("measure").alias("section"), "x.value", "n", "x.number", F.lit(None).cast(slim.schema["place"].dataType).alias("first"), F.lit(None).cast("array<string>").alias("examples"))
+    return histograms.unionByName(unique).unionByName(repeated(ids.where("n > 1").select("corpus_id"), "corpus_id", "duplicate_ids")).unionByName(repeated(titles.select("title"), "title", "duplicate_titles")).unionByName(sized)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import epoch_seconds
 
 
-def newest(rows: DataFrame, key: str, finished: Column, path: str) -> DataFrame:
+def newest(rows: DataFrame, key: str, finished: Column, path: str, is_number: Column | None = None) -> DataFrame:
     """The newest row of each key; ties go to the later path, unreadable times are oldest."""
     everything = F.struct(*rows.columns)
-    return rows.groupBy(key).agg(F.max_by(everything, F.struct(epoch_seconds(finished.cast("string")), path)).alias("r")).select("r.*")
+    at = epoch_seconds(finished.cast("string"), is_number)
+    return rows.groupBy(key).agg(F.max_by(everything, F.struct(at, path)).alias("r")).select("r.*")
 
 
 def usable_directory(name: Column) -> Column:
@@ -83,10 +84,11 @@ def reusable_weak(wanted: DataFrame, reports: DataFrame, n_attempts: int = 3) ->
     return r.join(ids, same).groupBy(F.col("w.paper").alias("paper")).agg(F.max("r.run_no").alias("run_no"))
 
 
-def report_problems(reports: DataFrame, expected: DataFrame, key: str, checks: list[str]) -> DataFrame:
-    """``reports`` with an array of the columns that differ from what is expected for their key."""
+def report_problems(reports: DataFrame, expected: DataFrame, key: str, checks: list[str], optional: list[str] | None = None) -> DataFrame:
+    """``reports`` with an array of the columns that differ from what is expected for their key; an ``optional`` one may be null."""
     e = expected.select(key, *[F.col(c).alias(f"_{c}") for c in checks])
-    problems = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in checks]))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}")) & (F.col(c).isNotNull() if c in (optional or []) else F.lit(True))
+    problems = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in checks]))
     return reports.join(e, key, "left").withColumn("problems", problems).drop(*[f"_{c}" for c in checks])
 
 

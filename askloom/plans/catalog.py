@@ -510,8 +510,9 @@ def strip_reasoning(spark, d):
 CANONICAL = """'{"context":"context ' || candidate || '","question":"question ' || candidate || '","rubric":[' || string_agg('{"category":"' || CASE WHEN weight > 0 THEN 'positive' ELSE 'negative' END || '","criterion":"criterion ' || pos || '","weight":' || weight || '}', ',' ORDER BY pos, weight) || ']}'"""
 
 
-@query("question_hash", f"WITH {V.RUBRIC} SELECT candidate, sha1({CANONICAL}) AS question_hash FROM rubric GROUP BY candidate")
+@query("question_hash", f"WITH {V.RUBRIC} SELECT candidate, CASE WHEN max(weight) > 0 THEN sha1({CANONICAL}) END AS question_hash FROM rubric GROUP BY candidate")
 def question_hash(spark, d):
+    """A rubric without a positive weight cannot be scored, so its candidate has no canonical identity."""
     return candidate_json(spark, d).select("candidate", X.question_hash("json").alias("question_hash"))
 
 

@@ -122,22 +122,49 @@ def corpus_entry(spark, d):
     return kept.groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-PROFILE = """p AS (SELECT doc_id, CAST(doc_id % 7 AS INT) + 2000 AS year, CAST(substr(source, 4, 10) AS INT) AS shard, lang, source FROM documents)
-SELECT 'all' AS section, 'papers' AS value, count(*) AS n, min(doc_id) AS at FROM p UNION ALL SELECT 'all', 'unique_papers', count(DISTINCT doc_id), min(doc_id) FROM p
-UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*), min(doc_id) FROM p GROUP BY year UNION ALL SELECT 'shard', coalesce(CAST(shard AS VARCHAR), '<none>'), count(*), min(doc_id) FROM p GROUP BY shard
-UNION ALL SELECT 'field', lang, count(*), min(doc_id) FROM p WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'field', 'text', count(*), min(doc_id) FROM p
-UNION ALL SELECT 'external_id', 'doi', count(*), min(doc_id) FROM p WHERE doc_id % 2 = 0 UNION ALL SELECT 'external_id', 'mag', count(*), min(doc_id) FROM p WHERE doc_id % 2 = 1
-UNION ALL SELECT * FROM (SELECT 'venue', CASE WHEN source IS NULL THEN '<empty>' ELSE source END AS v, count(*) AS c, min(doc_id) AS f FROM p GROUP BY v ORDER BY c DESC, f LIMIT 15)
-UNION ALL SELECT 'all', 'duplicate_titles', count(*), NULL FROM (SELECT lang FROM p WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) > 1)"""
+P_FLAGS = ["non_english", "non_english_start", "low_alpha", "lowercase_start", "abstract_repeated"]
+P_TOKENS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda x: NOT regexp_full_match(x, '\p{{Nd}}+'))"
+P_SHARE = "CASE WHEN len({0}) = 0 THEN 0 ELSE len(list_filter({0}, lambda x: list_contains({1}, x))) / len({0}) END"
+P_LETTERS, P_ASCII = r"length(regexp_replace(body, '[^\p{L}]', '', 'g'))", "length(regexp_replace(body, '[^A-Za-z]', '', 'g'))"
+# Written out here, so that the lists are compared and not only used twice.
+P_EN = "['the','of','and','to','is','for','that','with','on','are','by','this','be','from','which','we','our','these','was','were','has','have','been','it','its','an','or','can']"
+P_OTHER = "['de','la','le','les','des','el','los','las','en','que','del','da','das','dos','para','um','uma','não','une','est','dans','pour','sur','und','ist','mit','zu','nicht','het','een','il','di','che','della']"
+P_MARKS = [
+    ("'count'", "'records'", "true"), ("'count'", "'only_field'", "coalesce(fields = ['en'], false)"), ("'count'", "'empty_venue'", "coalesce(source, '') = ''"), ("'count'", "'missing_date'", "doc_id % 4 = 0"), ("'count'", "'no_authors'", "doc_id % 5 = 0"),
+    ("'year'", "CAST(2000 + doc_id % 7 AS VARCHAR)", "true"), ("'shard'", "coalesce(substr(source, 4, 10), '<none>')", "true"), ("'release'", "'r' || doc_id % 3", "true"),
+    ("'external_id'", "CASE WHEN doc_id % 2 = 0 THEN 'doi' ELSE 'mag' END", "true"), *[("'flag'", f"'{x}'", x) for x in P_FLAGS],
+]
+PROFILE = f"""t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS abstract FROM documents),
+b AS (SELECT *, substr(text, 1 + length(abstract)) AS body, list_filter([lang, CASE WHEN doc_id % 6 = 1 THEN 'text' END], lambda x: x IS NOT NULL) AS fields, CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END AS corpus_id,
+  trim(regexp_replace(lower(coalesce(lang, '') || ' ' || length(coalesce(text, '')) % 97), '[^a-z0-9]+', ' ', 'g')) AS title FROM t),
+w AS (SELECT *, {P_TOKENS.format('body')} AS w, {P_TOKENS.format('substr(body, 1, 2000)')} AS s FROM b),
+h AS (SELECT *, {P_SHARE.format('w', P_EN)} AS w_en, {P_SHARE.format('w', P_OTHER)} AS w_other, {P_SHARE.format('s', P_EN)} AS s_en, {P_SHARE.format('s', P_OTHER)} AS s_other, {P_LETTERS} AS letters, {P_ASCII} AS ascii FROM w),
+g AS (SELECT *, w_other > w_en OR w_en < 0.12 OR letters = 0 OR ascii / letters < 0.9 AS non_english, CASE WHEN length(body) = 0 THEN true ELSE letters / length(body) < 0.6 END AS low_alpha, regexp_matches(body, '^\\s*\\p{{Ll}}') AS lowercase_start,
+  length(substr(lower(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))), 1, 150)) >= 50 AND contains(lower(trim(regexp_replace(body, '\\s+', ' ', 'g'))), substr(lower(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))), 1, 150)) AS abstract_repeated FROM h),
+p AS (SELECT *, NOT non_english AND s_other > s_en AS non_english_start, length(body) AS n_body_chars, 21 + length(coalesce(lang, '') || ' ' || length(text) % 97) + length(abstract) + length(body) AS paper_text_chars, length(abstract) AS abstract_chars, doc_id % 5 AS n_authors FROM g),
+m AS ({' UNION ALL '.join(f"SELECT {a} AS section, {b} AS value, doc_id FROM p WHERE {c}" for a, b, c in P_MARKS)} UNION ALL SELECT 'field', unnest(fields), doc_id FROM p),
+e AS (SELECT section, value, array_to_string(list_sort(list(doc_id)), ',') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY doc_id) AS nth FROM m WHERE section = 'flag') WHERE nth <= 10 GROUP BY section, value)
+SELECT section, value, count(*) AS n, CAST(NULL AS DOUBLE) AS number, min(doc_id) AS first, any_value(examples) AS examples FROM m LEFT JOIN e USING (section, value) GROUP BY section, value
+UNION ALL SELECT * FROM (SELECT 'venue', coalesce(nullif(source, ''), '<empty>') AS v, count(*) AS c, NULL, min(doc_id) AS f, NULL FROM p GROUP BY v ORDER BY c DESC, f LIMIT 15)
+UNION ALL SELECT 'count', 'unique_ids', count(DISTINCT corpus_id), NULL, NULL, NULL FROM p
+UNION ALL SELECT 'count', 'duplicate_ids', count(*), NULL, NULL, array_to_string(list_sort(list(corpus_id))[1:10], ',') FROM (SELECT corpus_id FROM p GROUP BY corpus_id HAVING count(*) > 1)
+UNION ALL SELECT 'count', 'duplicate_titles', count(*), NULL, NULL, array_to_string(list_sort(list(title))[1:10], ',') FROM (SELECT title FROM p WHERE title <> '' GROUP BY title HAVING count(*) > 1)
+{' '.join(f"UNION ALL SELECT '{x}', '{n}', count(*), {'avg(' + x + ')' if q is None else f'quantile_cont({x}, {q})'}, NULL, NULL FROM p" for x in ('n_body_chars', 'paper_text_chars', 'abstract_chars', 'n_authors') for n, q in (('mean', None), ('min', 0.0), ('p10', 0.1), ('p25', 0.25), ('p50', 0.5), ('p75', 0.75), ('p90', 0.9), ('max', 1.0)))}"""
 
 
 @query("corpus_profile", f"WITH {PROFILE}")
 def corpus_profile(spark, d):
-    """A corpus in one table; flags, which depend on word lists, have queries of their own."""
-    t = docs(spark, d)
-    ids = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("doi"), F.lit("x"))).otherwise(F.create_map(F.lit("mag"), F.lit("y")))
-    rows = t.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("title"), (F.col("doc_id") % 7 + 2000).cast("int").alias("year"), F.substring("source", 4, 10).cast("int").alias("shard"), F.array_compact(F.array("lang", F.lit("text"))).alias("fields"), ids.alias("external_ids"), F.col("source").alias("venue"), F.lit("").alias("abstract"), F.col("text").alias("body"))
-    return C.profile(rows).where("section <> 'flag'")
+    """A stored corpus in one table: counts, histograms, percentiles, quality flags of whole bodies with examples."""
+    text, key = F.coalesce("text", F.lit("")), F.col("doc_id")
+    head = F.split_part(text, F.lit("\n"), F.lit(1))
+    rows = docs(spark, d).select(
+        key.alias("place"), key.alias("paper_id"), F.when(key % 50 == 1, key - 1).otherwise(key).alias("corpus_id"), F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), (F.char_length(text) % 97).cast("string")).alias("title"),
+        head.alias("abstract"), F.substr(text, F.char_length(head) + 1).alias("body"), (key % 7 + 2000).alias("year"), F.substring("source", 4, 10).alias("shard"), F.concat(F.lit("r"), (key % 3).cast("string")).alias("release_id"),
+        F.array_compact(F.array("lang", F.when(key % 6 == 1, "text"))).alias("fields"), F.when(key % 2 == 0, F.create_map(F.lit("doi"), F.lit("x"))).otherwise(F.create_map(F.lit("mag"), F.lit("y"))).alias("external_ids"),
+        F.col("source").alias("venue"), F.when(key % 4 != 0, "2024-01-01").alias("publication_date"), F.array_repeat(F.lit("a"), (key % 5).cast("int")).alias("authors"),
+    )
+    found = C.profile(rows, C.Filters(field="en"), most=None, window=None)
+    return found.withColumn("examples", F.array_join("examples", ","))
 
 
 @query("sorted_outputs", "SELECT lang, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM (SELECT * FROM documents WHERE n_chars > 3000) GROUP BY lang")

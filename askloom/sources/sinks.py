@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Store
+
 
 def append_ordered(rows: DataFrame, path: str, order: list[str]) -> None:
     """Append rows, with their order in columns; each job commits whole or not at all."""
@@ -26,19 +28,8 @@ def current_versions(rows: DataFrame, key: str, attempt: str) -> DataFrame:
 
 
 def put_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small file in any store Spark reaches, replaced as a whole: written beside its place, then moved there."""
-    context = spark.sparkContext
-    at = lambda x: context._jvm.org.apache.hadoop.fs.Path(x)
-    fs = at(path).getFileSystem(context._jsc.hadoopConfiguration())
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    out = fs.create(at(beside), True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    fs.delete(at(path), False)
-    if not fs.rename(at(beside), at(path)):
-        raise OSError(f"cannot replace {path}")
+    """A small file in any store Spark reaches, replaced in one step: a reader finds the old text or the new."""
+    Store(spark, path).put(path, text, replace=True)
 
 
 class Lock:

@@ -83,7 +83,7 @@ COLUMNS = ["paper", "seq", "kind", "question", "passed"]
 
 
 def decided(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["paper", "seq", "kind", "decision", "round", "accepted_round"]).astype({"accepted_round": "Int32"})
+    return pd.DataFrame(rows, columns=["paper", "seq", "kind", "decision", "round", "accepted_round"]).astype({"round": "Int32", "accepted_round": "Int32"})
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -105,17 +105,39 @@ def replay(events: DataFrame) -> DataFrame:
     return events.select(*COLUMNS).repartition("paper").sortWithinPartitions("paper", "seq").mapInPandas(run, DECISIONS)
 
 
-def replay_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream; a paper's state is the loop's own, and events are decided in the order of seq within each batch."""
+EXPIRED = "refused: expired"
+
+
+def replay_stream(events: DataFrame, deadline: float | None = None, late: str = "10 minutes", first_seq: int = 1) -> DataFrame:
+    """The same over a stream; a paper's state is the loop's own, and events are decided in the order of seq within each batch.
+
+    With a ``deadline`` (seconds of event time in a column ``ts``; see ``functions.text.evaluator_deadline``) state has an end: what
+    has not moved for that long is dropped, accepted or not. A paper's events begin with ``first_seq``, so one that finds no state
+    and is not the first comes after that end: its decision is 'refused: expired', whatever it asks for. Events that are ``late``
+    beyond the watermark never get there; the query's progress counts them (numRowsDroppedByWatermark).
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        loop = Loop.restored(state.get) if state.exists else Loop()
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-        out = decided([stepped(loop, *row) for row in zip(*(new[c].tolist() for c in COLUMNS))])
+        rows = list(zip(*(new[c].tolist() for c in COLUMNS)))
+        if deadline is not None and not state.exists and rows[0][1] > first_seq:
+            # Nothing is kept for such a paper, so nothing has to end; its first event, if it comes at last, begins it.
+            yield decided([(paper, seq, kind, EXPIRED, None, None) for paper, seq, kind, *_ in rows])
+            return
+        loop = Loop.restored(state.get) if state.exists else Loop()
+        out = decided([stepped(loop, *row) for row in rows])
         state.update(loop.saved())
+        if deadline is not None:
+            end = int(new["ts"].max().timestamp() * 1000 + deadline * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return events.groupBy("paper").applyInPandasWithState(run, DECISIONS, KEPT, "append", "NoTimeout")
+    if deadline is None:
+        return events.groupBy("paper").applyInPandasWithState(run, DECISIONS, KEPT, "append", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy("paper").applyInPandasWithState(run, DECISIONS, KEPT, "append", "EventTimeTimeout")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -123,28 +145,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def batches_of(spark: SparkSession, target: str, but: int) -> DataFrame | None:
-    """What earlier batches wrote under ``target``, if anything."""
-    if not exists(spark, target):
-        return None
-    rows = spark.read.parquet(target)
-    return rows.where(F.col("batch") != but).drop("batch")
+def once(stream: DataFrame, key: str, within: tuple[str, str] | None) -> DataFrame:
+    """Each key's first row of the whole stream; keys are kept in the query's state, no earlier batch is read again.
+
+    ``within`` = (time column, duration) bounds that state: a key is then remembered for that long after its row.
+    """
+    if within is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(*within).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str | None = None) -> None:
+def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str | None = None, within: tuple[str, str] | None = None) -> None:
     """Process the files that are new since the last call and add them to ``target``, a folder for each batch.
 
-    Rows of keys already there are left out, as are repeated keys within a batch; a batch that is tried again replaces itself.
+    Rows whose key came before, in this batch or an earlier one, are left out (see :func:`once`); a batch that is tried again
+    replaces itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if key is not None:
-            batch = batch.dropDuplicates([key])
-            if (known := batches_of(spark, target, batch_id)) is not None:
-                batch = batch.join(known.select(key), key, "left_anti")
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream = stream if key is None else once(stream, key, within)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_papers(spark: SparkSession, queue: str, schema, work, target: str, checkpoint: str, drain: str, resume: DataFrame | None = None) -> None:
@@ -156,15 +179,13 @@ def run_papers(spark: SparkSession, queue: str, schema, work, target: str, check
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        papers = batch.select("paper").distinct()
-        for done in (resume, batches_of(spark, target, batch_id)):
-            if done is not None:
-                papers = papers.join(done.select("paper"), "paper", "left_anti")
+        papers = batch if resume is None else batch.join(resume.select("paper"), "paper", "left_anti")
         drained = exists(spark, drain)
         rows = papers.withColumn("skipped", F.lit("drained")) if drained else work(papers).withColumn("skipped", F.lit(None).cast("string"))
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(queue).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(queue).select("paper")
+    once(stream, "paper", None).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def progress(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:

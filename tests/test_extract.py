@@ -60,7 +60,7 @@ def test_unbound_parts(spark):
     c = json.dumps({"context": "some context", "question": "Why?", "rubric": [{"criterion": "names it", "weight": -3}, {"criterion": "cites", "weight": 2}]})
     p = "some context ... why? 1. [-3] names it. 2. [+2 x] cites"
     df = spark.createDataFrame([(p, c), (p.replace("-3", "+3"), c), ("", c)], "p string, c string")
-    assert [r.x for r in df.select(X.unbound_parts("p", "c").alias("x")).collect()] == [[], ["criterion 1"], ["question", "context", "criterion 1", "criterion 2"]]
+    assert [r.x for r in df.select(X.unbound_parts("p", "c").alias("x")).collect()] == [[], ["weight of criterion 1"], ["question", "context head", "criterion 1", "criterion 2"]]
 
 
 def test_loop():

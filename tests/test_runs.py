@@ -1,4 +1,6 @@
+import datetime
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from askloom.streaming import loop as L
 
 def test_newest_and_cohort(spark):
     rows = spark.createDataFrame([("p", "2024-01-01T00:00:00", "a"), ("p", "1704067200", "b"), ("p", "bad", "z"), ("q", None, "c")], "paper string, finished string, path string")
-    assert {r.paper: r.path for r in N.newest(rows, "paper", F.col("finished"), "path").collect()} == {"p": "b", "q": "c"}
+    assert {r.paper: r.path for r in N.newest(rows, "paper", F.col("finished"), "path", F.col("finished").rlike("^[0-9]+$")).collect()} == {"p": "b", "q": "c"}
+    assert {r.paper: r.path for r in N.newest(rows, "paper", F.col("finished"), "path").collect()} == {"p": "a", "q": "c"}  # text that looks like a number is no time
     runs = spark.createDataFrame([("p", True, True), ("q", False, False), ("x", True, True)], "paper string, completed boolean, accepted boolean")
     want = spark.createDataFrame([("p",), ("q",), ("r",), ("s",)], "paper string")
     c = N.cohort(runs, want).first()
@@ -135,3 +138,52 @@ def test_progress_stream_agrees_with_batch(spark, tmp_path):
     stream.writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start().awaitTermination()
     want = {tuple(r) for r in L.progress(spark.read.parquet(src)).collect()}
     assert {tuple(r) for r in spark.table("progress").collect()} == want and len(want) > 10
+
+
+def test_stream_state_has_an_end(spark, tmp_path):
+    """State goes when a paper has not moved for the deadline; what comes after has a decision of its own; others go on as in a batch."""
+    schema = "paper long, seq long, kind string, question string, passed boolean, ts timestamp"
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    deliveries = [
+        [(1, 1, "challenger", "q", None, at(0)), (2, 1, "challenger", "x", None, at(1)), (3, 1, "challenger", "z", None, at(1))],
+        [(1, 2, "quality_verifier", "q", True, at(2)), (1, 3, "both", "q", True, at(3)), (2, 2, "quality_verifier", "x", True, at(3))],
+        [(2, 3, "weak-only", "x", False, at(25)), (4, 1, "challenger", "n", None, at(60))],  # moves the watermark beyond all ends but that of 4
+        [(5, 1, "challenger", "m", None, at(61))],
+        [(1, 4, "challenger", "r", None, at(62)), (2, 4, "both", "x", True, at(62)), (4, 2, "quality_verifier", "n", True, at(62)), (3, 1, "challenger", "again", None, at(62))],
+    ]
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = L.replay_stream(spark.readStream.schema(schema).parquet(src), deadline=30 * 60, late="1 minute")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r.paper, r.seq): r.decision for r in spark.read.parquet(out).collect()}
+    whole = spark.createDataFrame([r for rows in deliveries for r in rows if (r[0], r[1]) not in ((1, 4), (2, 4)) and r[3] != "again"], schema)
+    want = {(r.paper, r.seq): r.decision for r in L.replay(whole).collect()}
+    assert {k: v for k, v in got.items() if k in want and k != (3, 1)} == {k: v for k, v in want.items() if k != (3, 1)}
+    assert got[1, 4] == got[2, 4] == L.EXPIRED and got[3, 1] == "round"  # a first event begins anew
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept == 3  # 3, 4 and 5
+
+
+def test_ingest_reads_no_earlier_batch(spark, tmp_path):
+    """Keys of earlier batches are known from the query's state: their files may be gone."""
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "id long, t string"
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], schema).write.parquet(src)
+    L.ingest(spark, src, schema, out, cp, "id")
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+    shutil.rmtree(out)
+    spark.createDataFrame([(2, "c"), (3, "d")], schema).write.mode("append").parquet(src)
+    L.ingest(spark, src, schema, out, cp, "id")
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [3]
+
+
+def test_ingest_within_a_bound(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "id long, ts timestamp"
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    for rows in ([(1, at(0)), (1, at(0))], [(1, at(1)), (2, at(5))], [(3, at(9))], [(1, at(10)), (2, at(10))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        L.ingest(spark, src, schema, out, cp, "id", within=("ts", "2 hours"))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 1, 2, 2, 3]
