@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,27 +68,65 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    for tables in _COLLECTING:
+        tables.append(out)
     return out
 
 
+_COLLECTING: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """The tables that are staged within the block and not discarded there: what a result made in it still reads.
+
+    Once that result is written (or not wanted any more), ``discard(*tables)`` frees them.
+    """
+    tables: list[DataFrame] = []
+    _COLLECTING.append(tables)
+    try:
+        yield tables
+    finally:
+        _COLLECTING[:] = [x for x in _COLLECTING if x is not tables]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for t in tables:
+        for x in _COLLECTING:
+            x[:] = [y for y in x if y is not t]
         context = t.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(t._staged)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
+def numbered(docs: DataFrame, name: str, written: bool = False) -> DataFrame:
     """``__row_id``, a number of each row of ``docs``, and ``__row``, the row itself as one struct; written once.
 
     A scan that is run again may number its rows differently: its splits follow the number of cores that are there at the time.
     So what joins by row number, in another job than the one that gave the numbers, must take texts and rows from this table.
     As the row is one column, no name of its fields can clash with one of an operator's own; readers still prune its fields.
+
+    ``written``: ``docs`` is a table of files that stay as they are while the result is read, so no copy is needed: a row's number
+    is made of its file's number and its place in that file. What is no scan of files is copied all the same.
     """
+    if written:
+        try:
+            return placed(docs)
+        except AnalysisException:  # there are no files behind these rows
+            pass
     return stage(docs.select(F.monotonically_increasing_id().alias(ROW_ID), F.struct("*").alias(ROW)), name)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """Numbers by file and place. The table of files, one short row each, is broadcast."""
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select(at["file_path"].alias("__file"), at["row_index"].alias("__at"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(ROW))
+    files = rows.select("__file").distinct()
+    files = stage(files.select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__nth")).coalesce(1), "files")
+    return rows.join(F.broadcast(files), "__file").select((F.shiftleft("__nth", 33) + F.col("__at")).alias(ROW_ID), ROW)
+
+
 def field(name: str) -> Column:
     """A column of the table that was numbered."""
     return F.col(f"{ROW}.`{name}`")
@@ -102,12 +141,12 @@ def laid_out(rows: DataFrame, lane: list[str], key: list[str], payload: list[str
     """Places of rows in streams: (units, offsets); ``rows`` has row_id, size, bucket, the lane (its stream), the key and the payload.
 
     A lane's rows stand in the order of (bucket, key), which comes from the rows alone: neither splits nor cores change it. Rows
-    of one key are interchangeable and have one size. A unit is the rows of one key that one task of the numbering scan saw: a key
-    that a third of all rows share is a few rows a task here, and its list of rows is bounded by that task's. units: lane, bucket,
+    of one key are interchangeable and have one size. A unit is the rows of one key among 131,072 numbers: a key that a third of all
+    rows share is many units, and its lists of rows are bounded by that. units: lane, bucket,
     key, n, size, rows (array of row_id and payload), start and rank of its first row within (lane, bucket); offsets: lane, bucket,
     words (the bucket's sum of sizes), n.
     """
-    units = rows.groupBy(*lane, "bucket", *key, F.shiftright("row_id", 33).alias("part")).agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("row_id", *payload))).alias("rows"))
+    units = rows.groupBy(*lane, "bucket", *key, F.shiftright("row_id", 17).alias("part")).agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("row_id", *payload))).alias("rows"))
     before = Window.partitionBy(*lane, "bucket").orderBy(*key, "part").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
     units = stage(units.withColumns({"start": so_far(F.col("n") * F.col("size")), "rank": so_far("n")}), name)

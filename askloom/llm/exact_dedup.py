@@ -57,9 +57,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged. Only texts that share length and prefix are read a second time and hashed."""
-    rows = numbered(docs, "exact-rows")
+    rows = numbered(docs, "exact-rows", written)
     norm = rows.select(F.col(ROW_ID).alias("row_id"), normalised(field(text_col)).alias("norm"))
     slim = stage(norm.select("row_id", F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head")), "exact-sketch")
     asked = stage(survivors(slim).select(F.col("row_id").alias(ROW_ID)), "exact-survivors")

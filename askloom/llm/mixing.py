@@ -166,13 +166,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return p.groupBy("row_id").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), taken.alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, written: bool = False) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: one row per document and pass, whose text is the words that pass takes.
 
     A pass that takes every word keeps the text as it was; else the taken words are joined by single spaces. Rows of which
     nothing is taken go. If there is an ``n_chars`` column it follows the new text.
     """
-    rows = numbered(docs, "mix-rows")
+    rows = numbered(docs, "mix-rows", written)
     p = pieces(*sized(rows, field(id_col), field(text_col), field(source_col), F.col(ROW_ID)), seed).where("times > 0")
     p = p.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     spans = p.groupBy(F.col("row_id").alias(ROW_ID), "pass").agg(F.sum("words").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"))

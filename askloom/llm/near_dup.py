@@ -373,9 +373,9 @@ def grouped(texts: DataFrame) -> DataFrame:
     return rows.select("row_id", "id", "n", "set_hash").join(named, "set_hash", "left").select("row_id", "id", F.col("n").alias("n_shingles"), F.coalesce("root", "row_id").alias("root"), component)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
     """One document of each group, all columns unchanged: that of the smallest id (null last), of repeated ids the first row."""
-    rows = numbered(docs, "near-rows")
+    rows = numbered(docs, "near-rows", written)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_id")).alias("first")
     kept = grouped(base(rows, id_col, text_col)).groupBy("root").agg(first).select(F.col("first.row_id").alias(ROW_ID))
     return unnumbered(with_ids(rows, kept))

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,11 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from askloom.llm.common import work_dir
 
 
 def test_registered():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and set(sql) <= set(q)
 
@@ -54,3 +56,19 @@ def test_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_stages_leave_nothing_behind(spark, docs, tmp_path):
+    """What a stage staged is gone once the next one has begun; of the corpus no stage but the packing keeps a copy."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(50)), f"s{i % 3}") for i in range(60)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 3)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = work_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES:
+        f(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        here = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+        assert not here & {"exact-rows", "near-rows", "mix-rows"}
+        assert all(x.split("-")[0] in {"toxicity": ["toxicity"], "exact_dedup": ["exact", "files", "bitmaps"], "near_dedup": ["near", "stars", "files", "bitmaps"], "mixing": ["mix", "files"], "packing": ["pack"]}[name] for x in here), (name, here)
+
+

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_mixing import rows_of
 from test_near_dup import brute, corpus
 
@@ -47,10 +48,29 @@ def test_exact_copies(docs, restless):
     assert sorted(r.doc_id for r in D.dedup(d).collect()) == list(range(40))
 
 
-def test_mixed(docs, restless):
+def test_numbers_by_file_and_place(spark, docs, restless):
+    """Without a copy: the same results, and other tables are copied as before."""
+    rows = [(i, f"{i % 40} " * (1 + i % 40), "s") for i in range(160)]
+    d = docs(rows, parts=11).withColumn("_metadata", F.lit("own"))
+    with common.collecting() as left:
+        numbers = common.numbered(d, "rows", written=True)
+        assert [t.columns for t in left] == [["__file", "__nth"]]
+    twice = [{r[0]: r[1] for r in numbers.select("__row_id", common.field("doc_id")).collect()} for _ in range(2)]
+    assert twice[0] == twice[1] and sorted(twice[0].values()) == sorted(i for i, *_ in rows) and len(twice[0]) == 160
+    assert sorted(r.doc_id for r in D.dedup(d, written=True).collect()) == list(range(40))
+    assert D.dedup(d, written=True).columns == d.columns
+    made = spark.range(50).selectExpr("id as doc_id", "concat('t', id % 7) as text").repartition(3)
+    assert D.dedup(made, written=True).count() == 7
+    near = corpus(1, 30, 6, 120, 9)
+    want = brute(near)
+    assert sorted(r.doc_id for r in N.dedup(docs(near, parts=11), written=True).collect()) == sorted({c for _, c in want.values()})
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_mixed(docs, restless, written):
     rows = rows_of()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
-    got = M.mixed(docs(rows, parts=11)).collect()
+    got = M.mixed(docs(rows, parts=11), written=written).collect()
     assert got and all(len(r.text.split()) <= size[r.doc_id] and all(w.startswith(f"w{r.doc_id}_") for w in r.text.split()) for r in got)
     total = sum(size.values())
     assert abs(sum(len(r.text.split()) for r in got) - 1.5 * total) <= 10 * M.BLOCK
