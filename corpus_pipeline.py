@@ -12,6 +12,7 @@ a source; texts of any length are read whole; an empty table stays empty; extra
 from __future__ import annotations
 
 import functools
+import gc
 
 from askloom.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from askloom.llm.common import collecting, discard, read, stage
@@ -26,6 +27,9 @@ def freeing(f):
     @functools.wraps(f)
     def run(spark, docs, sf_dir):
         discard(*_LEFT.pop(spark.sparkContext.applicationId, []))
+        # Plans, broadcasts and shuffles of the finished stage are freed when they are collected, which an idle driver does late.
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
         with collecting() as left:
             out = f(spark, docs, sf_dir)
         _LEFT[spark.sparkContext.applicationId] = left
