@@ -217,11 +217,12 @@ def last_overall(text: str) -> bool | None:
 def verdicts(text: str | None) -> dict:
     """What a quality verifier wrote: its stated overall verdict, each check, feedback. A later line replaces an earlier one."""
     lines = (text or "").split("\n")
-    got = dict(filter(None, map(verdict_line, lines)))
+    # Most lines of a long text name no key: they are passed over before they are read.
+    got = dict(filter(None, map(verdict_line, (x for x in lines if ":" in x and ("OVERALL" in x or "_VERDICT" in x)))))
     stated = {"PASS": True, "FAIL": False}.get(got.get("OVERALL") or "")
     if stated is None:
         stated = last_overall(text or "")
-    heads = [(i, x.lstrip().removeprefix("FEEDBACK").lstrip()) for i, x in enumerate(lines) if x.lstrip().startswith("FEEDBACK")]
+    heads = [(i, x.lstrip().removeprefix("FEEDBACK").lstrip()) for i, x in enumerate(lines) if "FEEDBACK" in x and x.lstrip().startswith("FEEDBACK")]
     note = next(("\n".join([x[1:], *lines[i + 1 :]]).strip()[:4000] for i, x in heads if x.startswith(":")), None)
     return {"said": bool(text), "stated": stated, **{f"check_{i}": got.get(k) for i, k in enumerate(PASSING, 1)}, "feedback": note}
 

@@ -100,6 +100,18 @@ def percent(x: Column) -> Column:
     return F.format_string("%.1f%%", x.cast("double") * 100)
 
 
+def exact_percent(part: Column, whole: Column) -> Column:
+    """part / whole of integers in percent with one decimal, half to even, without a double; null where the whole is 0 or null."""
+    whole = F.nullif(whole.cast("long"), F.lit(0).cast("long"))
+    scaled = part.cast("long") * 1000
+    rest = F.pmod(scaled, whole)
+    down = F.floor((scaled - rest) / whole).cast("long")
+    up = (2 * rest > whole) | ((2 * rest == whole) & (F.pmod(down, F.lit(2)) == 1))
+    tenths = down + F.when(up, 1).otherwise(0)
+    sign = F.when(tenths < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(F.abs(tenths) / 10).cast("string"), F.lit("."), (F.abs(tenths) % 10).cast("string"), F.lit("%"))
+
+
 def rate(part: Column, whole: Column) -> Column:
     """part / whole; null where the whole is 0."""
     return F.try_divide(part.cast("double"), F.nullif(whole.cast("double"), F.lit(0.0)))

@@ -289,8 +289,10 @@ def containment(texts: DataFrame, items: DataFrame, text: str = "text", item: st
     size = F.least(F.size("_w") - 2, F.lit(4))
     anchored = i.where(F.size("_w") >= 3).withColumn("_k", size).withColumn("_anchor", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), size), " ")))
     runs = lambda v, k: F.transform(T.word_runs(v, k), lambda x: F.struct(F.lit(k).alias("k"), F.xxhash64(x).alias("anchor")))
-    # Hashes only, of one pass over the texts: the text itself meets its few candidates afterwards.
-    every = T.let(F.split("_t", " "), lambda v: F.concat(*[runs(v, k) for k in (1, 2, 3, 4)]))
+    # Hashes only, of one pass over the texts, of the lengths (at most four) that anchors have: the text itself meets its few
+    # candidates afterwards.
+    lengths = sorted(r[0] for r in anchored.select("_k").distinct().collect()) or [4]
+    every = T.let(F.split("_t", " "), lambda v: F.concat(*[runs(v, k) for k in lengths]))
     keys = t.select("_row", F.explode(every).alias("x")).select("_row", F.col("x.k").alias("_k"), F.col("x.anchor").alias("_anchor"))
     pairs = keys.join(anchored.select("_k", "_anchor").distinct(), ["_k", "_anchor"], "left_semi").distinct().join(anchored, ["_k", "_anchor"])
     long = t.join(pairs.drop("_k", "_anchor", "_w"), "_row").where(F.contains("_t", F.col("_i")))

@@ -26,10 +26,22 @@ def skipped_locked(log: DataFrame, runs: DataFrame) -> DataFrame:
     return latest.where(locked).select("paper").union(runs.where(locked).select("paper")).distinct()
 
 
-def cohort(runs: DataFrame, requested: DataFrame | None) -> DataFrame:
-    """Counts and rates of runs (paper, completed, accepted), restricted to the requested papers if there is a manifest."""
+def pending_directories(directories: DataFrame) -> DataFrame:
+    """directories: directory, has_summary -> the workspaces that were begun and have no summary yet."""
+    name = F.col("directory")
+    return directories.where(usable_directory(name) & ~name.startswith(".") & ~F.coalesce("has_summary", F.lit(False)))
+
+
+def cohort(runs: DataFrame, requested: DataFrame | None, directories: DataFrame | None = None) -> DataFrame:
+    """Counts and rates of runs (paper, completed, accepted), restricted to the requested papers if there is a manifest.
+
+    Without one, only the ``directories`` without a summary tell what is pending.
+    """
     if requested is None:
         rows = runs.withColumn("present", F.lit(True))
+        if directories is not None:
+            begun = pending_directories(directories).select(F.lit(None).cast(runs.schema["paper"].dataType).alias("paper"), F.lit(None).cast("boolean").alias("completed"), F.lit(None).cast("boolean").alias("accepted"), F.lit(False).alias("present"))
+            rows = rows.select("paper", "completed", "accepted", "present").unionByName(begun)
     else:
         rows = requested.select("paper").distinct().join(runs.withColumn("present", F.lit(True)), "paper", "left")
     present = F.coalesce("present", F.lit(False))

@@ -60,13 +60,37 @@ def nested_blocks(runs: DataFrame) -> DataFrame:
     )
 
 
+def accepted_items(papers: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """One row per accepted paper: paper, accepted_round, final_accepted, the round's weak_avg, strong_avg, gap, scores_source,
+    scores_report, qv_bound, question_chars, n_rubric_items. papers: as of ``rounds.paper_rows``; reports: as of
+    ``runs.accepted_report`` (paper, its averages, scores_source, scores_report), which stand above the round's own scores."""
+    index = F.col("accepted_round")
+    at = F.when((index > 0) & (index <= F.size("rounds")), F.element_at("rounds", index.cast("int")))
+    rows = papers.where("accepted").select(F.col("paper_id").alias("paper"), "accepted_round", "final_accepted", at.alias("r"))
+    own = rows.select("paper", "accepted_round", "final_accepted", *[F.col(f"r.{c}").alias(c) for c in ("weak_avg", "strong_avg", "gap", "qv_bound", "question_chars", "n_rubric_items")])
+    if reports is None:
+        return own.withColumns({"scores_source": F.lit("summary"), "scores_report": F.lit(None).cast("string")})
+    better = reports.where("scores_source = 'report'").select(F.col("paper").alias("b_paper"), *[F.col(c).alias(f"b_{c}") for c in ("weak_avg", "strong_avg", "gap")], F.col("scores_report").cast("string").alias("scores_report"))
+    met = own.join(better, F.col("paper") == F.col("b_paper"), "left")
+    has = F.col("b_paper").isNotNull()
+    return met.withColumns({c: F.when(has, F.col(f"b_{c}")).otherwise(F.col(c)) for c in ("weak_avg", "strong_avg", "gap")}).withColumn("scores_source", F.when(has, "report").otherwise("summary")).drop("b_paper", "b_weak_avg", "b_strong_avg", "b_gap")
+
+
+#: Columns of runs that older tables lack, with their types.
+OPTIONAL = {"qv_bound": "boolean", "scores_source": "string", "subagent_prompt_tokens": "long", "subagent_completion_tokens": "long", "wall_time_s": "double"}
+
+
 def agentic_report(runs: DataFrame, rounds: DataFrame) -> DataFrame:
     """The whole report on runs as one table (section, name, value): papers, the accepted ones' averages, failed rounds, tokens.
 
     runs: paper, accepted, final_accepted, n_rounds, stop_reason, claim_matches, errors (array), guardrails (array), prompt_tokens,
-    completion_tokens, weak_avg, strong_avg, gap, accepted_round, question_chars, n_rubric_items (scores of accepted papers);
-    rounds: paper, failure_mode.
+    completion_tokens, weak_avg, strong_avg, gap, accepted_round, question_chars, n_rubric_items (scores of accepted papers) and, if
+    there, qv_bound (of the accepted round), scores_source, tokens of subagents, wall_time_s; rounds: paper, failure_mode.
     """
+    runs = runs.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in runs.columns})
+    won = F.coalesce("accepted", F.lit(False))
+    source = F.coalesce("scores_source", F.lit("summary"))
+    backing = runs.agg(F.count_if(won & (source == "report")).alias("report_backed"), F.count_if(won & (source == "summary")).alias("summary_backed"), F.count_if(won & F.col("qv_bound").eqNullSafe(False)).alias("qv_unbound"))
     value = lambda c: c.cast("double").alias("value")
     wide = lambda section, row: row.unpivot([], row.columns, "name", "value").select(F.lit(section).alias("section"), "name", value(F.col("value")))
     doubles = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
@@ -78,7 +102,9 @@ def agentic_report(runs: DataFrame, rounds: DataFrame) -> DataFrame:
         wide("papers", doubles(papers)),
         wide("accepted", doubles(table1(runs.where("accepted")))),
         wide("final", doubles(table1(runs.where("final_accepted")))),
-        wide("tokens", doubles(tokens(runs, {"prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens")}))),
+        wide("tokens", doubles(tokens(runs, {"prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens"), "subagents_prompt": F.col("subagent_prompt_tokens"), "subagents_completion": F.col("subagent_completion_tokens")}))),
+        wide("backing", doubles(backing)),
+        wide("time", doubles(runs.agg(F.avg("wall_time_s").alias("wall_time_mean_s")))),
         wide("checks", doubles(boolean_counts(runs, F.col("claim_matches"), F.col("errors"), F.col("guardrails")))),
         modes.select(F.lit("failed_rounds").alias("section"), F.col("failure_mode").alias("name"), value(F.col("n"))),
         modes.select(F.lit("failed_share").alias("section"), F.col("failure_mode").alias("name"), value(F.col("share"))),

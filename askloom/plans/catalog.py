@@ -156,6 +156,21 @@ def cohort_rates(spark, d):
     return N.cohort(runs(spark, d), V.table(spark, d, "customer").select(F.col("c_custkey").alias("paper")))
 
 
+@query(
+    "cohort_pending",
+    f"""WITH {RUNS}, d AS (SELECT CASE c_custkey % 10 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || 'p' || c_custkey || CASE WHEN c_custkey % 10 = 2 THEN '.old.1' ELSE '' END AS name, r.paper IS NOT NULL AS has FROM customer c LEFT JOIN runs r ON r.paper = c.c_custkey),
+p AS (SELECT count(*) AS n FROM d WHERE NOT has AND name[1] NOT IN ('_', '.') AND NOT contains(name, '.old.'))
+SELECT count(*) + any_value(n) AS n_requested, count(*) FILTER (completed) AS n_completed, count(*) FILTER (NOT completed) AS n_incomplete, any_value(n) AS n_pending, count(*) FILTER (accepted) / nullif(count(*) + any_value(n), 0) AS acceptance_rate_cohort FROM runs, p""",
+)
+def cohort_pending(spark, d):
+    """Without a manifest: workspaces that were begun and have no summary are pending."""
+    r = runs(spark, d)
+    c = V.table(spark, d, "customer").join(r.select(F.col("paper").alias("c_custkey"), F.lit(True).alias("has_summary")), "c_custkey", "left")
+    k = F.col("c_custkey") % 10
+    name = F.concat(F.when(k == 0, "_").when(k == 1, ".").otherwise(""), F.lit("p"), F.col("c_custkey").cast("string"), F.when(k == 2, ".old.1").otherwise(""))
+    return N.cohort(r, None, c.select(name.alias("directory"), "has_summary")).select("n_requested", "n_completed", "n_incomplete", "n_pending", "acceptance_rate_cohort")
+
+
 @query("newest_summary", "SELECT o_custkey AS paper, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS newest FROM orders GROUP BY o_custkey")
 def newest_summary(spark, d):
     o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("paper"), F.col("o_orderkey").alias("newest"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("finished_at"))

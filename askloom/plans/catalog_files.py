@@ -9,11 +9,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .. import config, responder
+from .. import responder
 from ..functions import text as T
+from ..operators import manifest as J
 from ..operators import runs as N
 from ..session import work_dir
 from ..sources import files, sinks
+from ..sources.leases import Leases
 from ..streaming import loop as L
 from . import views as V
 from .catalog import docs, query
@@ -165,32 +167,50 @@ def shard_sample(spark, d):
     return docs(spark, d).where(F.substring("source", 4, 10).cast("int").isin(files.choose_shards(12, count=4, seed=5))).select("doc_id")
 
 
-@query("config_roles", "SELECT * FROM (VALUES ('judge', 'm1', '4', 'set'), ('weak', 'm2', '9', 'set'), ('strong', 'm1', '7', 'set')) t(role, model, timeout, key)")
+@query(
+    "config_roles",
+    """SELECT s_suppkey AS role, 'model-' || r_regionkey AS model, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE CAST(r_regionkey * 10 AS VARCHAR) END AS timeout, 'https://' || lower(r_name) || '.example/v1' AS url, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 3 END AS n_options
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
+)
 def config_roles(spark, d):
-    """Roles name endpoints and override their fields; variables are expanded."""
-    import os
-
-    path = f"{scratch(spark, 'config').split('://')[-1].removeprefix('file:')}.json" if spark.sparkContext.master.startswith("local") else None
-    raw = {"endpoints": {"a": {"model": "m1", "timeout": 4, "key": "$ASKLOOM_TEST_KEY"}, "b": {"model": "m2", "timeout": 9, "key": "${ASKLOOM_TEST_KEY}"}}, "roles": {"judge": "a", "weak": {"endpoint": "b"}, "strong": {"endpoint": "a", "timeout": 7}}}
-    os.environ.setdefault("ASKLOOM_TEST_KEY", "set")
-    if path:  # the driver's own file
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(raw, f)
-        roles = config.load(path)["resolved"]
-    else:
-        roles = {r: config.expanded(raw)["endpoints"][e if isinstance(e, str) else e["endpoint"]] | (e if isinstance(e, dict) else {}) for r, e in raw["roles"].items()}
-    return spark.createDataFrame([(r, x["model"], str(x["timeout"]), x["key"]) for r, x in roles.items()], "role string, model string, timeout string, key string")
-
-
-@query("cohort_manifest", "SELECT * FROM (VALUES (1, 'a', 0), (2, 'b', 0), (3, 'c', 0)) t(place, paper, changes) UNION ALL SELECT * FROM (VALUES (1, 'a', 1), (2, 'b', 1), (3, 'c', 1))")
+    """Every supplier a role of its region's endpoint; some override the timeout; the address names a variable."""
+    region, nation, supplier = (V.table(spark, d, t) for t in ("region", "nation", "supplier"))
+    options = F.create_map(F.lit("model"), F.concat(F.lit("model-"), F.col("r_regionkey").cast("string")), F.lit("timeout"), (F.col("r_regionkey") * 10).cast("string"), F.lit("url"), F.concat(F.lit("$SCHEME://${HOST_"), F.col("r_regionkey").cast("string"), F.lit("}/v1")))
+    hosts = region.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("HOST_"), F.col("r_regionkey").cast("string")), F.concat(F.lower("r_name"), F.lit(".example"))))).alias("hosts"))  # a handful of regions
+    roles = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("role"), F.col("n_regionkey").alias("endpoint"), F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("timeout"), F.col("s_suppkey").cast("string"), F.lit("note"), F.lit("own"))).alias("overrides"))
+    got = J.resolved_roles(roles, region.select(F.col("r_regionkey").alias("endpoint"), options.alias("options"))).crossJoin(F.broadcast(hosts))  # one row
+    variables = F.map_concat(F.create_map(F.lit("SCHEME"), F.lit("https")), "hosts")
+    return got.select("role", *[J.expanded(F.col("options")[k], variables).alias(k) for k in ("model", "timeout", "url")], F.size("options").alias("n_options"))
+
+
+PAPERS = """s AS (SELECT c_nationkey AS root, c_custkey AS paper FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 5 <> 0), n AS (SELECT c_nationkey AS root, c_custkey AS paper FROM customer WHERE c_custkey % 3 = 0),
+b AS (SELECT root, paper, min(k) AS k FROM (SELECT *, 0 AS k FROM s UNION ALL SELECT *, 1 FROM n) GROUP BY root, paper)"""
+
+
+@query("cohort_papers", f"WITH {PAPERS} SELECT root, paper, row_number() OVER (PARTITION BY root ORDER BY k, CASE WHEN k = 0 THEN -paper ELSE paper END) AS place FROM b")
+def cohort_papers(spark, d):
+    """Papers of each cohort in the order they were first asked for: the stored ones (backwards), then those that are new."""
+    c = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("root"), F.col("c_custkey").alias("paper"))
+    stored = c.where("paper % 2 = 0 AND root % 5 <> 0").withColumn("place", -F.col("paper"))
+    return J.merged_papers(stored, c.where("paper % 3 = 0").withColumn("place", F.col("paper")))
+
+
+@query("cohort_manifest", "SELECT c_custkey AS root, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'recipe' END, CASE WHEN c_custkey % 4 = 0 THEN 'rounds' END) END AS changed, CAST(CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 2 + CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN 1 ELSE 0 END END AS INT) AS n_history FROM customer")
 def cohort_manifest(spark, d):
-    """Papers in the order they were asked for, each once; another recipe is kept in the history where that is allowed."""
-    first = config.merged_manifest(None, {"recipe": "x", "paper_ids": ["a", "b"]})
-    same = config.merged_manifest(first, {"recipe": "x", "paper_ids": ["b", "c"]})
-    other = config.merged_manifest(same, {"recipe": "y", "paper_ids": ["a"]}, allow_mismatch=True)
-    rows = [(k, p, len(m["history"])) for m in (same, other) for k, p in enumerate(m["paper_ids"], 1)]
-    return spark.createDataFrame(rows, "place int, paper string, changes int")
+    """Runs that are asked for again with the same or with other settings, and such that have no manifest yet."""
+    c, key = V.table(spark, d, "customer"), F.col("c_custkey")
+    new = c.select(key.alias("root"), F.col("c_mktsegment").alias("recipe"), (key % 7).alias("rounds"))
+    stored = c.where("c_custkey % 5 <> 0").select(key.alias("root"), F.when(key % 3 == 0, "other").otherwise(F.col("c_mktsegment")).alias("recipe"), F.when(key % 4 == 0, None).otherwise(key % 7).alias("rounds"), (key % 2).cast("int").alias("n_history"))
+    return J.merged_manifests(stored, new, ["recipe", "rounds"]).select("root", F.array_join("changed", ",").alias("changed"), F.col("n_history").cast("int").alias("n_history"))
+
+
+@query("lookup_counters", "WITH a AS (SELECT DISTINCT event_id % 4 AS shard, user_id AS k FROM events), o AS (SELECT *, k % 2 <> 0 AND shard = min(shard) OVER (PARTITION BY k) AS own FROM a) SELECT shard, count(*) FILTER (NOT own) AS from_cache, count(*) FILTER (own) AS from_service, CAST(ceil(count(*) FILTER (own) / 16) AS BIGINT) AS calls, count(*) FILTER (own AND k % 3 <> 0 AND k % 11 = 0) AS mismatches FROM o GROUP BY shard")
+def lookup_counters(spark, d):
+    """Users that four shards ask for: half of them cached, some unknown, some answered under another id."""
+    e = V.table(spark, d, "events").select((F.col("event_id") % 4).alias("shard"), F.col("user_id").alias("key"))
+    cache = e.where("key % 2 = 0").select("key", F.lit("{}").alias("value")).distinct()
+    fetch = lambda ids: [f'{{"corpusId": {i + (i % 11 == 0)}}}' if i % 3 else None for i in ids]
+    return files.counted_lookup(e, cache, fetch, batch=16)[2]
 
 
 # ------------------------------------------------------------------------------------------------ sinks
@@ -311,25 +331,22 @@ def new_run_directories(spark, d):
     return N.new_runs(o, o.where("run % 3 <> 0"), ["paper", "run"])
 
 
-@query("exclusive_locks", "SELECT n_nationkey AS key, true AS first, false AS second, n_nationkey % 2 = 0 AS after_release FROM nation")
+@query("exclusive_locks", "SELECT CAST(c_custkey AS VARCHAR) AS key, true AS first, false AS second, c_custkey % 2 = 0 AS after_release FROM customer")
 def exclusive_locks(spark, d):
     """A second holder is refused until the first lets go."""
-    folder, out = scratch(spark, "locks"), []
-    for (k,) in sorted(V.table(spark, d, "nation").select("n_nationkey").collect()):
-        one, two = (sinks.Lock(spark, folder, f"n{k}") for _ in range(2))
-        first, second = one.acquire() and one.acquire(), two.acquire()
-        if k % 2 == 0:
-            one.release()
-        out.append((k, first, second, two.acquire()))
-    return spark.createDataFrame(out, "key int, first boolean, second boolean, after_release boolean")
-
-
-@query("ready_services", "SELECT * FROM (VALUES ('a', true, 0), ('b', true, 30), ('c', false, 45)) t(name, ready, waited)")
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    leases = Leases(spark, scratch(spark, "locks"), "result int")
+    got = lambda holder, now, name: leases.acquire(c, holder, 60, now).select("key", F.lit(True).alias(name))
+    first, second = got("one", 0, "first"), got("two", 1, "second")
+    leases.release("one", 2, c.where(F.col("key").cast("long") % 2 == 0))
+    third = got("two", 3, "after_release")
+    met = c.join(first, "key", "left").join(second, "key", "left").join(third, "key", "left")
+    return met.select("key", *[F.coalesce(n, F.lit(False)).alias(n) for n in ("first", "second", "after_release")])
+
+
+@query("ready_services", """WITH e AS (SELECT user_id, event_type <> 'error' AND event_id % 3 = 0 AS ready, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS waited FROM events), t AS (SELECT * FROM e WHERE waited <= 200000),
+f AS (SELECT *, min(CASE WHEN ready THEN waited END) OVER (PARTITION BY user_id) AS first FROM t) SELECT user_id AS service, count(*) AS probes, any_value(first) IS NOT NULL AS ready, CAST(round(coalesce(any_value(first), 200000), 3) AS DOUBLE) AS waited FROM f WHERE first IS NULL OR waited <= first GROUP BY user_id""")
 def ready_services(spark, d):
-    """Services that answer at once, after a while, and never; work goes on when the wait is over."""
-    out = []
-    for name, after in (("a", 0), ("b", 30), ("c", 10**6)):
-        now = [0.0]
-        lacking = responder.wait_ready({name: lambda: now[0] >= after}, wait=45, sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0])
-        out.append((name, not lacking, int(now[0])))
-    return spark.createDataFrame(out, "name string, ready boolean, waited int")
+    """Services by their probes: some answer at once, some after a while, some not within the wait."""
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("service"), F.col("ts").cast("timestamp").alias("at"), ((F.col("event_type") != "error") & (F.col("event_id") % 3 == 0)).alias("ready"))
+    return J.readiness(e, 200_000).withColumn("waited", F.round("waited", 3))

@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import bench as B
 from ..operators import corpus as C
+from ..operators import manifest as J
 from ..operators import messages as M
 from ..operators import rounds as R
 from ..operators import rubric as H
@@ -285,9 +286,16 @@ def prompt_fill(spark, d):
     return orders(spark, d).select("o_orderkey", M.filled(template, {"key": F.col("o_orderkey").cast("string"), "role": F.lit("{role}"), "status": F.col("o_orderstatus"), "none": F.lit(None).cast("string")}).alias("prompt"))
 
 
-@query("criteria_texts", "SELECT * FROM (VALUES ('prose_s31', 'weak_avg < 50%', 'strong_avg ≥ 65%', 'Gap (strong_avg - weak_avg) ≥ 20%'), ('deployed_c1', 'weak_avg ≤ 65%, max_weak ≤ 75%, no zeros', 'strong_avg ≥ 60% AND strong_avg < 95%', 'Gap (strong_avg - weak_avg) ≥ 20%')) t(preset, weak, strong, gap)")
+@query(
+    "criteria_texts",
+    """SELECT p_partkey, 'weak_avg ' || CASE WHEN p_partkey % 2 = 0 THEN '≤' ELSE '<' END || ' ' || p_size || '%' || CASE WHEN p_partkey % 3 = 0 THEN ', max_weak ≤ ' || (p_size + 10) || '%' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ', no zeros' ELSE '' END AS weak,
+ 'strong_avg ≥ ' || (p_size + 20) || '%' || CASE WHEN p_partkey % 4 = 0 THEN ' AND strong_avg < 95%' ELSE '' END AS strong, 'Gap (strong_avg - weak_avg) ≥ 20%' AS gap FROM part""",
+)
 def criteria_texts(spark, d):
-    return spark.createDataFrame([(p.name, p.weak_text(), p.strong_text(), p.gap_text()) for p in H.PRESETS.values()], "preset string, weak string, strong string, gap string")
+    """Thresholds of each part as a prompt says them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    weak, strong, gap = J.criteria(size, k % 2 == 0, F.when(k % 3 == 0, size + 10), k % 5 == 0, size + 20, F.when(k % 4 == 0, F.lit(95)), F.lit(20))
+    return V.table(spark, d, "part").select("p_partkey", weak.alias("weak"), strong.alias("strong"), gap.alias("gap"))
 
 
 @query("solver_messages", "SELECT o_orderkey, 'Context:' || chr(10) || 'c' || o_custkey || chr(10) || chr(10) || 'Question:' || chr(10) || 'q' || o_orderkey AS prompt FROM orders")
@@ -455,12 +463,16 @@ def baseline_entry(spark, d):
     return rows.select("candidate", "would_be_accepted", "final_filter_passed", lead.cast("long").alias("lead"))
 
 
-REPORT = f"""{V.ROUNDS}, s AS (SELECT paper, bool_or(failure_mode = 'ACCEPTED') AS accepted, count(*) AS n, max(CASE WHEN failure_mode = 'ACCEPTED' THEN round END) AS won, max(CASE WHEN failure_mode = 'ACCEPTED' THEN max_positive END) AS items FROM rounds GROUP BY paper),
+REPORT = f"""{V.ROUNDS}, s AS (SELECT paper, bool_or(failure_mode = 'ACCEPTED') AS accepted, count(*) AS n, max(CASE WHEN failure_mode = 'ACCEPTED' THEN round END) AS won, max(CASE WHEN failure_mode = 'ACCEPTED' THEN max_positive END) AS items,
+ max(CASE WHEN failure_mode = 'ACCEPTED' THEN weak_total END) AS weak, max(CASE WHEN failure_mode = 'ACCEPTED' THEN strong_total END) AS strong FROM rounds GROUP BY paper),
 m AS (SELECT failure_mode AS name, count(*) AS n FROM rounds WHERE failure_mode <> 'ACCEPTED' GROUP BY 1)
 SELECT 'papers' AS section, 'papers' AS name, CAST(count(*) AS DOUBLE) AS value FROM s UNION ALL SELECT 'papers', 'accepted', count(*) FILTER (accepted) FROM s UNION ALL SELECT 'papers', 'final_accepted', count(*) FILTER (accepted AND paper % 2 = 0) FROM s
 UNION ALL SELECT 'papers', 'rounds_per_paper', avg(n) FROM s UNION ALL SELECT 'papers', 'acceptance_rate', count(*) FILTER (accepted) / count(*) FROM s
 UNION ALL SELECT 'failed_rounds', name, n FROM m UNION ALL SELECT 'failed_share', name, n / (SELECT sum(n) FROM m) FROM m
 UNION ALL SELECT 'stop_reasons', why, count(*) FROM (SELECT CASE WHEN paper % 3 = 0 THEN '<none>' ELSE concat('r', paper % 3) END AS why FROM s) GROUP BY why
+{' '.join(f"UNION ALL SELECT '{x}', '{n}', avg({c}) FROM s WHERE {w}" for x, w in (('accepted', 'accepted'), ('final', 'accepted AND paper % 2 = 0')) for n, c in (('weak_solver_avg', 'weak'), ('strong_solver_avg', 'strong'), ('gap', 'strong - weak'), ('question_length_chars', 'CASE WHEN accepted THEN paper % 100 END')))}
+UNION ALL SELECT 'tokens', 'subagents_prompt', sum(n * 3) FROM s UNION ALL SELECT 'tokens', 'subagents_completion', coalesce(sum(n) FILTER (paper % 2 = 1), 0) FROM s UNION ALL SELECT 'time', 'wall_time_mean_s', avg(n * 10) FILTER (paper % 4 <> 1) FROM s
+UNION ALL SELECT 'backing', 'report_backed', count(*) FILTER (accepted AND paper % 3 = 1) FROM s UNION ALL SELECT 'backing', 'summary_backed', count(*) FILTER (accepted AND paper % 3 <> 1) FROM s UNION ALL SELECT 'backing', 'qv_unbound', count(*) FILTER (accepted AND paper % 5 = 2) FROM s
 UNION ALL SELECT 'tokens', 'prompt', sum(paper) FROM s UNION ALL SELECT 'tokens', 'completion', coalesce(sum(paper) FILTER (paper % 2 = 0), 0) FROM s
 UNION ALL SELECT 'checks', 'agent_claim_mismatches', count(*) FILTER (paper % 5 = 0) FROM s UNION ALL SELECT 'checks', 'papers_with_errors', count(*) FILTER (paper % 4 = 0) FROM s UNION ALL SELECT 'checks', 'guardrail_events', 0
 UNION ALL SELECT 'accepted', 'n', count(*) FROM s WHERE accepted UNION ALL SELECT 'accepted', 'rounds_mean', avg(won) FROM s WHERE accepted UNION ALL SELECT 'accepted', 'rounds_median', median(won) FROM s WHERE accepted UNION ALL SELECT 'accepted', 'rounds_max', max(won) FROM s WHERE accepted
@@ -470,15 +482,14 @@ UNION ALL SELECT 'final', 'rounds_median', median(won) FROM s WHERE accepted AND
 
 @query("agentic_report", f"WITH {REPORT}")
 def agentic_report(spark, d):
-    """The whole report; averages of scores, which have queries of their own, are left out here."""
+    """The whole report; scores are points, which are whole numbers, so that averages do not depend on the order of rows."""
     r = V.rounds(spark, d)
     at = lambda c: F.max(F.when(F.col("accepted"), F.col(c)))
-    s = r.groupBy("paper").agg(F.bool_or("accepted").alias("accepted"), F.count("*").alias("n_rounds"), at("round").alias("accepted_round"), at("max_positive").alias("n_rubric_items"))
-    none = F.lit(None).cast("double")
+    s = r.groupBy("paper").agg(F.bool_or("accepted").alias("accepted"), F.count("*").alias("n_rounds"), at("round").alias("accepted_round"), at("max_positive").alias("n_rubric_items"), at("weak_total").alias("weak_avg"), at("strong_total").alias("strong_avg"))
     mod = lambda n: F.col("paper") % n
-    s = s.withColumns({"final_accepted": F.col("accepted") & (mod(2) == 0), "stop_reason": F.when(mod(3) != 0, F.concat(F.lit("r"), mod(3))), "claim_matches": F.when(mod(5) == 0, False), "errors": F.when(mod(4) == 0, F.array(F.lit("x"))), "guardrails": F.lit(None).cast("array<string>"), "prompt_tokens": F.col("paper"), "completion_tokens": F.when(mod(2) == 0, F.col("paper")), "weak_avg": none, "strong_avg": none, "gap": none, "question_chars": none})
-    got = api.report(s, r)
-    return got.where("NOT (section IN ('accepted', 'final') AND name IN ('weak_solver_avg', 'strong_solver_avg', 'gap', 'question_length_chars'))")
+    s = s.withColumns({"final_accepted": F.col("accepted") & (mod(2) == 0), "stop_reason": F.when(mod(3) != 0, F.concat(F.lit("r"), mod(3))), "claim_matches": F.when(mod(5) == 0, False), "errors": F.when(mod(4) == 0, F.array(F.lit("x"))), "guardrails": F.lit(None).cast("array<string>"), "prompt_tokens": F.col("paper"), "completion_tokens": F.when(mod(2) == 0, F.col("paper")), "gap": F.col("strong_avg") - F.col("weak_avg"), "question_chars": F.when(F.col("accepted"), mod(100))})
+    s = s.withColumns({"qv_bound": F.when(mod(5) == 2, False).when(mod(5) == 3, True), "scores_source": F.when(mod(3) == 1, "report"), "subagent_prompt_tokens": F.col("n_rounds") * 3, "subagent_completion_tokens": F.when(mod(2) == 1, F.col("n_rounds")), "wall_time_s": F.when(mod(4) != 1, F.col("n_rounds") * 10)})
+    return api.report(s, r)
 
 
 @query("run_inspection", f"WITH {V.ROUNDS}, e AS (SELECT c_custkey AS paper, count(*) AS n FROM customer JOIN events ON user_id = c_custkey GROUP BY ALL) SELECT r.paper, count(*) AS n_rounds, bool_or(failure_mode = 'ACCEPTED') AS accepted, coalesce(max(e.n), 0) AS guardrail_events FROM rounds r LEFT JOIN e ON e.paper = r.paper GROUP BY r.paper")

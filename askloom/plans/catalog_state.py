@@ -12,7 +12,11 @@ from ..functions.lazy import ship
 from ..limiter import Busy
 from ..operators import context as K
 from ..operators import ordered as O
+from ..operators import rounds as R
+from ..operators import rubric as H
+from ..operators import verification
 from ..session import work_dir
+from ..sources import sinks
 from ..sources.leases import Leases
 from ..sources.versions import Versions
 from . import views as V
@@ -182,6 +186,125 @@ def archived_versions(spark, d):
     return met.select("paper", F.col("old").endswith("1").alias("pinned_sees_first"), (F.col("status") != F.col("old")).alias("rerun"), F.col("status").alias("now"), F.when(F.col("status") != F.col("old"), 2).otherwise(1).alias("n_versions"))
 
 
+# ------------------------------------------------------------------------------------------------ reports and rounds
+OWN = [("judge model", "c = 1"), ("prompts_dir", "c = 3"), ("config", "c = 5"), ("path outside", "c = 15"), ("path not of this call", "c = 16"), ("exit code", "c = 6"), ("evaluator error", "c = 7"), ("question_hash", "c = 8"), ("input_sha1", "c = 10"), ("acceptance", "c = 11"), ("n_attempts", "c = 12"), ("weak attempts", "c = 13 AND scorable"), ("recomputation", "c = 14 OR NOT scorable"), ("verdict all_passed", "k % 19 = 0 AND c NOT IN (13, 14) AND scorable")]
+EXPECTED = verification.Expected({r: f"{r}-1" for r in verification.ROLES}, "prompts", "sha", {"name": "prose"})
+
+
+@query(
+    "report_verification",
+    f"""WITH {V.verdict_sql(H.PROSE)}, q AS (SELECT o_custkey AS paper, o_orderkey AS k, o_orderkey % 17 AS c, ['both', 'weak-only', 'strong-only'][o_orderkey % 3 + 1] AS mode, top > 0 AS scorable, wide FROM orders JOIN (SELECT candidate, max(weight) AS top, max(abs(weight)) > 10 AS wide FROM rubric GROUP BY candidate) w ON w.candidate = o_orderkey),
+p AS (SELECT q.*, v.all_passed, list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in OWN)}], lambda x: x IS NOT NULL) AS own FROM q LEFT JOIN verdicts v ON v.candidate = q.k),
+f AS (SELECT *, min(k) OVER (PARTITION BY paper) AS first, min_by(len(own) = 0 AND mode <> 'strong-only', k) OVER (PARTITION BY paper) AS first_fine FROM p),
+a AS (SELECT *, CASE WHEN mode = 'strong-only' AND NOT (k % 5 <> 0 AND k <> first AND first_fine) THEN list_append(own, 'weak provenance') ELSE own END AS problems FROM f)
+SELECT paper, k AS seq, mode, array_to_string(problems, ',') AS problems, len(problems) = 0 AS verified, CASE WHEN len(problems) = 0 THEN coalesce(all_passed, false) END AS all_passed FROM a""",
+)
+def report_verification(spark, d):
+    """Reports that differ from their run in every way there is, one each, and such that say less than they may; the verdicts
+    that they state come from another way of scoring the same marks."""
+    lines = V.rubric(spark, d).groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("pos", "weight", "part"))).alias("lines"))
+    k, c = F.col("o_orderkey"), F.col("o_orderkey") % 17
+    marks = lambda f, n: F.struct(F.when((c == 14) & F.lit(n == 2 and f == "weak"), "SOLVER_ERROR").alias("error"), F.transform("lines", lambda x: ((x["part"] + n * 7) % 3 == 0) | ((k % 5 == 0) & (x["part"] % 4 != 0)) if f == "weak" else (x["part"] + n * 5) % 4 != 0).alias("satisfied"))
+    attempts = lambda f: F.array(*[marks(f, n) for n in (1, 2, 3)])
+    unless = lambda bad, null, good: F.when(c == bad, "other").when(~F.lit(null is not None) | (c != (null if null is not None else -1)), good)
+    stated = {x: F.when(c == 13, None).otherwise(F.when((k % 19 == 0) & F.lit(x == "all_passed"), ~F.col(x)).otherwise(F.col(x))) for x in verification.FLAGS}
+    o = V.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("candidate")).drop("candidate")
+    o = o.join(V.verdicts(spark, d).select(F.col("candidate").alias("v"), *verification.FLAGS), F.col("o_orderkey") == F.col("v"), "left")
+    first = o.groupBy(F.col("o_custkey").alias("f_paper")).agg(F.min("o_orderkey").alias("first"))
+    o = o.join(first, F.col("o_custkey") == F.col("f_paper"))
+    known = F.concat(F.lit("h"), F.col("o_custkey").cast("string"))
+    models = F.when(c != 2, F.create_map(*[x for r in verification.ROLES for x in (F.lit(r), F.when((c == 1) & F.lit(r == "judge"), "other").otherwise(f"{r}-1"))]))
+    report = F.struct(
+        models.alias("models"), unless(3, 4, F.lit("prompts")).alias("prompts_dir"), unless(5, None, F.lit("sha")).alias("config_sha1"), F.when(k % 5 != 0, F.concat(F.lit("r"), F.col("first").cast("string"))).alias("weak_source"),
+        F.when(c == 7, "SOLVER_ERROR").alias("error"), F.when(c == 8, "foreign").when(c == 9, F.concat(F.lit("old "), known)).otherwise(known).alias("question_hash"), unless(10, 0, F.lit("input")).alias("input_sha1"),
+        F.create_map(F.lit("name"), F.when(c == 11, "deployed").otherwise("prose")).alias("acceptance"), F.when(c == 12, 5).otherwise(3).alias("n_attempts"),
+        F.when(c == 13, F.slice(attempts("weak"), 1, 2)).otherwise(attempts("weak")).alias("weak_attempts"), attempts("strong").alias("strong_attempts"), *[x.alias(n) for n, x in stated.items()],
+    )
+    weights = F.col("lines")["weight"]
+    evals = o.select(
+        F.col("o_custkey").alias("paper"), F.lit(1).alias("round"), k.alias("seq"), F.element_at(F.array(F.lit("both"), F.lit("weak-only"), F.lit("strong-only")), (k % 3 + 1).cast("int")).alias("mode"), F.concat(F.lit("r"), k.cast("string")).alias("path"),
+        F.when(c == 6, 3).otherwise(0).alias("exit_code"), (c != 15).alias("inside"), (c != 16).alias("created"), known.alias("question_hash"), F.concat(F.lit("old "), known).alias("legacy_hash"), F.lit("input").alias("input_sha1"),
+        F.when(F.array_max(weights) > 0, weights).alias("weights"), report.alias("report"),
+    )
+    got = verification.verified(evals, EXPECTED, H.PROSE)
+    return got.select("paper", "seq", "mode", F.array_join("problems", ",").alias("problems"), "verified", F.when(F.col("verified"), F.col("all_passed")).alias("all_passed"))
+
+
+@query(
+    "round_records",
+    f"""WITH {V.ROUNDS}, e AS (SELECT *, max(CASE WHEN failure_mode = 'ACCEPTED' THEN round END) OVER (PARTITION BY paper) AS won FROM rounds)
+SELECT paper, round AS index, CASE WHEN round = won THEN 'ACCEPTED' WHEN candidate % 3 <> 0 AND qv_passed = false THEN 'FAILED_QV' WHEN candidate % 4 <> 0 AND weak_passed = false THEN 'TOO_EASY' WHEN candidate % 4 <> 0 AND all_passed = false THEN 'FAILED_ON_STRONG'
+ WHEN candidate % 3 = 0 AND candidate % 4 = 0 THEN 'NO_QV' ELSE 'NO_EVAL' END AS failure_mode, candidate % 3 <> 0 AND candidate % 7 <> 0 AS qv_bound, CASE WHEN candidate % 3 = 0 THEN 'question,criterion 1' WHEN candidate % 7 = 0 THEN 'weight of criterion 1' ELSE '' END AS missing,
+ CASE WHEN candidate % 4 = 0 THEN 0 ELSE 2 END AS n_eval_calls, CAST(CASE WHEN round = won THEN 100 + weak_total WHEN candidate % 4 = 0 THEN NULL WHEN candidate % 4 = 1 THEN weak_total ELSE 1000 END AS DOUBLE) AS weak_avg,
+ CAST(CASE WHEN round = won THEN 100 + strong_total WHEN candidate % 4 = 0 THEN NULL ELSE strong_total END AS DOUBLE) AS strong_avg, CASE WHEN round = won THEN 'frozen' WHEN candidate % 4 = 0 OR candidate % 5 = 0 THEN NULL ELSE 'answer' END AS reference_answer,
+ length('Why ' || candidate || '?') AS question_chars, candidate % 4 <> 0 AND candidate % 2 = 0 AS eval_verified FROM e""",
+)
+def round_records(spark, d):
+    """Rounds with two evaluations or none: a weak one of the same question or of another, then a strong one; the accepted round
+    shows what was frozen."""
+    r = V.rounds(spark, d)
+    k, number = F.col("candidate"), F.col("candidate").cast("string")
+    question = F.concat(F.lit("Why "), number, F.lit("?"))
+    rubric = F.array(F.struct(F.lit("it holds").alias("criterion"), F.lit(50).alias("weight"), F.lit("positive").alias("category")))
+    cand = F.struct(question.alias("question"), F.lit("").alias("context"), rubric.alias("rubric"), F.lit("how").alias("question_type"))
+    def verdict(extra, weak_passed):
+        whole = {"weak_avg": F.col("weak_total") + extra, "weak_scores": F.array().cast("array<double>"), "weak_passed": weak_passed, "strong_avg": F.col("strong_total") + extra, "strong_scores": F.array().cast("array<double>"), "strong_passed": F.col("strong_passed"), "gap": F.lit(0.0), "gap_passed": F.col("gap_passed"), "all_passed": F.col("all_passed")}
+        return F.struct(*[(x.cast("double") if n in ("weak_avg", "strong_avg") else x).alias(n) for n, x in whole.items()])
+    none = F.array().cast("array<string>")
+    ev = lambda mode, h, verified, v: F.struct(F.lit(mode).alias("mode"), F.lit(True).alias("has_report"), h.alias("question_hash"), verified.alias("verified"), none.alias("problems"), none.alias("warnings"), cand.alias("candidate"), v.alias("verdict"))
+    # The weak run of the same question counts only in every fourth round; elsewhere the strong stage's own round has another weak one.
+    other = verdict(F.lit(0), F.col("weak_passed")).withField("weak_avg", F.lit(1000.0))
+    weak = F.when(k % 4 == 1, ev("weak-only", number, F.lit(True), verdict(F.lit(0), F.col("weak_passed")))).otherwise(ev("weak-only", F.lit("another"), F.lit(True), other))
+    evals = F.when(k % 4 != 0, F.array(weak, ev("strong-only", number, k % 2 == 0, verdict(F.lit(0), F.col("weak_passed")))))
+    prompt = F.concat(question, F.lit(" it holds "), F.when(k % 7 == 0, "5").otherwise("50"))
+    calls = F.when(k % 3 != 0, F.array(F.struct(prompt.alias("prompt"), F.col("qv_passed").alias("overall"), F.lit(False).alias("contradiction"), F.lit("fine").alias("feedback"))))
+    challenger = F.struct(F.when(k % 5 == 0, "Other?").otherwise(question).alias("question"), F.lit("").alias("context"), rubric.alias("rubric"), F.lit("answer").alias("reference_answer"), F.lit("how").alias("question_type"), none.alias("reasoning_skills"))
+    frozen = F.when(F.col("accepted"), F.struct(F.col("round").alias("index"), cand.alias("candidate"), F.lit("frozen").alias("reference_answer"), verdict(F.lit(100), F.col("weak_passed")).alias("verdict")))
+    # A round without an evaluation keeps its challenger's question; its own is the one asked for.
+    challenger = F.when(k % 4 == 0, challenger.withField("question", question)).otherwise(challenger)
+    rows = r.select("paper", F.col("round").alias("index"), F.lit(0.0).alias("started_at"), challenger.alias("challenger"), calls.alias("qv_calls"), evals.alias("evals"), frozen.alias("accepted"))
+    got = R.round_rows(rows)
+    return got.select("paper", "index", "failure_mode", "qv_bound", F.array_join("qv_missing", ",").alias("missing"), "n_eval_calls", "weak_avg", "strong_avg", "reference_answer", "question_chars", "eval_verified")
+
+
+PCT = "(CAST(({t}) // 10 AS VARCHAR) || '.' || CAST(({t}) % 10 AS VARCHAR) || '%')"
+
+
+def pct_sql(part: str, whole: str) -> str:
+    """Percent with one decimal, half to even, of integers that are not negative."""
+    tenths = f"(1000 * {part}) // ({whole}) + CASE WHEN 2 * ((1000 * {part}) % ({whole})) > {whole} OR (2 * ((1000 * {part}) % ({whole})) = {whole} AND ((1000 * {part}) // ({whole})) % 2 = 1) THEN 1 ELSE 0 END"
+    return PCT.format(t=tenths)
+
+
+def stage_sql(role: str) -> str:
+    made = f"string_agg('  attempt ' || attempt || ': ' || {pct_sql('points', 'max_positive')} || '  (positive satisfied ' || n_pos_satisfied || '/' || n_pos || ', negative triggered ' || n_neg_triggered || '/' || n_neg || ', finish=stop, ' || (candidate % 90 + attempt) || ' completion tokens)', chr(10) ORDER BY attempt) FILTER (role = '{role}')"
+    return f"'{role} solver: {role}-1 x3' || chr(10) || {made}"
+
+
+@query(
+    "evaluation_report",
+    f"""WITH {V.verdict_sql(H.DEPLOYED)}, w AS (SELECT candidate, count(*) AS n, count(*) FILTER (weight > 0) AS n_pos, count(*) FILTER (weight < 0) AS n_neg FROM rubric GROUP BY candidate),
+a AS (SELECT a.candidate, {stage_sql('weak')} AS weak_block, {stage_sql('strong')} AS strong_block FROM attempts a JOIN w USING (candidate) WHERE max_positive > 0 GROUP BY a.candidate),
+{', '.join(f"{r}_line AS (SELECT candidate, '{r}_avg: ' || {pct_sql(f'{r}_total', f'({r}_n * max_positive)')} || '  max_{r}: ' || {pct_sql(f'{r}_top', 'max_positive')} || '  min_{r}: ' || {pct_sql(f'{r}_least', 'max_positive')} AS {r}_avg FROM verdicts)" for r in ('weak', 'strong'))}
+SELECT candidate, '=== EVALUATE_RUBRIC REPORT (both) ===' || chr(10) || 'question_hash: h' || candidate || chr(10) || 'rubric: ' || n || ' criteria (' || n_pos || ' positive, ' || n_neg || ' negative), positive weight total ' || max_positive || chr(10)
+ || weak_block || chr(10) || weak_avg || chr(10) || CASE WHEN weak_passed THEN 'WEAK_PASSED (weak_avg ' || {pct_sql('weak_total', '(weak_n * max_positive)')} || ' <= 65.0%, max_weak <= 75.0%, no zero weak attempt)' ELSE 'WEAK_FAILED' END || chr(10)
+ || strong_block || chr(10) || strong_avg || chr(10) || CASE WHEN strong_passed THEN 'STRONG_PASSED' ELSE 'STRONG_FAILED' END || chr(10) || CASE WHEN gap_passed THEN 'GAP_PASSED' ELSE 'GAP_FAILED' END || chr(10)
+ || CASE WHEN all_passed THEN 'ACCEPTANCE: ALL_SOLVER_CRITERIA_PASSED' ELSE 'ACCEPTANCE: FAILED' END || chr(10) AS report
+FROM verdicts JOIN w USING (candidate) JOIN a USING (candidate) JOIN weak_line USING (candidate) JOIN strong_line USING (candidate)""",
+)
+def evaluation_report(spark, d):
+    """The evaluator's text block of every candidate; reasons, which have a query of their own, and the line of the gap are cut."""
+    made = V.attempts(spark, d)
+    one = F.struct(F.col("attempt").alias("index"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error"), "points", F.col("n_pos_satisfied").alias("n_pos"), F.col("n_neg_triggered").alias("n_neg"), F.lit("stop").alias("finish"), (F.col("candidate") % 90 + F.col("attempt")).alias("tokens"))
+    lists = made.groupBy(F.col("candidate").alias("c")).agg(*[F.array_sort(F.collect_list(F.when(F.col("role") == r, one))).alias(f"{r}_list") for r in ("weak", "strong")])
+    weights = V.rubric(spark, d).groupBy(F.col("candidate").alias("r")).agg(F.collect_list("weight").alias("weights"))
+    none = F.lit(None).cast("string")
+    rows = H.assess(H.stages(made), H.DEPLOYED).join(lists, F.col("candidate") == F.col("c")).join(weights, F.col("candidate") == F.col("r"))
+    rows = rows.withColumns({"mode": F.lit("both"), "question_hash": F.concat(F.lit("h"), F.col("candidate").cast("string")), "error_kind": none, "error_message": none, "weak_model": F.lit("weak-1"), "strong_model": F.lit("strong-1")})
+    text = sinks.evaluation_report(rows, H.DEPLOYED).select("candidate", F.regexp_replace("report", r"(FAILED)[: ][^\n]*", "$1").alias("report"))
+    return text.select("candidate", F.regexp_replace("report", r"gap: [^\n]*\n", "").alias("report"))
+
+
 # ------------------------------------------------------------------------------------------------ malformed model text
 def candidate_json(key):
     """A candidate for each key; some lack a part, some are no JSON at all."""

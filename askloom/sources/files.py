@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.lazy import ship
 from ..functions.text import url_basename
+from ..operators.ordered import running
+from ..staging import stage
 
 
 def listing(files: DataFrame, url: str = "url") -> DataFrame:
@@ -147,4 +149,37 @@ def cached_lookup(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable,
     return cache.join(keys.select(key).distinct(), key, "left_semi").select(key, "value").unionByName(fresh), fresh
 
 
+def counted_lookup(rows: DataFrame, cache: DataFrame, fetch: Callable[[list[int]], list[str | None]], batch: int = 500, id_path: str = "$.corpusId") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Look-ups of many shards, cache first: (key and value of every key asked for, the fresh ones, counters of each shard).
+
+    rows: shard, key; cache: key, value (JSON; null: known to be unknown). A key that several shards ask for is fetched by the first
+    of them and cached for the others. Each shard's misses are asked for in calls of up to ``batch`` keys, in key order, and what was
+    answered is written once, so no call is made twice. Counters: from_cache, from_service, calls and mismatches (answers that carry
+    another id than the one asked for; they are kept).
+    """
+    asked = rows.select("shard", F.col("key").cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    known = cache.select(F.col("key").cast("long").alias("key"), "value")
+    misses = asked.groupBy("key").agg(F.min("shard").alias("shard")).join(known.select("key"), "key", "left_anti")
+    dealt = running(misses, ["shard"], ["key"], {"nth": ("sum", F.lit(1).cast("long"))})
+    calls = dealt.groupBy("shard", F.floor((F.col("nth") - 1) / batch).alias("call")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for shard, call, keys in zip(p["shard"].tolist(), p["call"].tolist(), p["keys"].tolist()):
+                wanted = [int(k) for k in keys]
+                got = fetch(wanted)
+                if len(got) != len(wanted):
+                    raise ValueError("the answer is not aligned with the request")
+                yield pd.DataFrame({"shard": shard, "call": call, "key": wanted, "value": pd.Series(got, dtype=object)})
+
+    fresh = stage(calls.mapInPandas(run, f"shard {asked.schema['shard'].dataType.simpleString()}, call long, key long, value string"), "lookups")
+    answers = asked.select("key").distinct().join(known.unionByName(fresh.select("key", "value")), "key")
+    other = F.get_json_object("value", id_path).cast("long")
+    served = fresh.groupBy("shard").agg(F.count("*").alias("from_service"), F.count_distinct("call").alias("calls"), F.count_if(other != F.col("key")).alias("mismatches"))
+    counters = asked.groupBy("shard").agg(F.count("*").alias("n")).join(served, "shard", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    counters = counters.select("shard", (F.col("n") - zero("from_service")).alias("from_cache"), *[zero(c).alias(c) for c in ("from_service", "calls", "mismatches")])
+    return answers, fresh.select("key", "value"), counters
+
+
 ship(__name__)

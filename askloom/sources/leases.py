@@ -58,9 +58,10 @@ class Leases:
         version = self._attempt(step, "claims")
         return self.log.read("claims", CLAIM, version).where(F.col("seq") == version).select("key", "fence")
 
-    def _extend(self, holder: str, until: float, now: float) -> int:
+    def _extend(self, holder: str, until: float, now: float, keys: DataFrame | None = None) -> int:
         def step(version: int) -> DataFrame:
             held = self.current(version).where((F.col("holder") == holder) & (F.col("until") > now))
+            held = held if keys is None else held.join(keys.select(F.col("key").cast("string").alias("key")), "key", "left_semi")
             return held.select("key", "holder", "fence", F.lit(float(until)).alias("until"), F.lit(version + 1).cast("long").alias("seq"))
 
         return self._attempt(step, "claims")
@@ -70,8 +71,9 @@ class Leases:
         version = self._extend(holder, now + ttl, now)
         return self.log.read("claims", CLAIM, version).where(F.col("seq") == version).select("key", "fence")
 
-    def release(self, holder: str, now: float) -> None:
-        self._extend(holder, now, now)
+    def release(self, holder: str, now: float, keys: DataFrame | None = None) -> None:
+        """Let go of some keys, or all."""
+        self._extend(holder, now, now, keys)
 
     def finish(self, rows: DataFrame, holder: str, now: float) -> tuple[DataFrame, DataFrame]:
         """Commit work: rows of key, fence and the work's columns -> (accepted, refused), each with key and fence.
