@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, read, ship, small_batches, stage, with_ids
 
 SCALE, K, CELLS, FIT = 64, 20, 256, 20_000
-BLOCK, QUERIES, STEP = 32_768, 2048, 64  # vectors in a block, queries in a block, queries whose bounds are held at once
+BLOCK, WIDTH, QUERIES, STEP = 32_768, 128, 2048, 64  # vectors in a block of up to WIDTH dimensions, queries in a block, queries whose bounds are held at once
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -40,7 +40,10 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
     rows = rows.where(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return rows.select("id", F.transform("x", lambda x: F.floor(x * SCALE)).alias("v")).distinct()
+    # By Cauchy and Schwarz no product, sum or score leaves 64 bits if every vector's square does not leave 62.
+    square = F.aggregate("x", F.lit(0.0), lambda a, x: a + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double"))
+    fits = F.when(square < 2.0**62, F.transform("x", lambda x: F.floor(x * SCALE))).otherwise(F.raise_error(F.concat(F.lit("scores of this vector do not fit 64 bits: id "), F.col("id").cast("string"))))
+    return rows.select("id", fits.alias("v")).distinct()
 
 
 def matrix(vectors: list, width: int = 1) -> np.ndarray:
@@ -100,6 +103,11 @@ class Approximation:
                 yield at + i, c, lower[i, c], upper[i, c]
 
 
+def rows_of(width: int) -> int:
+    """Vectors of a block: BLOCK of them, or fewer wide ones, as each component takes 17 bytes where the block is held."""
+    return max(256, min(BLOCK, BLOCK * WIDTH // max(1, width)))
+
+
 def approximated(units: DataFrame, starts: list[np.ndarray]) -> DataFrame:
     """The file: width, cells, uids, least, most for each block of vectors, made where they stand."""
 
@@ -114,9 +122,10 @@ def approximated(units: DataFrame, starts: list[np.ndarray]) -> DataFrame:
         for b in batches:
             vs += b["v"].tolist()
             uids += b["uid"].tolist()
-            while len(vs) >= BLOCK:
-                rest = vs[BLOCK:], uids[BLOCK:]
-                vs, uids = vs[:BLOCK], uids[:BLOCK]
+            most = rows_of(max([1, *map(len, vs)]))
+            while len(vs) >= most:
+                rest = vs[most:], uids[most:]
+                vs, uids = vs[:most], uids[:most]
                 yield block()
                 vs, uids = rest
         if vs:

@@ -5,7 +5,7 @@ edits; by the pigeonhole principle one of (edits + 1) pieces of it then stands u
 pieces locates every candidate place, and the regex library's bounded-error matching verifies the place and finds its edits and
 its bounds. Base phrases are found exactly, word for word, by the same automaton.
 
-Defined cases: null text is empty: no words, no labels, score 0; null and repeated ids are rows like others; an empty table gives
+Defined cases: null text is empty: no words, no labels, score 0; null and repeated ids, of any type, are rows like others; an empty table gives
 an empty result; other columns are ignored; whole texts are searched, however long.
 
 Scale: one narrow pass without a shuffle. Candidate windows of one notice that touch are searched as one.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,20 +108,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_words, base (array of label and word), matches (array of spans with edits)."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = pa.struct([("label", pa.string()), ("word", pa.int64())])
+    match = pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("matched", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for b in batches:
-            out = [scanner.scan(x) for x in b["text"].tolist()]
-            yield pd.DataFrame(
-                {
-                    "id": b["id"].astype("Int64"),
-                    "n_words": [n for n, _, _ in out],
-                    "base": [[{"label": label, "word": w} for label, w in base] for _, base, _ in out],
-                    "matches": [[dict(zip(("label", "notice", "first_word", "end_word", "edits", "matched"), m)) for m in found] for _, _, found in out],
-                }
+            out = [scanner.scan(x) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array([n for n, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.list_(place)), pa.array([x for _, _, x in out], pa.list_(match))],
+                ["id", "n_words", "base", "matches"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id long, n_words long, base array<struct<label:string,word:long>>, matches array<{MATCH}>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, base array<struct<label:string,word:long>>, matches array<{MATCH}>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

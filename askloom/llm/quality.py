@@ -157,8 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [np.asarray(statistics(t)) for t in b["text"]]})
 
-    rows = labelled(docs, labels, label, id_col, text_col, sample).select("id", "y", "text").mapInPandas(run, "id long, y int, x array<double>").toPandas()
-    rows = rows.sort_values("id", kind="stable").head(sample)
+    rows = labelled(docs, labels, label, id_col, text_col, sample).select("id", "y", "text").mapInPandas(run, "id long, y int, x array<double>")
+    rows = rows.orderBy("id", "x").limit(sample).toPandas()  # an id may be that of many rows: the bound holds for rows
     return grow(np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_STATISTICS)), rows["y"].to_numpy(float))
 
 

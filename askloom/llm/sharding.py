@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
 from .common import ROW, ROW_ID, discard, field, numbered, read, stage, text_of
 
 OLD, NEW, BUCKETS, SUBS = 6, 8, 256, 64
@@ -139,8 +140,8 @@ def placed(docs: DataFrame, row_id: Column, id_col: Column, text_col: Column, wh
     together = F.sum(F.col("n") * F.col("size")).over(group) * new <= total
     lots = stage(lots.withColumn("lead", F.when(together, F.min("start").over(group))).drop("n", "size"), "reshard-lots")
     key = ["lane", "bucket", "t1", "t2", "sub", "old_shard"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("k", "row_id")) - 1
-    each = laned(rows).withColumn("nth", nth).join(lots.hint("merge"), key)
+    # Numbers within a lot by ranges: a lot whose ids are all alike, or null, may be a third of all rows.
+    each = running(laned(rows), key, ["k", "row_id"], {"nth": ("sum", F.lit(1).cast("long"))}).withColumn("nth", F.col("nth") - 1).join(lots.hint("merge"), key)
     each = each.select("row_id", "id", "size", "text_crc32", "old_shard", "lane", F.coalesce("lead", F.col("start") + F.col("nth") * F.col("size")).alias("start"), (F.col("rank") + F.col("nth")).alias("rank"))
     mv = spark.createDataFrame(moves, "from_lane int, lo long, hi long, shard int")
     there = (F.col("lane") == F.col("from_lane")) & (F.col("start") >= F.col("lo")) & (F.col("start") < F.col("hi"))

@@ -5,7 +5,7 @@ greedy longest match has settled when it is followed, so a word's piece count fa
 piece is built and no character is read twice. Words are the runs without ASCII white space; the marker that the vocabulary sets
 before a word's first piece is put before each word. A word that the vocabulary cannot spell counts as one unknown piece.
 
-Defined cases: null text counts as empty (all counts 0); null and repeated ids are rows like others; an empty table gives an
+Defined cases: null text counts as empty (all counts 0); null and repeated ids, of any type, are rows like others; an empty table gives an
 empty result; other columns are ignored; whole texts are read.
 
 Scale: one narrow pass, no shuffle; each task remembers the counts of at most CACHE distinct words.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,18 +109,21 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """One row per input row: id, n_words, n_tokens (an unknown word is one), n_unknown (words)."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean("sentencepiece")
         counts = counter(model_path, mark)
         for b in batches:
-            out = []
-            for text in b["text"].tolist():
-                ns = list(map(counts.__getitem__, (text or "").encode().split()))
-                unknown = ns.count(-1)
-                out.append((len(ns), sum(ns) + 2 * unknown, unknown))
-            yield pd.concat([b[["id"]].astype("Int64"), pd.DataFrame(out, columns=["n_words", "n_tokens", "n_unknown"], dtype="int64")], axis=1)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_words long, n_tokens long, n_unknown long")
+            words, tokens, unknown = [], [], []
+            for text in b.column("text").cast(pa.large_binary()).to_pylist():
+                ns = list(map(counts.__getitem__, (text or b"").split()))
+                none = ns.count(-1)
+                words.append(len(ns))
+                tokens.append(sum(ns) + 2 * none)
+                unknown.append(none)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x, pa.int64()) for x in (words, tokens, unknown)]], ["id", "n_words", "n_tokens", "n_unknown"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

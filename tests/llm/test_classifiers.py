@@ -199,3 +199,16 @@ def test_nothing_to_learn(spark, ugly, empty):
 def test_held_out(spark):
     got = {r.id: r.h for r in spark.range(50).select("id", Q.held_out("id").alias("h")).collect()}
     assert got == {i: held_id(i) for i in range(50)}
+
+
+def test_an_id_of_very_many_rows(spark, docs):
+    """The bound of the sample holds for rows, not only for ids."""
+    rows = [(1, f"good words here {i}", "s") for i in range(3000)] + [(2, f"zz {i}", "s") for i in range(300)] + [(i, f"text {i}", "s") for i in range(3, 60)]
+    d, seen = docs(rows), []
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    grow, Q.grow = Q.grow, lambda x, y: seen.append(len(x)) or grow(x, y)
+    try:
+        trees = Q.learn(d, labels, sample=10)
+    finally:
+        Q.grow = grow
+    assert seen == [10] and Q.scored(d, trees).where("score between 0 and 1").count() == len(rows)

@@ -130,3 +130,13 @@ def test_scan_edges(spark, ugly, empty, docs, tmp_path):
     got = {r.doc_id: r for r in L.query(spark, str(tmp_path)).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels, got[1].score) == (2, 0, 3, "cc-by,reserved", "cc-by,reserved", 1.0)
     assert (got[2].n_base, got[2].first_word, got[2].base_labels, got[2].labels, got[2].score) == (0, None, "", "", 0.0)
+
+
+def test_ids_of_any_type(spark):
+    from askloom.llm.packing import tokenizer_file
+
+    d = spark.createDataFrame([("id-1", "all rights reserved"), (None, None), ("id-1", "")], "doc_id string, text string")
+    assert sorted(((r.id, len(r.base)) for r in L.scan_licenses(d).collect()), key=str) == sorted([("id-1", 1), (None, 0), ("id-1", 0)], key=str)
+    assert {r.id for r in C.count_tokens(d, tokenizer_file("piece_bpe_32k.model")).collect()} == {"id-1", None}
+    big = spark.createDataFrame([(2**60 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r.id for r in C.count_tokens(big, tokenizer_file("piece_bpe_32k.model")).collect()} == {2**60 + 1, None}

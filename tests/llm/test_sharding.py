@@ -88,3 +88,14 @@ def test_rewrite_touches_changed_shards(spark, tmp_path):
 def test_edges(ugly, empty):
     assert S.reshard(ugly).count() == 10
     assert S.reshard(empty).count() == 0
+
+
+def test_a_third_of_all_rows_with_one_text_and_no_id(docs):
+    """Rows that nothing tells apart: whole, gapless, and no task needs to sort them all."""
+    rows = [(None, "the same again", "s") for _ in range(1500)] + [(7, "the same again", "s") for _ in range(300)] + [(i, f"own text {i}" + "x" * (i % 50), "s") for i in range(2700)]
+    got = S.reshard(docs(rows, parts=6)).collect()
+    assert len(got) == 4500 and len({r.row_id for r in got}) == 4500
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))

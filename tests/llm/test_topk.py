@@ -63,3 +63,22 @@ def test_few_exact_vectors_are_read(spark):
     asked = K.stage(rows.where("id % 20 = 0").select("v", F.col("id").alias("key")), "t")
     left = K.bounded(units, asked, 21)
     assert left.count() <= 100 * 21 * 1.3 and left.select("key").distinct().count() == 100
+
+
+def test_wide_vectors_come_in_smaller_blocks(spark):
+    """A thousand dimensions, and vectors of very different widths: blocks are bounded by components."""
+    assert K.rows_of(8) == K.rows_of(K.WIDTH) == K.BLOCK and K.rows_of(8 * K.WIDTH) == K.BLOCK // 8 and K.rows_of(10**9) == 256
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 1024 if i % 3 else 1 + i % 7)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r.rank, r.id, r.score) for r in K.top_k(df, F.col("id") % 100 == 0, k=3).collect()}
+    padded = [(i, v + [0.0] * (1024 - len(v))) for i, v in rows]
+    assert got == brute(padded, 3, 100)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e300, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="do not fit 64 bits"):
+        K.top_k(df, F.col("id") == 0).collect()
+    fine = spark.createDataFrame([(0, [2.0**23, 0.0]), (1, [2.0**24, 1.0]), (2, [-1.0, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r.id, r.score) for r in sorted(K.top_k(fine, F.col("id") == 0).collect(), key=lambda r: r.rank)] == [(1, 2**59), (2, -(2**35))]
