@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -21,12 +21,17 @@ def rubric(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), weight)
 
 
-def marks(spark: SparkSession, d: str, attempts: int = 3) -> DataFrame:
-    """candidate, role, attempt, pos, weight, satisfied: every criterion judged for every attempt of both solvers."""
+def judged(attempts: int = 3) -> dict[str, list[Column]]:
+    """By solver, for each attempt whether a criterion is satisfied."""
     weak = lambda n: ((F.col("part") + n * 7) % 3 == 0) | ((F.col("candidate") % 5 == 0) & (F.col("part") % 4 != 0))
     strong = lambda n: (F.col("part") + n * 5) % 4 != 0
+    return {"weak": [weak(n) for n in range(1, attempts + 1)], "strong": [strong(n) for n in range(1, attempts + 1)]}
+
+
+def marks(spark: SparkSession, d: str, attempts: int = 3) -> DataFrame:
+    """candidate, role, attempt, pos, weight, satisfied: every criterion judged for every attempt of both solvers."""
     one = lambda role, n, s: F.struct(F.lit(role).alias("role"), F.lit(n).alias("attempt"), s.alias("satisfied"))
-    each = [one("weak", n, weak(n)) for n in range(1, attempts + 1)] + [one("strong", n, strong(n)) for n in range(1, attempts + 1)]
+    each = [one(role, n, s) for role, all_ in judged(attempts).items() for n, s in enumerate(all_, 1)]
     return rubric(spark, d).withColumn("m", F.explode(F.array(*each))).select("candidate", "pos", "weight", "m.*")
 
 

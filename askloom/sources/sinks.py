@@ -76,12 +76,16 @@ def report_lines(assessed: DataFrame) -> DataFrame:
 def evaluation_report(rows: DataFrame, preset: Preset) -> DataFrame:
     """``rows`` with ``report``: the evaluator's whole text block, a line each for rubric, attempts, averages, stages, gap and verdict.
 
-    rows: mode, question_hash, error_kind, error_message (null without an error), weights (array), weak_model, strong_model,
+    rows: mode, question_hash, error_kind, error_message (null without an error), weights (array; or their numbers above 0 and not,
+    n_positive and n_other), weak_model, strong_model,
     weak_list and strong_list (arrays of struct index, error_type, error, points, n_pos, n_neg, finish, tokens) and the columns of
     ``rubric.assess``. Percentages are exact fractions, rounded half to even.
     """
     m, mode = F.col("max_positive"), F.col("mode")
-    n_pos, n_neg = F.size(F.filter("weights", lambda w: w > 0)), F.size(F.filter("weights", lambda w: w <= 0))
+    if "weights" in rows.columns:
+        n, n_pos, n_neg = F.size("weights"), F.size(F.filter("weights", lambda w: w > 0)), F.size(F.filter("weights", lambda w: w <= 0))
+    else:
+        n, n_pos, n_neg = F.col("n_positive") + F.col("n_other"), F.col("n_positive"), F.col("n_other")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     fixed = lambda t: f"{t / 100:.1f}%"
     reasons = lambda prefix: F.transform(F.filter("failure_reasons", lambda r: r.startswith(prefix)), lambda r: F.substring(r, len(prefix) + 1, 10_000))
@@ -90,7 +94,7 @@ def evaluation_report(rows: DataFrame, preset: Preset) -> DataFrame:
         F.array(text(F.col("error_kind"), ": ", F.coalesce("error_message", F.lit("")))),
         F.array(text("=== EVALUATE_RUBRIC REPORT (", mode, ") ===")),
         F.array(text("question_hash: ", F.col("question_hash"))),
-        F.array(text("rubric: ", F.size("weights"), " criteria (", n_pos, " positive, ", n_neg, " negative), positive weight total ", m)),
+        F.array(text("rubric: ", n, " criteria (", n_pos, " positive, ", n_neg, " negative), positive weight total ", m)),
     ]
     weak_rule = [text("weak_avg ", exact_percent(F.col("weak_total"), F.col("weak_n") * m), f" {'<=' if preset.weak_inclusive else '<'} {fixed(preset.weak_avg_max)}")]
     weak_rule += [F.lit(f"max_weak <= {fixed(preset.weak_attempt_max)}")] if preset.weak_attempt_max is not None else []
