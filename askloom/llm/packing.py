@@ -18,10 +18,12 @@ where they are; beyond, pieces and first ranks are joined by a shuffle.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,11 +114,10 @@ def lookup(lines: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarr
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level models have for bytes: printable ones stand for themselves, the others for what follows 255, in order."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (b for b in range(256) if b not in own)
-    return {b: chr(256 + k) for k, b in enumerate(rest)}
+def byte_letters() -> str:
+    """The letters that byte-level models have for bytes 0 to 255: printable ones stand for themselves, the others for what follows 255, in order."""
+    own, rest = {*range(33, 127), *range(161, 173), *range(174, 256)}, itertools.count(256)
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
 class Parts(dict):
@@ -129,19 +130,23 @@ class Parts(dict):
 
     def __init__(self, tokenizer):
         self.t, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the model's own memory of words: those that are missing here are hardly ever in it
 
     @staticmethod
     def plain(part: str) -> bool:
         """One word of lower-case letters up to ÿ, which are composed already: nothing to normalise or part."""
-        return part.isalpha() and part.islower() and max(part) <= "\xff"
+        return part.isalpha() and part.islower() and (part.isascii() or max(part) <= "\xff")
 
     def __missing__(self, part: str) -> bytes:
-        core = part.rstrip(self.MARKS)
-        if core and core != part and self.plain(core):
-            ids = self[core] + self[part[len(core) :]]
-        elif self.plain(part):
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        if self.plain(part):
+            shown = part if part.isascii() else charmap_decode(part.encode(), "strict", self.letters)[0]
             ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        elif (core := part.rstrip(self.MARKS)) and core != part and self.plain(core):
+            known = core in self
+            ids = self[core] + self[part[len(core) :]]
+            if not known:  # most words are met once: their own ids are enough to remember
+                return ids
         else:
             ids = array("I", self.t.encode(part, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:

@@ -60,6 +60,21 @@ def test_encoder_matches_the_library_on_random_parts(plain):
         assert np.frombuffer(encode(text), "<u4").tolist() == plain(text), text
 
 
+def test_a_word_with_marks_is_remembered_once_it_is_met_again(plain):
+    from tokenizers import Tokenizer
+
+    parts = P.Parts(Tokenizer.from_file(PATH))
+    for _ in range(2):
+        for part in ("zwölf,", "a-", "a-.", "don't", "don't.", "été...", "ÿ!"):
+            assert np.frombuffer(parts[part], "<u4").tolist() == plain(part), part
+        parts["once."]
+        if "twice" not in parts:
+            parts["twice."]
+            assert "once" in parts and "once." not in parts and "twice." not in parts
+    parts["twice."]
+    assert "once." in parts and "twice." in parts
+
+
 def test_splittable_is_read_from_the_file(tmp_path):
     import json
 
